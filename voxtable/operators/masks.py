@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ from voxtable.operators.suppression import suppress
 BOX = ["x0", "y0", "x1", "y1"]
 
 
+def appended(*batches: DataFrame) -> DataFrame:
+    """Mask batches one after the other; columns match by name."""
+    return reduce(DataFrame.unionByName, batches)
+
+
 def mask_boxes(pixels: DataFrame, masks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tight corner box per mask, zeros for an empty one."""
     found = pixels.groupBy(*keys).agg(

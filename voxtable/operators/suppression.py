@@ -127,8 +127,9 @@ def suppress(
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
     named = _named(boxes, group, box_id)
-    # Of equal boxes only the best can stay.
-    best = named.groupBy("group", *BOX).agg(F.max(F.struct("rank", "id")).alias("top"))
+    # A box without area overlaps nothing; of equal boxes with area only the best can stay.
+    solid = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
+    best = named.where(solid).groupBy("group", *BOX).agg(F.max(F.struct("rank", "id")).alias("top"))
     open_boxes = written(best.select("group", F.col("top.id").alias("id"), *BOX, F.col("top.rank").alias("rank")), "open")
     kept: list[DataFrame] = []
     while True:
@@ -139,6 +140,7 @@ def suppress(
         kept.append(winners)
     lost = _resolve(written(_pairs(open_boxes, threshold), "pairs"))
     chosen = open_boxes.join(lost, ["group", "id"], "left_anti").select("group", "id")
+    chosen = chosen.unionByName(named.where(~solid).select("group", "id"))
     for winners in kept:
         chosen = chosen.unionByName(winners.select("group", "id"))
     return boxes.join(chosen.select(F.col("group").alias(group), F.col("id").alias(box_id)), [group, box_id], "left_semi")

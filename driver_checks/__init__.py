@@ -1,0 +1,25 @@
+"""Queries over the driver tables and the SQL they are compared with."""
+
+from __future__ import annotations
+
+import importlib
+import pkgutil
+
+
+def _load() -> None:
+    for module in sorted(m.name for m in pkgutil.iter_modules(__path__) if m.name.startswith("block_")):
+        importlib.import_module(f"{__name__}.{module}")
+
+
+def queries() -> dict:
+    from driver_checks.registry import QUERIES
+
+    _load()
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict:
+    from driver_checks.registry import ORACLE
+
+    _load()
+    return dict(ORACLE)

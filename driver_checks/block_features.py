@@ -11,6 +11,9 @@ from voxtable.operators import depth, distance, lesions, regions
 from voxtable.schema import label_dim
 from voxtable.session import written
 
+# Bin edges as the operator forms them: (bin + 1) * max / 10.
+_BIN = "case " + " ".join(f"when sqrt(d) < {n + 1}*max_radius_mm/10 then {n}" for n in range(10)) + " end"
+
 extend({
     "counts": "select case_id, lesion, count(*) as voxels from vox where lesion > 0 group by all",
     "lsum": """select c.case_id,
@@ -71,17 +74,18 @@ extend({
     "contact_cc": """@contact_cc(case_id, p, root) using key (case_id, p)@select case_id, p, p from contact union
         select e.case_id, e.q, min(c.root) from contact_cc c join contact_links e on e.case_id = c.case_id and e.p = c.p
         join recurring.contact_cc r on r.case_id = e.case_id and r.p = e.q where c.root < r.root group by 1, 2""",
-    "binned": """select case_id, i.bin, max_radius_mm, i.bin*max_radius_mm/10 as low, (i.bin+1)*max_radius_mm/10 as high from radius, range(10) i(bin)""",
-    "alldist": "select v.case_id, case when v.lung = 1 and v.lesion > 0 then 1 else 0 end as hit, sqrt(d) as dist_mm from vox v join pass_z using (case_id, z, y, x)",
-    "gradient": """select b.case_id, b.bin::bigint as bin, (low + high)/2 as bin_center, count(a.case_id) as voxels, coalesce(sum(hit), 0)::bigint as lesion_voxels,
-        case when count(a.case_id) > 0 then coalesce(sum(hit), 0) / count(a.case_id) else 0 end as lesion_density
-        from binned b left join alldist a on a.case_id = b.case_id and a.dist_mm >= low and a.dist_mm < high group by b.case_id, b.bin, low, high""",
+    "alldist": f"""select v.case_id, case when v.lung = 1 and v.lesion > 0 then 1 else 0 end as hit, v.lung, {_BIN} as bin, max_radius_mm
+        from vox v join pass_z using (case_id, z, y, x) join radius using (case_id)""",
+    "binned": "select case_id, bin, count(*) as voxels, sum(hit) as lesion_voxels from alldist where bin is not null group by all",
+    "gradient": """select r.case_id, i.bin::bigint as bin, (i.bin*max_radius_mm/10 + (i.bin+1)*max_radius_mm/10)/2 as bin_center, coalesce(voxels, 0)::bigint as voxels,
+        coalesce(lesion_voxels, 0)::bigint as lesion_voxels, coalesce(lesion_voxels / voxels, 0) as lesion_density
+        from radius r cross join range(10) i(bin) left join binned b on b.case_id = r.case_id and b.bin = i.bin""",
 }, {
     "counts": ["vox"], "lsum": ["cases", "counts", "labels_a"], "rcounts": ["prof", "cut"], "shares": ["rcounts", "cases"],
     "distribution": ["shares"], "radius": ["feat"], "axial": ["cases", "feat", "radius"], "axial_named": ["axial"],
     "bandspine": ["cases"], "banded": ["bandspine", "feat"], "pleural": ["cases", "feat"], "contact": ["feat"],
-    "contact_links": ["contact"], "contact_cc": ["contact", "contact_links"], "binned": ["radius"], "alldist": ["vox", "pass_z"],
-    "gradient": ["binned", "alldist"],
+    "contact_links": ["contact"], "contact_cc": ["contact", "contact_links"], "alldist": ["vox", "pass_z", "radius"],
+    "binned": ["alldist"], "gradient": ["binned", "radius"],
 })
 
 
@@ -204,8 +208,8 @@ def _(spark, folder):
     return depths(spark, folder).groupBy(geometry.concentric_zone(F.col("dist_mm")).alias("zone")).agg(F.count("*").alias("voxels"))
 
 
-@check("b17_gradient_bin", """select case_id, bin::bigint as bin, count(*) as voxels from feat join binned using (case_id)
-       where dist_mm >= low and dist_mm < high group by case_id, bin""", "feat", "binned")
+@check("b17_gradient_bin", """select case_id, bin::bigint as bin, count(*) as voxels from alldist
+       where lung = 1 and bin is not null group by case_id, bin""", "alldist")
 def _(spark, folder):
     h = histogram(spark, folder)
     deepest = h.groupBy("case_id").agg(F.max("dist_mm").alias("r"))

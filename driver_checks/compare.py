@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -34,9 +35,15 @@ def rows_of(names: list[str], rows: list) -> pd.DataFrame:
 
 def difference(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     """None when both sides agree in columns, types, rows and values."""
-    result = con.execute(sql)
+    limit = threading.Timer(90, con.interrupt)
+    limit.start()
+    try:
+        result = con.execute(sql)
+        expected_rows = result.fetchall()
+    finally:
+        limit.cancel()
     names, kinds = [d[0] for d in result.description], [str(d[1]) for d in result.description]
-    expected = rows_of(names, result.fetchall())
+    expected = rows_of(names, expected_rows)
     got = rows_of(df.columns, df.collect())
     ours = {n: TYPES.get(k, k) for n, k in df.dtypes}
     theirs = dict(zip(names, kinds))

@@ -135,7 +135,7 @@ def run_steps(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = table(spark, folder, "orders").selectExpr(
         "o_orderstatus as run", "cast(year(o_orderdate)*12 + month(o_orderdate) as bigint) as epoch", "o_orderdate as ts",
-        "o_totalprice / 100000 as loss", "o_orderkey", "o_orderkey % 997 = 5 as failed",
+        "o_totalprice / 70000 as loss", "o_orderkey", "o_orderkey % 997 = 5 as failed",
     )
     ranked = bucketed_rank(rows, ["run"], F.date_trunc("day", "ts"), ["ts", "o_orderkey"])
     return ranked.withColumnRenamed("place", "step").drop("group_size")
@@ -145,7 +145,7 @@ def run_validation(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "orders").where("o_orderkey % 5 = 0")
     return rows.groupBy(
         F.col("o_orderstatus").alias("run"), F.expr("cast(year(o_orderdate)*12 + month(o_orderdate) as bigint)").alias("epoch")
-    ).agg(F.expr("round(avg(o_totalprice / 100000), 6)").alias("val_loss"))
+    ).agg(F.expr("avg(o_totalprice / 70000)").alias("val_loss"))
 
 
 def marked_voxels(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,9 +207,9 @@ CTES: dict[str, str] = {
     "boxes": """select p_partkey as box_id, p_partkey % 20 as image_id, (p_partkey*37) % 200 as x0, (p_partkey*53) % 200 as y0,
         (p_partkey*37) % 200 + p_size + 5 as x1, (p_partkey*53) % 200 + (p_size*3) % 40 + 5 as y1, p_retailprice / 10000 as score,
         260::bigint as w, 250::bigint as h from part""",
-    "steps": """select o_orderstatus as run, year(o_orderdate)*12 + month(o_orderdate) as epoch, o_orderdate as ts, o_totalprice / 100000 as loss,
+    "steps": """select o_orderstatus as run, year(o_orderdate)*12 + month(o_orderdate) as epoch, o_orderdate as ts, o_totalprice / 70000 as loss,
         o_orderkey, o_orderkey % 997 = 5 as failed, row_number() over (partition by o_orderstatus order by o_orderdate, o_orderkey) as step from orders""",
-    "vals": """select o_orderstatus as run, year(o_orderdate)*12 + month(o_orderdate) as epoch, round(avg(o_totalprice / 100000), 6) as val_loss
+    "vals": """select o_orderstatus as run, year(o_orderdate)*12 + month(o_orderdate) as epoch, avg(o_totalprice / 70000) as val_loss
         from orders where o_orderkey % 5 = 0 group by all""",
     "marks": """select case_id, z, y, x, max(lesion) as lesion from (select l_suppkey as case_id, l_linenumber::bigint as z, l_orderkey % 512 as y,
         l_partkey % 512 as x, (1 + trunc(l_quantity)::bigint % 4) as lesion from lineitem) group by all""",

@@ -71,7 +71,7 @@ def early_stops(epochs: DataFrame, patience: int = 10, min_delta: float = 0.0) -
 def epoch_records(steps: DataFrame, validation: DataFrame) -> DataFrame:
     """Training loss, validation figures, duration and best loss so far, per run and epoch."""
     timed = steps.groupBy("run", "epoch").agg(
-        (F.max("ts").cast("double") - F.min("ts").cast("double")).alias("epoch_seconds")
+        (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1e6).alias("epoch_seconds")
     )
     rows = epoch_losses(steps).join(timed, ["run", "epoch"]).join(validation, ["run", "epoch"])
     return running_best(rows)

@@ -225,15 +225,18 @@ def drop_small_islands(pixels: DataFrame, keys: Sequence[str], min_area: int) ->
 
 
 def cleaned_masks(
-    pixels: DataFrame, masks: DataFrame, min_area: int, iou_threshold: float, image: str = "image_id", mask: str = "mask_id"
+    pixels: DataFrame, masks: DataFrame, min_area: int, iou_threshold: float, image: str = "image_id", mask: str = "mask_id",
+    min_island: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Fill holes, drop islands, and suppress boxes that now coincide, untouched masks first.
 
+    ``min_area`` holds for both unless ``min_island`` is given.
+
     Returns the pixels of the kept masks and one row per kept mask with box and ``changed``.
     """
     keys = [image, mask]
     filled, holed = fill_small_holes(pixels, masks, keys, min_area)
-    cleaned, thinned = drop_small_islands(filled, keys, min_area)
+    cleaned, thinned = drop_small_islands(filled, keys, min_area if min_island is None else min_island)
     changed = holed.unionByName(thinned).distinct().withColumn("changed", F.lit(True))
     boxes = mask_boxes(cleaned, masks, keys).join(changed, keys, "left").fillna(False, ["changed"])
     scored = boxes.withColumn("score", F.when(F.col("changed"), 0.0).otherwise(1.0))

@@ -54,8 +54,8 @@ def regridded(pixels: DataFrame, size: int) -> DataFrame:
         last = F.ceil((2 * size * (position + 1) - length) / (2 * length)) - 1
         return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
-    rows = pixels.withColumn("i", F.explode(targets("y"))).withColumn("j", F.explode(targets("x")))
-    return rows.withColumns({"y": F.col("i").cast("int"), "x": F.col("j").cast("int")}).drop("i", "j", "ny", "nx")
+    rows = pixels.withColumn("_row", F.explode(targets("y"))).withColumn("_column", F.explode(targets("x")))
+    return rows.withColumns({"y": F.col("_row").cast("int"), "x": F.col("_column").cast("int")}).drop("_row", "_column", "ny", "nx")
 
 
 def kept_slices(labels: DataFrame) -> DataFrame:

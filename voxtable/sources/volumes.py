@@ -48,8 +48,8 @@ def _decode(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
     return cells.reshape(nz, ny, nx), (spacing[3], spacing[2], spacing[1])
 
 
-def read_slices(spark: SparkSession, folder: str, pattern: str = "*.nii.gz") -> DataFrame:
-    """One row per slice and file; an unreadable file gives one row with ``error``."""
+def decode_files(files: DataFrame) -> DataFrame:
+    """One row per slice of (``path``, ``content``) rows; an unreadable file gives one row with ``error``."""
     schema = to_arrow_schema(_SLICES)
 
     def decode(batches):
@@ -67,10 +67,14 @@ def read_slices(spark: SparkSession, folder: str, pattern: str = "*.nii.gz") ->
                         "cells": cells[z].ravel().astype(np.int32), "error": None,
                     }], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     return files.select("path", "content").mapInArrow(decode, _SLICES).withColumn("name", file_name(F.col("path")))
 
 
+def read_slices(spark: SparkSession, folder: str, pattern: str = "*.nii.gz") -> DataFrame:
+    """Slices of the volume files of a folder."""
+    return decode_files(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder))
+
+
 def slice_voxels(slices: DataFrame, value: str, sparse: bool = False) -> DataFrame:
     """Voxel rows of slices; ``sparse`` leaves out zeros."""
     rows = slices.where(F.col("error").isNull()).select("case_id", "z", "nx", F.posexplode("cells").alias("at", value))

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import importlib
 import pkgutil
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _load() -> None:

@@ -218,6 +218,14 @@ def _(spark, folder):
     )
 
 
-@check("i6_slice_split")
+extend({
+    "px_pairs": "select distinct case_id, z, i, case when lesion > 0 then lesion + 1 else 1 end as label from pixels where lesion > 0 or lung > 0",
+    "px_strata": """select e.case_id, e.z, e.i, coalesce(arg_min(label, slices*10 + label), 1)::bigint as stratum from exported e left join (
+        select * from px_pairs join (select label, count(*) as slices from px_pairs group by all) using (label) where label > 1) t using (case_id, z) group by e.case_id, e.z, e.i""",
+}, {"px_pairs": ["pixels"], "px_strata": ["exported", "px_pairs"]})
+
+
+@check("i6_slice_split", """select case_id, z, i, stratum, case when r <= floor(n*0.1 + 0.5) then 'test' when r <= 2*floor(n*0.1 + 0.5) then 'valid' else 'train' end as split
+       from (select *, row_number() over (partition by stratum order by md5(printf('%s-%03d', case_id::varchar, i) || '|42')) as r, count(*) over (partition by stratum) as n from px_strata)""", "px_strata")
 def _(spark, folder):
     return slice_dataset(fx.voxels(spark, folder), fx.cases(spark, folder), 32, min_voxels=12, min_pixels=4)[1]

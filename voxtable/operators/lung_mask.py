@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxtable.functions.intensity import LUNG_THRESHOLD_HU, below_threshold
 from voxtable.operators.components import connect, keep_components
 from voxtable.operators.planar import (
-    SLICE, close, edge_pixels, erode, fill_holes, inner_components, second_largest_up,
+    SLICE, dilated_runs, edge_pixels, eroded_runs, fill_holes, inner_components, pixel_runs, run_pixels, second_largest_up,
 )
 from voxtable.operators.regions import UPPER_LOWER_PERCENTILE, region_cut
 from voxtable.session import written
@@ -21,9 +21,11 @@ def segment_lungs(
     dark = voxels.where(below_threshold(F.col("hu"), threshold)).select("case_id", "z", "y", "x")
     labelled, roots = connect(dark, SLICE, ["y", "x"])
     lungs = second_largest_up(inner_components(labelled, roots, cases))
-    parts = keep_components(labelled, roots, lungs, SLICE)
-    smooth = close(erode(parts, cases, erosion), cases, closing)
-    return fill_holes(written(edge_pixels(smooth, cases), "outline"), cases)
+    parts = written(keep_components(labelled, roots, lungs, SLICE), "parts")
+    slices = parts.select(*SLICE).distinct()
+    shrunk = eroded_runs(pixel_runs(parts), cases, slices, erosion)
+    closed = eroded_runs(dilated_runs(shrunk, cases, closing), cases, slices, closing)
+    return fill_holes(written(edge_pixels(run_pixels(closed), cases), "outline"), cases)
 
 
 def region_masks(lung: DataFrame, percentile: float = UPPER_LOWER_PERCENTILE) -> DataFrame:

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from voxtable.functions.names import file_name
 from voxtable.sources.catalog import MASK_TYPES
@@ -23,8 +23,11 @@ from voxtable.sources.catalog import MASK_TYPES
 # Numeric type codes of the header.
 _TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 
-_SLICES = StructType.fromDDL(
-    "path string, z int, nz int, ny int, nx int, sz double, sy double, sx double, cells array<int>, error string"
+_SLICES = T.StructType(
+    [T.StructField("path", T.StringType())]
+    + [T.StructField(name, T.IntegerType()) for name in ("z", "nz", "ny", "nx")]
+    + [T.StructField(name, T.DoubleType()) for name in ("sz", "sy", "sx")]
+    + [T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("error", T.StringType())]
 )
 
 

@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from voxtable.functions.names import file_name
 
-_FILES = StructType.fromDDL("path string, modificationTime timestamp, length bigint, content binary")
+_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def arriving_files(spark: SparkSession, folder: str, pattern: str = "*.nii.gz") -> DataFrame:

@@ -93,6 +93,10 @@ def depths(spark, folder):
     return distance.voxel_features(fx.voxels(spark, folder), fx.cases(spark, folder))
 
 
+def profile(spark, folder):
+    return regions.slice_profile(fx.voxels(spark, folder))
+
+
 def histogram(spark, folder):
     return written(depth.depth_histogram(depths(spark, folder)), "depth")
 
@@ -124,7 +128,7 @@ def _(spark, folder):
 
 @check("d14_dominant_lesion", "select case_id, lesion_types, total_lesion_voxels, dominant_lesion from lsum", "lsum")
 def _(spark, folder):
-    return lesions.lesion_summary(fx.voxels(spark, folder), fx.cases(spark, folder)).select(
+    return lesions.lesion_summary(profile(spark, folder), fx.cases(spark, folder)).select(
         "case_id", "lesion_types", "total_lesion_voxels", "dominant_lesion"
     )
 
@@ -132,14 +136,14 @@ def _(spark, folder):
 @check("d13_lesion_summary", """select case_id, n_honeycomb, n_reticulation, n_ground_glass_opacity, n_consolidation, lesion_types,
        total_lesion_voxels, round(total_lesion_volume, 6) as total_lesion_volume, dominant_lesion from lsum""", "lsum")
 def _(spark, folder):
-    return lesions.lesion_summary(fx.voxels(spark, folder), fx.cases(spark, folder))
+    return lesions.lesion_summary(profile(spark, folder), fx.cases(spark, folder))
 
 
 @check("d15_lung_coverage", """select case_id, sum(lung_voxels)::bigint as lung_voxels, sum(lesion_voxels)::bigint as lesion_voxels,
        round(coalesce(sum(lesion_voxels) / nullif(sum(lung_voxels), 0), 0), 6) as lesion_lung_ratio,
        round(coalesce(sum(lesion_voxels) / nullif(sum(lung_voxels), 0), 0) * 100, 6) as coverage_percent from prof group by all""", "prof")
 def _(spark, folder):
-    return lesions.lung_coverage(fx.voxels(spark, folder))
+    return lesions.lung_coverage(profile(spark, folder))
 
 
 @check("c1_lesion_in_lung", "select case_id, z, y, x, lesion from vox where lesion > 0 and lung = 1", "vox")
@@ -151,7 +155,7 @@ def _(spark, folder):
 
 @check("d16_region_cut", "select case_id, z_cut from cut", "cut")
 def _(spark, folder):
-    return regions.region_cut(regions.slice_profile(fx.voxels(spark, folder)))
+    return regions.region_cut(profile(spark, folder))
 
 
 @check("d17_lung_distribution", """select case_id, z_cut, upper_lung_voxels, lower_lung_voxels, upper_lesion_voxels, lower_lesion_voxels, total_lung_voxels,
@@ -162,7 +166,7 @@ def _(spark, folder):
        round(upper_lesion_proportion, 6) as upper_lesion_proportion, round(lower_lesion_proportion, 6) as lower_lesion_proportion,
        distribution_pattern from distribution""", "distribution")
 def _(spark, folder):
-    return regions.lung_distribution(regions.region_counts(fx.voxels(spark, folder)), fx.cases(spark, folder))
+    return regions.lung_distribution(regions.region_counts(profile(spark, folder)), fx.cases(spark, folder))
 
 
 @check("d18_mask_distribution", """select case_id, ((min(z) filter (z >= 7 and lung = 1) + max(z) filter (z < 7 and lung = 1)) // 2)::bigint as z_cut,
@@ -178,7 +182,7 @@ def _(spark, folder):
        upper_lung_voxels as upper_voxels, lower_lung_voxels as lower_voxels, round(upper_lung_voxels*vol, 6) as upper_volume_mm3,
        round(lower_lung_voxels*vol, 6) as lower_volume_mm3 from shares""", "shares")
 def _(spark, folder):
-    return regions.lung_statistics(fx.voxels(spark, folder), fx.cases(spark, folder))
+    return regions.lung_statistics(profile(spark, folder), fx.cases(spark, folder))
 
 
 @check("e1_distance", "select case_id, z, y, x, lesion, round(dist_mm, 6) as dist_mm from feat", "feat")

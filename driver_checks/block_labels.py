@@ -11,6 +11,7 @@ from voxtable.functions import names
 from voxtable.operators import lesions, profile, sampling, slices
 from voxtable.plans.label_profile import profile_labels
 from voxtable.schema import label_dim
+from voxtable.session import written
 
 extend({
     "pairs": "select distinct case_id, z, lesion as label from vox where lesion <> 0",
@@ -27,7 +28,7 @@ def pairs(spark, folder):
 
 
 def training_pairs(spark, folder):
-    return profile.slice_label_pairs(slices.with_training_labels(fx.voxels(spark, folder)), "label")
+    return written(profile.slice_label_pairs(slices.with_training_labels(fx.voxels(spark, folder)), "label"), "pairs")
 
 
 @check("b6_unknown_labels", "select case_id, lesion, voxels from (select case_id, lesion + 2 as lesion, count(*) as voxels from vox where lesion > 0 group by all) where lesion > 4", "vox")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driver_checks import fixtures as fx
-from driver_checks.block_features import histogram
+from driver_checks.block_features import histogram, profile
 from driver_checks.registry import check, extend
 from voxtable.functions import grading
 from voxtable.operators import depth, lesions, regions, rules
@@ -55,7 +55,7 @@ def features(spark, folder):
 
 
 def distribution(spark, folder, rule="density"):
-    counts = regions.region_counts(fx.voxels(spark, folder)) if rule == "density" else regions.mask_region_counts(fx.masked_voxels(spark, folder))
+    counts = regions.region_counts(profile(spark, folder)) if rule == "density" else regions.mask_region_counts(fx.masked_voxels(spark, folder))
     return regions.lung_distribution(counts, fx.cases(spark, folder), rule)
 
 
@@ -81,7 +81,7 @@ def _(spark, folder):
        when dom = 'reticulation' then case when ggo then 'Reticulation with GGO' else 'Reticulation dominant' end when dom = 'consolidation' then 'Consolidation dominant'
        else 'Mixed or unclear pattern' end as lesion_pattern_reasons from vars""", "vars")
 def _(spark, folder):
-    rows = rules.lesion_pattern(lesions.lesion_summary(fx.voxels(spark, folder), fx.cases(spark, folder)))
+    rows = rules.lesion_pattern(lesions.lesion_summary(profile(spark, folder), fx.cases(spark, folder)))
     return rows.select("case_id", "lesion_pattern", "lesion_pattern_confidence", "lesion_pattern_reasons")
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from driver_checks import fixtures as fx
+from driver_checks.block_features import profile as profile_of_slices
 from driver_checks.registry import check
 from voxtable.operators import annotations as an
 from voxtable.operators import overlap, profile, rules, slices
@@ -95,7 +96,7 @@ def _(spark, folder):
 @check("a10_case_results", "select case_id, total_lesion_voxels, dominant_lesion from lsum", "lsum")
 def _(spark, folder):
     path = fresh(spark, "results")
-    rows = rules.lesion_pattern(lesion_summary(fx.voxels(spark, folder), fx.cases(spark, folder)))
+    rows = rules.lesion_pattern(lesion_summary(profile_of_slices(spark, folder), fx.cases(spark, folder)))
     sinks.write_case_results(rows, path)
     schema = "case_id bigint, total_lesion_voxels bigint, dominant_lesion string"
     return spark.read.schema(schema).json(path).select("case_id", "total_lesion_voxels", "dominant_lesion")

@@ -22,6 +22,8 @@ from voxtable.session import written
 
 # Cells are numbered in scan order with 21 bits per axis.
 _AXIS = 1 << 21
+# Planes of a stacked key that share a group.
+STACK = 16
 
 
 def cell_number(axes: Sequence[str]) -> Column:
@@ -54,14 +56,13 @@ def _merge(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _local_roots(cells: list[np.ndarray], base: list[int], tile: int, connectivity: int) -> np.ndarray:
+def _local_roots(cells: list[np.ndarray], base: list[int], size: list[int], steps: list[tuple[int, ...]]) -> np.ndarray:
     """Index of the first cell (in scan order) of each cell's component within the tile."""
-    k = len(cells)
     at = tuple(c - b + 1 for c, b in zip(cells, base))
-    grid = np.full((tile + 3,) * k, -1, dtype=np.int64)
+    grid = np.full([length + 3 for length in size], -1, dtype=np.int64)
     grid[at] = np.arange(len(cells[0]))
     left, right = [], []
-    for step in _half_neighbours(k, connectivity):
+    for step in steps:
         other = grid[tuple(a + s for a, s in zip(at, step))]
         found = np.nonzero(other >= 0)[0]
         left.append(found)
@@ -80,31 +81,43 @@ def _tiled(cells: DataFrame, axes: Sequence[str], tile: int) -> DataFrame:
 
 
 def local_components(
-    cells: DataFrame, keys: Sequence[str], axes: Sequence[str], connectivity: int, tile: int
+    cells: DataFrame, keys: Sequence[str], axes: Sequence[str], connectivity: int, tile: int, stacked: str | None = None
 ) -> DataFrame:
-    """Rows (keys, axes, ``root``, ``home``): one per cell and tile that sees it."""
+    """Rows (keys, axes, ``root``, ``home``): one per cell and tile that sees it.
+
+    ``stacked`` names a whole-number key whose neighbouring values share a group: small
+    planes then travel together, without being neighbours.
+    """
     keys, axes = list(keys), list(axes)
+    fixed = [name for name in keys if name != stacked]
+    moving = axes if stacked is None else [stacked, *axes]
+    steps = _half_neighbours(len(axes), connectivity)
+    steps = steps if stacked is None else [(0, *step) for step in steps]
+    size = [tile] * len(axes) if stacked is None else [STACK] + [tile] * len(axes)
     field = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
     ddl = ", ".join([f"{n} {field[n]}" for n in keys] + [f"{a} int" for a in axes] + ["root bigint", "home boolean"])
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def label(table: pa.Table) -> pa.Table:
-        at = [table.column(axis).to_numpy().astype(np.int64) for axis in axes]
-        number = np.zeros(len(at[0]), dtype=np.int64)
-        for values in at:
+        at = [table.column(name).to_numpy().astype(np.int64) for name in moving]
+        order = np.lexsort(at[::-1])
+        at = [values[order] for values in at]
+        number = np.zeros(len(order), dtype=np.int64)
+        for values in at[len(moving) - len(axes):]:
             number = number * _AXIS + values
-        order = np.argsort(number, kind="stable")
-        at, number = [values[order] for values in at], number[order]
-        base = [table.column(f"{axis}_tile")[0].as_py() * tile for axis in axes]
-        root = number[_local_roots(at, base, tile, connectivity)]
-        home = np.logical_and.reduce([values < b + tile for values, b in zip(at, base)])
-        columns = {name: table.column(name).slice(0, 1).to_pylist() * len(root) for name in keys}
-        columns.update({axis: values.astype(np.int32) for axis, values in zip(axes, at)})
+        base = [table.column(f"{name}_tile")[0].as_py() * length for name, length in zip(moving, size)]
+        root = number[_local_roots(at, base, size, steps)]
+        home = np.logical_and.reduce([values < b + length for values, b, length in zip(at, base, size)])
+        columns = {name: table.column(name).slice(0, 1).to_pylist() * len(root) for name in fixed}
+        columns.update(zip(moving, at))
         columns.update(root=root, home=home)
-        return pa.Table.from_pydict(columns, schema=schema)
+        arrays = [pa.array(columns[f.name]).cast(f.type) for f in schema]
+        return pa.Table.from_arrays(arrays, schema=schema)
 
     tiled = _tiled(cells.select(*keys, *axes), axes, tile)
-    return tiled.groupBy(*keys, *[f"{axis}_tile" for axis in axes]).applyInArrow(label, ddl)
+    if stacked is not None:
+        tiled = tiled.withColumn(f"{stacked}_tile", F.floor(F.col(stacked) / STACK).cast("bigint"))
+    return tiled.groupBy(*fixed, *[f"{name}_tile" for name in moving]).applyInArrow(label, ddl)
 
 
 def _stars(links: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -148,7 +161,8 @@ def _stars(links: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def connect(
-    cells: DataFrame, keys: Sequence[str], axes: Sequence[str], connectivity: int | None = None, tile: int | None = None
+    cells: DataFrame, keys: Sequence[str], axes: Sequence[str], connectivity: int | None = None, tile: int | None = None,
+    stacked: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Label cells with tile-local roots, and map every root to its component.
 
@@ -159,7 +173,7 @@ def connect(
     keys, axes = list(keys), list(axes)
     connectivity = len(axes) if connectivity is None else connectivity
     tile = (32 if len(axes) > 2 else 128) if tile is None else tile
-    local = written(local_components(cells, keys, axes, connectivity, tile), "components")
+    local = written(local_components(cells, keys, axes, connectivity, tile, stacked), "components")
     shared = F.lit(False)
     for axis in axes:
         shared = shared | ((F.pmod(F.col(axis), F.lit(tile)) == 0) & (F.col(axis) > 0))
@@ -213,10 +227,10 @@ def keep_components(labelled: DataFrame, roots: DataFrame, kept: DataFrame, keys
 
 
 def dust(
-    cells: DataFrame, keys: Sequence[str], axes: Sequence[str], min_size: int, tile: int | None = None
+    cells: DataFrame, keys: Sequence[str], axes: Sequence[str], min_size: int, tile: int | None = None, stacked: str | None = None
 ) -> DataFrame:
     """Drop fully connected components smaller than ``min_size`` cells."""
-    labelled, roots = connect(cells, keys, axes, tile=tile)
+    labelled, roots = connect(cells, keys, axes, tile=tile, stacked=stacked)
     kept = component_stats(labelled, roots, keys).where(F.col("size") >= min_size)
     return keep_components(labelled, roots, kept, keys)
 
@@ -225,4 +239,4 @@ def clean_labels(voxels: DataFrame, min_voxels: int = 1000, min_pixels: int = 10
     """Lesion voxels after dropping small same-label objects, in the volume and then per slice."""
     lesions = voxels.where(F.col("lesion") > 0).select("case_id", "lesion", "z", "y", "x")
     solid = dust(lesions, ["case_id", "lesion"], ["z", "y", "x"], min_voxels)
-    return dust(solid, ["case_id", "lesion", "z"], ["y", "x"], min_pixels).select("case_id", "z", "y", "x", "lesion")
+    return dust(solid, ["case_id", "lesion", "z"], ["y", "x"], min_pixels, stacked="z").select("case_id", "z", "y", "x", "lesion")

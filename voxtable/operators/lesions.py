@@ -40,39 +40,31 @@ def lesion_types(voxels: DataFrame, cases: DataFrame, labels: DataFrame) -> Data
     )
 
 
-def lesion_summary(voxels: DataFrame, cases: DataFrame) -> DataFrame:
+def lesion_summary(profile: DataFrame, cases: DataFrame) -> DataFrame:
     """One row per case, also without lesions: counts per type, totals, dominant lesion.
 
-    The lowest label id wins a tie for the dominant lesion.
+    Reads the slice profile (``regions.slice_profile``), not the voxels. The lowest label id
+    wins a tie for the dominant lesion.
     """
-    counts = lesion_counts(voxels).where(F.col("lesion").isin(*ANALYSIS_LABELS))
-    name = F.element_at(F.create_map(*[F.lit(v) for item in ANALYSIS_LABELS.items() for v in item]), F.col("lesion"))
-    per_case = counts.groupBy("case_id").agg(
-        *[F.sum(F.when(F.col("lesion") == key, F.col("voxels"))).alias(f"n_{text}") for key, text in ANALYSIS_LABELS.items()],
-        F.sum("voxels").alias("total_lesion_voxels"),
-        F.max_by(name, F.struct(F.col("voxels"), -F.col("lesion"))).alias("dominant_lesion"),
-    )
+    names = list(ANALYSIS_LABELS.values())
+    counted = profile.groupBy("case_id").agg(*[F.sum(f"n_{name}").alias(f"n_{name}") for name in names])
+    rows = cases.join(counted, "case_id", "left").fillna(0, [f"n_{name}" for name in names])
+    total = sum((F.col(f"n_{name}") for name in names), F.lit(0))
+    largest = F.greatest(*[F.col(f"n_{name}") for name in names])
+    # The first match in label order is the lowest label id.
+    dominant = F.coalesce(*[F.when((largest > 0) & (F.col(f"n_{name}") == largest), F.lit(name)) for name in names])
+    present = F.array_compact(F.array(*[F.when(F.col(f"n_{name}") > 0, F.lit(name)) for name in names]))
     volume = voxel_volume(F.col("sz"), F.col("sy"), F.col("sx"))
-    filled = cases.join(per_case, "case_id", "left").fillna(
-        0, [f"n_{text}" for text in ANALYSIS_LABELS.values()] + ["total_lesion_voxels"]
-    )
-    present = F.array_compact(F.array(*[F.when(F.col(f"n_{text}") > 0, F.lit(text)) for text in ANALYSIS_LABELS.values()]))
-    return filled.select(
-        "case_id",
-        *[f"n_{text}" for text in ANALYSIS_LABELS.values()],
-        present.alias("lesion_types"),
-        "total_lesion_voxels",
-        (F.col("total_lesion_voxels") * volume).alias("total_lesion_volume"),
-        "dominant_lesion",
+    return rows.select(
+        "case_id", *[f"n_{name}" for name in names], present.alias("lesion_types"),
+        total.alias("total_lesion_voxels"), (total * volume).alias("total_lesion_volume"), dominant.alias("dominant_lesion"),
     )
 
 
-def lung_coverage(voxels: DataFrame) -> DataFrame:
+def lung_coverage(profile: DataFrame) -> DataFrame:
     """Lung voxels, lesion voxels inside the lung, and their ratio, per case."""
-    in_lung = F.col("lung") > 0
-    totals = voxels.groupBy("case_id").agg(
-        F.count_if(in_lung).alias("lung_voxels"),
-        F.count_if(in_lung & (F.col("lesion") > 0)).alias("lesion_voxels"),
+    totals = profile.groupBy("case_id").agg(
+        F.sum("lung_voxels").alias("lung_voxels"), F.sum("lesion_voxels").alias("lesion_voxels")
     )
     share = ratio(F.col("lesion_voxels"), F.col("lung_voxels"))
     return totals.select("*", share.alias("lesion_lung_ratio"), (share * 100).alias("coverage_percent"))

@@ -19,7 +19,7 @@ def segment_lungs(
 ) -> DataFrame:
     """Pixels of the lung mask: threshold, inner parts, the two largest, smoothing, outline, filling."""
     dark = voxels.where(below_threshold(F.col("hu"), threshold)).select("case_id", "z", "y", "x")
-    labelled, roots = connect(dark, SLICE, ["y", "x"])
+    labelled, roots = connect(dark, SLICE, ["y", "x"], stacked="z")
     lungs = second_largest_up(inner_components(labelled, roots, cases))
     parts = written(keep_components(labelled, roots, lungs, SLICE), "parts")
     slices = parts.select(*SLICE).distinct()

@@ -201,10 +201,15 @@ def frame_complement(pixels: DataFrame, masks: DataFrame, keys: Sequence[str]) -
     return every.join(pixels.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
 
 
+def _numeric(rows: DataFrame, key: str) -> str | None:
+    """The key if masks with neighbouring values can share a group."""
+    return key if dict(rows.dtypes)[key] in ("int", "bigint") else None
+
+
 def fill_small_holes(pixels: DataFrame, masks: DataFrame, keys: Sequence[str], min_area: int) -> tuple[DataFrame, DataFrame]:
     """Add background regions (8-connected) smaller than ``min_area``; also the masks changed."""
     keys = list(keys)
-    labelled, roots = connect(frame_complement(pixels, masks, keys), keys, ["y", "x"])
+    labelled, roots = connect(frame_complement(pixels, masks, keys), keys, ["y", "x"], stacked=_numeric(pixels, keys[-1]))
     small = component_stats(labelled, roots, keys).where(F.col("size") < min_area)
     filled = pixels.select(*keys, "y", "x").unionByName(keep_components(labelled, roots, small, keys).select(*keys, "y", "x"))
     return filled, small.select(*keys).distinct()
@@ -213,7 +218,7 @@ def fill_small_holes(pixels: DataFrame, masks: DataFrame, keys: Sequence[str], m
 def drop_small_islands(pixels: DataFrame, keys: Sequence[str], min_area: int) -> tuple[DataFrame, DataFrame]:
     """Drop regions (8-connected) smaller than ``min_area``; if all are, keep the largest."""
     keys = list(keys)
-    labelled, roots = connect(pixels, keys, ["y", "x"])
+    labelled, roots = connect(pixels, keys, ["y", "x"], stacked=_numeric(pixels, keys[-1]))
     sizes = component_stats(labelled, roots, keys)
     largest = sizes.groupBy(*keys).agg(F.max_by("component", F.struct(F.col("size"), -F.col("component"))).alias("largest"),
                                        F.max("size").alias("top"))

@@ -115,7 +115,7 @@ def inner_components(labelled: DataFrame, roots: DataFrame, cases: DataFrame) ->
 
 def clear_border(pixels: DataFrame, cases: DataFrame) -> DataFrame:
     """Drop 8-connected components that touch the slice edge."""
-    labelled, roots = connect(pixels, SLICE, ["y", "x"])
+    labelled, roots = connect(pixels, SLICE, ["y", "x"], stacked="z")
     return keep_components(labelled, roots, inner_components(labelled, roots, cases), SLICE)
 
 
@@ -126,7 +126,7 @@ def second_largest_up(components: DataFrame) -> DataFrame:
 
 
 def two_largest(pixels: DataFrame) -> DataFrame:
-    labelled, roots = connect(pixels, SLICE, ["y", "x"])
+    labelled, roots = connect(pixels, SLICE, ["y", "x"], stacked="z")
     return keep_components(labelled, roots, second_largest_up(component_stats(labelled, roots, SLICE)), SLICE)
 
 
@@ -149,7 +149,7 @@ def holes(pixels: DataFrame, cases: DataFrame) -> DataFrame:
         .select(*LINE, (F.col("x1") + 1).alias("x0"), (following - 1).alias("x1"))
         .where(F.col("x0") <= F.col("x1"))
     )
-    labelled, roots = connect(run_pixels(gaps), SLICE, ["y", "x"], connectivity=1)
+    labelled, roots = connect(run_pixels(gaps), SLICE, ["y", "x"], connectivity=1, stacked="z")
     inner = component_stats(labelled, roots, SLICE, ["y", "x"]).join(box, SLICE).where(
         (F.col("min_y") > F.col("y0")) & (F.col("min_x") > F.col("x0"))
         & (F.col("max_y") < F.col("y1")) & (F.col("max_x") < F.col("x1"))

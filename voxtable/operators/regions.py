@@ -6,38 +6,49 @@ are shuffled only as partial counts and never joined to the cut.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtable.functions.geometry import ratio, voxel_volume
 from voxtable.operators import rules
+from voxtable.schema import ANALYSIS_LABELS
 
 UPPER_LOWER_PERCENTILE = 60.0
 
 
 def slice_profile(voxels: DataFrame) -> DataFrame:
-    """Lung and lesion-in-lung voxels per case and slice."""
+    """Lung voxels, lesion-in-lung voxels and voxels per lesion label, by case and slice."""
     in_lung = F.col("lung") > 0
     return voxels.groupBy("case_id", "z").agg(
         F.count_if(in_lung).alias("lung_voxels"),
         F.count_if(in_lung & (F.col("lesion") > 0)).alias("lesion_voxels"),
+        *[F.count_if(F.col("lesion") == label).alias(f"n_{name}") for label, name in ANALYSIS_LABELS.items()],
     )
 
 
+def _cut(percentile: float) -> Column:
+    weight = F.nullif(F.col("lung_voxels"), F.lit(0))
+    z = F.when(weight.isNotNull(), F.col("z"))
+    return F.percentile(z, F.lit(percentile / 100), F.coalesce(weight, F.lit(1)))
+
+
 def region_cut(profile: DataFrame, percentile: float = UPPER_LOWER_PERCENTILE) -> DataFrame:
     """Slice that divides the lung: the percentile of z over lung voxels, cut to a whole number."""
     weighted = profile.where(F.col("lung_voxels") > 0)
-    return weighted.groupBy("case_id").agg(
-        F.percentile("z", F.lit(percentile / 100), F.col("lung_voxels")).cast("int").alias("z_cut")
-    )
+    return weighted.groupBy("case_id").agg(_cut(percentile).cast("int").alias("z_cut"))
 
 
-def region_counts(voxels: DataFrame, percentile: float = UPPER_LOWER_PERCENTILE) -> DataFrame:
-    """Lung and lesion voxels above and below the cut; cases without lung voxels have no row."""
-    profile = slice_profile(voxels)
+def region_counts(profile: DataFrame, percentile: float = UPPER_LOWER_PERCENTILE) -> DataFrame:
+    """Lung and lesion voxels above and below the cut; cases without lung voxels have no row.
+
+    The cut is a window over the slices of a case, so the profile is computed once.
+    """
+    cut = _cut(percentile).over(Window.partitionBy("case_id")).cast("int")
     upper = F.col("z") >= F.col("z_cut")
     return (
-        profile.join(region_cut(profile, percentile), "case_id")
+        profile.select("case_id", "z", "lung_voxels", "lesion_voxels")
+        .withColumn("z_cut", cut)
+        .where(F.col("z_cut").isNotNull())
         .groupBy("case_id", "z_cut")
         .agg(
             F.sum(F.when(upper, F.col("lung_voxels")).otherwise(0)).alias("upper_lung_voxels"),
@@ -102,10 +113,10 @@ def lung_distribution(counts: DataFrame, cases: DataFrame, rule: str = "density"
     ).drop("known")
 
 
-def lung_statistics(voxels: DataFrame, cases: DataFrame, percentile: float = UPPER_LOWER_PERCENTILE) -> DataFrame:
+def lung_statistics(profile: DataFrame, cases: DataFrame, percentile: float = UPPER_LOWER_PERCENTILE) -> DataFrame:
     """Voxels and volume of the lung and its two parts, per case."""
     volume = voxel_volume(F.col("sz"), F.col("sy"), F.col("sx"))
-    rows = cases.join(region_counts(voxels, percentile), "case_id", "left").fillna(0, ["total_lung_voxels"])
+    rows = cases.join(region_counts(profile, percentile), "case_id", "left").fillna(0, ["total_lung_voxels"])
     return rows.select(
         "case_id",
         F.col("total_lung_voxels").alias("total_voxels"),

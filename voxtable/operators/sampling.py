@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxtable.functions.draws import SEED, draw_element, draw_number, draw_unit
 from voxtable.operators.ranking import seeded_rank
 from voxtable.schema import TRAINING_LESIONS
+from voxtable.session import written
 
 
 def label_slice_counts(pairs: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def stratified_split(
     rows: DataFrame, strata: Sequence[str], key: Column, valid: float = 0.1, test: float = 0.1, seed: int = SEED
 ) -> DataFrame:
     """Add ``split`` with exact quotas in every stratum."""
-    ranked = seeded_rank(rows, strata, key, seed)
+    ranked = seeded_rank(written(rows, "strata"), strata, key, seed)
     split = split_of(F.col("place"), F.col("group_size"), valid, test)
     return ranked.withColumn("split", split).drop("place", "group_size")
 

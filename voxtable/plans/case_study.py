@@ -24,16 +24,19 @@ class Study(NamedTuple):
     failures: DataFrame
 
 
-def case_features(voxels: DataFrame, cases: DataFrame, rule: str = "density", features: DataFrame | None = None) -> DataFrame:
+def case_features(
+    voxels: DataFrame, cases: DataFrame, rule: str = "density", profile: DataFrame | None = None
+) -> DataFrame:
     """One row per case with the variables the rules read.
 
-    ``rule="gap"`` uses given ``upper`` and ``lower`` mask columns. The depth histogram is
-    the only product of the distance map that is kept; it is written once and read twice.
+    The voxels are read twice: for the slice profile, and for the distance map, of which
+    only the depth histogram is kept. ``rule="gap"`` reads given ``upper`` and ``lower``
+    mask columns as well.
     """
-    depths = voxel_features(voxels, cases) if features is None else features
-    histogram = written(depth.depth_histogram(depths), "depth")
-    counts = regions.mask_region_counts(voxels) if rule == "gap" else regions.region_counts(voxels)
-    lesions = rules.lesion_pattern(lesion_summary(voxels, cases))
+    profile = written(regions.slice_profile(voxels), "profile") if profile is None else profile
+    histogram = written(depth.depth_histogram(voxel_features(voxels, cases)), "depth")
+    counts = regions.mask_region_counts(voxels) if rule == "gap" else regions.region_counts(profile)
+    lesions = rules.lesion_pattern(lesion_summary(profile, cases))
     distribution = regions.lung_distribution(counts, cases, rule).withColumnsRenamed({
         "total_lesion_voxels": "lung_lesion_voxels", "total_lesion_volume": "lung_lesion_volume",
     })
@@ -47,9 +50,9 @@ def case_features(voxels: DataFrame, cases: DataFrame, rule: str = "density", fe
     )
 
 
-def _checked(voxels: DataFrame, cases: DataFrame) -> DataFrame:
+def _checked(profile: DataFrame, cases: DataFrame) -> DataFrame:
     """``error`` per case, decided before the heavy part: no voxels, or no lung."""
-    coverage = lung_coverage(voxels).select("case_id", "lung_voxels")
+    coverage = lung_coverage(profile).select("case_id", "lung_voxels")
     rows = cases.join(coverage, "case_id", "left")
     # Error texts.
     error = F.when(F.col("lung_voxels").isNull(), "Failed to load case data").when(
@@ -85,11 +88,12 @@ def case_results(features: DataFrame, classified: DataFrame) -> DataFrame:
 
 def analyse(voxels: DataFrame, cases: DataFrame, rule: str = "density") -> Study:
     """Analyse every case; cases that cannot be analysed become failures and do not stop the rest."""
-    checked = _checked(voxels, cases)
+    profile = written(regions.slice_profile(voxels), "profile")
+    checked = written(_checked(profile, cases), "checked")
     failures = checked.where("error is not null").select("case_id", "error")
     sound = checked.where("error is null").select(*cases.columns)
-    # Cases without lung drop out of the voxel side by having no lung rows; only totals need the filter.
-    features = written(case_features(voxels, sound, rule), "features")
+    # Cases without lung have no lung voxels, so the heavy side needs no filter.
+    features = written(case_features(voxels, sound, rule, profile), "features")
     classified = rules.classify(features)
     return Study(features, classified, case_results(features, classified), failures)
 

@@ -28,7 +28,8 @@ def generate_masks(voxels: DataFrame, cases: DataFrame, existing: DataFrame, **s
     wanted = voxels.join(todo.select("case_id"), "case_id", "left_semi")
     lung = written(segment_lungs(wanted, todo, **segmentation), "lung")
     masks = region_masks(lung)
-    statistics = lung_statistics(lung.withColumns({"lung": F.lit(1), "lesion": F.lit(0)}), todo)
+    profile = lung.groupBy("case_id", "z").agg(F.count("*").alias("lung_voxels"), F.lit(0).alias("lesion_voxels"))
+    statistics = lung_statistics(profile, todo)
     # Fixed value: error text.
     error = F.when(F.col("total_voxels") == 0, "Failed to segment lungs")
     processed = statistics.select(

@@ -192,13 +192,13 @@ def mask_records(rows: DataFrame) -> DataFrame:
 
 
 def frame_complement(pixels: DataFrame, masks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pixels of each mask's frame that the mask does not cover."""
-    every = (
-        masks.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
-        .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-        .select(*keys, "y", "x")
-    )
-    return every.join(pixels.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
+    """Pixels of each mask's frame that the mask does not cover: the gaps along its lines."""
+    line = [*keys, "y"]
+    lines = masks.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
+    ends = lines.select(*line, F.explode(F.array(F.lit(-1), F.col("w"))).alias("x"))
+    following = F.lead("x").over(Window.partitionBy(*line).orderBy("x"))
+    gaps = pixels.select(*line, "x").unionByName(ends).select(*line, (F.col("x") + 1).alias("first"), (following - 1).alias("last"))
+    return gaps.where(F.col("first") <= F.col("last")).select(*line, F.explode(F.sequence("first", "last")).alias("x"))
 
 
 def _numeric(rows: DataFrame, key: str) -> str | None:

@@ -58,7 +58,7 @@ def distance_map(
     keys: Sequence[str] = ("case_id",),
     axes: Sequence[str] = ("z", "y", "x"),
     geometry_key: str = "case_id",
-    tile: int = 32,
+    tile: int = 16,
     carry: str | None = None,
     out: str = "dist_mm",
 ) -> DataFrame:
@@ -178,13 +178,13 @@ def volume_geometry(cases: DataFrame) -> DataFrame:
     )
 
 
-def lung_depth(voxels: DataFrame, cases: DataFrame, tile: int = 32) -> DataFrame:
+def lung_depth(voxels: DataFrame, cases: DataFrame, tile: int = 16) -> DataFrame:
     """Distance of every lung voxel to the nearest voxel outside the lung, in mm."""
     lung = voxels.where(F.col("lung") > 0).select("case_id", "z", "y", "x")
     return distance_map(lung, volume_geometry(cases), tile=tile)
 
 
-def voxel_features(voxels: DataFrame, cases: DataFrame, tile: int = 32) -> DataFrame:
+def voxel_features(voxels: DataFrame, cases: DataFrame, tile: int = 16) -> DataFrame:
     """Lung voxels with lesion label and depth: the one table all depth measures read."""
     lung = voxels.where(F.col("lung") > 0).select("case_id", "z", "y", "x", "lesion")
     return distance_map(lung, volume_geometry(cases), tile=tile, carry="lesion")

@@ -26,26 +26,33 @@ BOX = ["x0", "y0", "x1", "y1"]
 
 
 def _filed(boxes: DataFrame, threshold: float) -> DataFrame:
-    """Boxes with the grid cells they belong to: two size levels and two cells per axis."""
+    """Boxes with the grid cells they belong to: two size levels and two cells per axis.
+
+    ``home_x``/``home_y`` mark rows on the box's own level.
+    """
     growth = math.log(1 / threshold)
 
+    def level(low: Column, high: Column) -> Column:
+        return F.floor(F.log(F.greatest((high - low).cast("double"), F.lit(1e-9))) / growth)
+
     def places(low: Column, high: Column) -> Column:
-        length = F.greatest((high - low).cast("double"), F.lit(1e-9))
-        level = F.floor(F.log(length) / growth)
+        own = level(low, high)
 
         def at(shift: int, side: int) -> Column:
             # Cells at least twice the largest centre shift between partners of this level.
-            size = 2 * (1 - threshold) * F.exp((level + shift + 1) * growth) + 1e-9
+            size = 2 * (1 - threshold) * F.exp((own + shift + 1) * growth) + 1e-9
             return F.struct(
-                (level + shift).alias("level"),
+                (own + shift).alias("level"),
                 F.floor(((low + high) / 2 + side * size / 4) / size).alias("cell"),
             )
 
         return F.array_distinct(F.array(*[at(shift, side) for shift in (0, 1) for side in (-1, 1)]))
 
+    x, y = (F.col("x0"), F.col("x1")), (F.col("y0"), F.col("y1"))
     return (
-        boxes.withColumn("across", F.explode(places(F.col("x0"), F.col("x1"))))
-        .withColumn("down", F.explode(places(F.col("y0"), F.col("y1"))))
+        boxes.withColumn("across", F.explode(places(*x)))
+        .withColumn("down", F.explode(places(*y)))
+        .withColumns({"home_x": F.col("across.level") == level(*x), "home_y": F.col("down.level") == level(*y)})
     )
 
 
@@ -53,7 +60,7 @@ CELL = ["group", "across", "down"]
 
 
 def _prefixed(rows: DataFrame, prefix: str) -> DataFrame:
-    return rows.select(*CELL, *[F.col(c).alias(f"{prefix}{c}") for c in ["id", *BOX, "rank"]])
+    return rows.select(*CELL, *[F.col(c).alias(f"{prefix}{c}") for c in ["id", *BOX, "rank", "home_x", "home_y"]])
 
 
 def _overlaps(threshold: float, prefix: str) -> Column:
@@ -98,11 +105,15 @@ def overlapping_pairs(boxes: DataFrame, threshold: float, group: str = "image_id
 
 
 def _pairs(open_boxes: DataFrame, threshold: float) -> DataFrame:
-    filed = _filed(open_boxes, threshold)
+    # Few rows make many comparisons here, so the number of tasks must not follow the row volume.
+    tasks = int(open_boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = _filed(open_boxes, threshold).repartition(tasks, *CELL)
     iou = box_iou([F.col(c) for c in BOX], [F.col(f"k_{c}") for c in BOX])
+    # Partners meet on the level of the larger one, where at least one of them is at home.
+    meet = (F.col("home_x") | F.col("k_home_x")) & (F.col("home_y") | F.col("k_home_y"))
     return (
         filed.join(_prefixed(filed, "k_"), CELL)
-        .where(F.col("k_rank") > F.col("rank"))
+        .where((F.col("k_rank") > F.col("rank")) & meet)
         .withColumn("iou", iou)
         .where(F.col("iou") > threshold)
         .select("group", F.col("k_id").alias("better"), F.col("id").alias("worse"), "iou")

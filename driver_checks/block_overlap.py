@@ -92,7 +92,10 @@ def _(spark, folder):
     return nan_to_null(overlap.mean_class_dice(overlap.class_dice(counts(spark, folder))), "mean_dice")
 
 
-@check("i7_evaluation", """select m.label, round(m.mean_dice, 6) as mean_dice, m.samples, round((select avg(mean_dice) from means), 6) as macro_dice from means m""", "means")
+@check("i7_evaluation", """select label::varchar as score, round(mean_dice, 6) as dice from means union all select 'macro', round(avg(mean_dice), 6) from means
+       union all select 'binary', round(avg(2*tp / (2*tp + fp + fn + 1e-8)), 6) from confusion""", "means", "confusion")
 def _(spark, folder):
     result = evaluate(fx.prediction(spark, folder), fx.truth(spark, folder), fx.slices(spark, folder))
-    return result.class_dice.join(F.broadcast(result.macro_dice))
+    classes = result.class_dice.select(F.col("label").cast("string").alias("score"), F.col("mean_dice").alias("dice"))
+    macro = result.macro_dice.select(F.lit("macro").alias("score"), F.col("macro_dice").alias("dice"))
+    return classes.unionByName(macro).unionByName(result.binary_dice.select(F.lit("binary").alias("score"), F.col("mean_dice").alias("dice")))

@@ -148,7 +148,7 @@ def _(spark, folder):
 
 @check("e7_fill_holes", "select * from spots_filled", "spots_filled")
 def _(spark, folder):
-    return planar.fill_holes(spots(spark, folder), fx.cases(spark, folder))
+    return planar.fill_holes(spots(spark, folder))
 
 
 @check("e8_edges", "select * from spots_edges", "spots_edges")

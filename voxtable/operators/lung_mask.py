@@ -25,7 +25,7 @@ def segment_lungs(
     slices = parts.select(*SLICE).distinct()
     shrunk = eroded_runs(pixel_runs(parts), cases, slices, erosion)
     closed = eroded_runs(dilated_runs(shrunk, cases, closing), cases, slices, closing)
-    return fill_holes(written(edge_pixels(run_pixels(closed), cases), "outline"), cases)
+    return fill_holes(written(edge_pixels(run_pixels(closed), cases), "outline"))
 
 
 def region_masks(lung: DataFrame, percentile: float = UPPER_LOWER_PERCENTILE) -> DataFrame:

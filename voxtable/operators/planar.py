@@ -130,7 +130,7 @@ def two_largest(pixels: DataFrame) -> DataFrame:
     return keep_components(labelled, roots, second_largest_up(component_stats(labelled, roots, SLICE)), SLICE)
 
 
-def holes(pixels: DataFrame, cases: DataFrame) -> DataFrame:
+def holes(pixels: DataFrame) -> DataFrame:
     """Background pixels with no 4-connected way to the slice edge.
 
     Only the box around the mask is searched: background on the box edge is already outside.
@@ -157,9 +157,9 @@ def holes(pixels: DataFrame, cases: DataFrame) -> DataFrame:
     return keep_components(labelled, roots, inner, SLICE)
 
 
-def fill_holes(pixels: DataFrame, cases: DataFrame) -> DataFrame:
+def fill_holes(pixels: DataFrame) -> DataFrame:
     mask = pixels.select(*LINE, "x")
-    return mask.unionByName(holes(mask, cases).select(*LINE, "x"))
+    return mask.unionByName(holes(mask).select(*LINE, "x"))
 
 
 def edge_pixels(pixels: DataFrame, cases: DataFrame) -> DataFrame:

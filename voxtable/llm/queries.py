@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import chat, packing, urls
+from voxtable.llm import chat, ids, jaccard, packing, pieces, urls, vafile
 from voxtable.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,27 +15,58 @@ Query = Callable[[SparkSession, str], DataFrame]
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, folder, "documents"))
+
+
 def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     return chat.digest(chat.read_windows(chat.format_windows(turns.unionByName(extra))))
 
 
+def id_files(spark: SparkSession, folder: str) -> DataFrame:
+    return ids.binary_output(table(spark, folder, "documents"))
+
+
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = vafile.integers(table(spark, folder, "embeddings"))
+    return vafile.top_k(vectors.where("vec_id % 20 = 0"), vectors)
+
+
 def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"))
 
 
+def piece_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard_join": jaccard_join,
     "op3_chat_formatting": chat_format,
+    "op5_token_id_output": id_files,
     "op7_best_fit_packing": best_fit_packing,
+    "op8_exact_top_k": exact_search,
     "op9_url_filters": url_filter,
+    "op10_sentencepiece": piece_ids,
 }
 
 ORACLE: dict[str, str] = {
+    "op8_exact_top_k": """
+    with usable as (
+        select vec_id, list_transform(embedding, lambda v: cast(floor(64 * cast(v as double)) as bigint)) as x from embeddings
+        where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+    scored as (
+        select q.vec_id as query_id, c.vec_id, cast(list_dot_product(cast(q.x as double[]), cast(c.x as double[])) as bigint) as score
+        from usable q join usable c on q.vec_id <> c.vec_id and len(q.x) = len(c.x) where q.vec_id % 20 = 0)
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from scored
+    qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
+    """,
     "op3_chat_formatting": """
     with rows as (
         select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import chat, ids, jaccard, packing, pieces, urls, vafile
-from voxtable.llm.common import table
+from voxtable.llm import chat, ids, jaccard, packing, pieces, quality, toxicity, urls, vafile
+from voxtable.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: A conversation whose texts hold control strings of chat templates.
@@ -19,12 +19,32 @@ def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_components(table(spark, folder, "documents"))
 
 
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"), remainder("doc_id", 3) != 1)
+    score = F.col("toxicity_score")
+    return toxicity.scored(docs, model).select(
+        "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), score.alias("score"),
+        (score >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     return chat.digest(chat.read_windows(chat.format_windows(turns.unionByName(extra))))
 
 
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"), remainder("doc_id", 5) != 0)
+    score = F.col("quality_score")
+    return quality.scored(docs, model).select(
+        "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), score.alias("score"),
+        (score >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def id_files(spark: SparkSession, folder: str) -> DataFrame:
     return ids.binary_output(table(spark, folder, "documents"))
 
@@ -48,7 +68,9 @@ def piece_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": jaccard_join,
+    "op2_toxicity": toxicity_scores,
     "op3_chat_formatting": chat_format,
+    "op4_quality_classifier": quality_scores,
     "op5_token_id_output": id_files,
     "op7_best_fit_packing": best_fit_packing,
     "op8_exact_top_k": exact_search,

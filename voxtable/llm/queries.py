@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import chat, ids, jaccard, packing, pieces, quality, toxicity, urls, vafile
+from voxtable.llm import chat, ids, jaccard, neighbours, packing, pieces, quality, toxicity, urls, vafile
 from voxtable.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def id_files(spark: SparkSession, folder: str) -> DataFrame:
     return ids.binary_output(table(spark, folder, "documents"))
 
 
+def embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, folder, "embeddings"))[0]
+
+
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op3_chat_formatting": chat_format,
     "op4_quality_classifier": quality_scores,
     "op5_token_id_output": id_files,
+    "op6_embedding_near_dedup": embedding_duplicates,
     "op7_best_fit_packing": best_fit_packing,
     "op8_exact_top_k": exact_search,
     "op9_url_filters": url_filter,

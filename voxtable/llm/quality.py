@@ -25,6 +25,8 @@ from voxtable.llm.common import WordHasher, joined_words, labelled_sample, mixed
 
 #: Labelled rows of each class that the network learns from, at most.
 PER_CLASS = 1500
+#: A small sample is read again until so many steps are done.
+LEAST_STEPS = 800
 THRESHOLD = 0.3
 HOP = 256
 WIDTH = 5
@@ -115,7 +117,7 @@ class Network:
         mean = np.add.reduceat(chunks, first, axis=0) / hops[:, None]
         return mean @ self.mean_weight + np.maximum.reduceat(chunks, first, axis=0) @ self.max_weight + self.constant[0]
 
-    def gradients(self, x: np.ndarray, hops: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    def gradients(self, x: np.ndarray, hops: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         raw = self.responses(x).reshape(-1, HOP, FILTERS)
         place = raw.argmax(1) + HOP * np.arange(len(raw))[:, None]
         pools = np.maximum(raw.max(1) + self.bias, 0)
@@ -125,7 +127,7 @@ class Network:
         first, text = np.cumsum(hops) - hops, np.repeat(np.arange(len(hops)), hops)
         mean, top = np.add.reduceat(chunks, first, axis=0) / hops[:, None], np.maximum.reduceat(chunks, first, axis=0)
         p = 1 / (1 + np.exp(-(mean @ self.mean_weight + top @ self.max_weight + self.constant[0])))
-        error = ((p - y) / len(y)).astype(np.float32)
+        error = ((p - y) * weight / len(y)).astype(np.float32)
         per_chunk = (error / hops)[text][:, None] * self.mean_weight + error[text][:, None] * self.max_weight * (chunks == top[text]) / np.maximum(
             1, np.add.reduceat((chunks == top[text]).astype(np.float32), first, axis=0))[text]
         own = pools >= after
@@ -144,15 +146,18 @@ class Network:
     def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 8, batch: int = 16, rate: float = 0.01, seed: int = 5) -> "Network":
         hasher, rng = WordHasher(WHITE, lower=False), np.random.default_rng(seed)
         inputs = [symbols(hasher, [t]) for t in texts]
+        epochs = max(epochs, -(-LEAST_STEPS * batch // len(texts)))
+        # Both labels weigh the same.
+        weight = np.where(y > 0.5, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
         first, second = ([np.zeros_like(p) for p in self.parameters()] for _ in range(2))
         step = 0
         for epoch in range(epochs):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
-                grads = self.gradients(np.concatenate([inputs[i][0] for i in some]), np.concatenate([inputs[i][1] for i in some]), y[some])
+                grads = self.gradients(np.concatenate([inputs[i][0] for i in some]), np.concatenate([inputs[i][1] for i in some]), y[some], weight[some])
                 step += 1
-                pace = rate * 0.7**epoch * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                pace = rate * 0.02 ** (epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for p, g, m, v in zip(self.parameters(), grads, first, second):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)

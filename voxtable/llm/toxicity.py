@@ -27,6 +27,8 @@ from voxtable.llm.common import WordHasher, joined_words, labelled_sample, text_
 
 #: Labelled rows of each class that the network learns from, at most.
 PER_CLASS = 1500
+#: A small sample is read again until so many steps are done.
+LEAST_STEPS = 600
 THRESHOLD = 0.7
 WINDOW = 32
 STRIDE = 24
@@ -167,7 +169,7 @@ class Network:
         worst = np.maximum.reduceat(self.window_logits(x), np.flatnonzero(np.diff(x.text, prepend=-1)))
         return _sigmoid(np.clip(worst.astype(np.float64), -60, 60))
 
-    def gradients(self, x: Inputs, y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    def gradients(self, x: Inputs, y: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Of the dense parameters, and of the input vectors of the distinct words, with their word rows."""
         h = HIDDEN
         vectors, row = self._vectors(x)
@@ -176,7 +178,7 @@ class Network:
         share = np.exp(logits - np.maximum.reduceat(logits, first)[x.text])
         share /= np.add.reduceat(share, first)[x.text]
         total = np.add.reduceat(share * logits, first)
-        error = ((_sigmoid(total) - y) / len(y)).astype(np.float32)
+        error = ((_sigmoid(total) - y) * counts / len(y)).astype(np.float32)
         d_logit = (share * error[x.text]).astype(np.float32)
         d_pooled = d_logit[:, None] * self.out
         d_states = weight[:, :, None] * d_pooled
@@ -213,6 +215,9 @@ class Network:
         self.words = np.sort(values[common[counts[common] >= WORD_TEXTS]])
         self.word_vectors = np.zeros((len(self.words) + 1, WORD_SIZE), np.float32)
         word_power, gram_power = np.full(len(self.words) + 1, 1e-6, np.float32), np.full(GRAM_SLOTS, 1e-6, np.float32)
+        epochs = max(epochs, -(-LEAST_STEPS * batch // len(texts)))
+        # Both labels weigh the same.
+        weight = np.where(y > 0.5, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
         first, second = ([np.zeros_like(p) for p in self.dense()] for _ in range(2))
         step = 0
         for epoch in range(epochs):
@@ -220,9 +225,9 @@ class Network:
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
                 x = Inputs(hasher, [texts[i] for i in some])
-                grads, d_vectors, row = self.gradients(x, y[some])
+                grads, d_vectors, row = self.gradients(x, y[some], weight[some])
                 step += 1
-                fall = 0.75**epoch
+                fall = 0.05 ** (epoch / epochs)
                 pace = rate * fall * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for p, g, m, v in zip(self.dense(), grads, first, second):
                     m += 0.1 * (g - m)

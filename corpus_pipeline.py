@@ -21,16 +21,25 @@ WORDS, PERCENT = 5, 80
 UNNAMED = 1 << 62
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network does not reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
-    return quality.scored(docs, model).where(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    score = _free(docs, "score")
+    return quality.scored(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network does not reject."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
-    return toxicity.scored(docs, model).where(F.col("toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = _free(docs, "score")
+    return toxicity.scored(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +47,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words belong to no group and stay.
     """
-    mark = F.xxhash64("text")
+    mark, own, stamp = F.xxhash64("text"), _free(docs, "name"), _free(docs, "mark")
     name = F.coalesce(F.col("doc_id").cast("long"), F.lit(UNNAMED) + F.shiftrightunsigned(mark, 2))
-    named = docs.withColumn("_name", name)
-    groups = jaccard.similar_components(named.select(F.col("_name").alias("doc_id"), "text"), WORDS, PERCENT)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_name"))
-    return named.join(first, "_name", "left_semi").withColumn("_mark", mark).dropDuplicates(["_name", "_mark"]).select(*docs.columns)
+    named = docs.withColumn(own, name)
+    groups = jaccard.similar_components(named.select(F.col(own).alias("doc_id"), "text"), WORDS, PERCENT)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(own))
+    return named.join(first, own, "left_semi").withColumn(stamp, mark).dropDuplicates([own, stamp]).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

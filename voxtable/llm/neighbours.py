@@ -144,7 +144,7 @@ def descend(graph: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     pairs = pairs.unionByName(vectors.select(F.col("vec_id").alias("at"), "vec_id")).distinct()
     crowd = pairs.groupBy("at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     members = pairs.join(crowd, "at").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("parts")
-    members = members.join(vectors.select("vec_id", "x"), "vec_id")
+    members = members.join(vectors, "vec_id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out, size = None, ([], [], []), 0
@@ -162,13 +162,17 @@ def descend(graph: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     def grouped(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         out = ([], [], [])
         if len(rows):
-            ids, units = rows["vec_id"].to_numpy(), _units(_matrix(rows["x"]))
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                for store, value in zip(out, _best(ids[a:b], units[a:b], k)):
-                    store.append(value)
+            ids, dims = rows["vec_id"].to_numpy(), rows["dims"].to_numpy()
+            turns = np.flatnonzero(np.diff(dims, prepend=-1, append=-1))  # rows of one length follow each other
+            for lo, hi in zip(turns[:-1].tolist(), turns[1:].tolist()):
+                units = _units(_matrix(rows["x"].slice(lo, hi - lo)))
+                own = starts[(starts >= lo) & (starts <= hi)]
+                for a, b in zip(own[:-1].tolist(), own[1:].tolist()):
+                    for store, value in zip(out, _best(ids[a:b], units[a - lo : b - lo], k)):
+                        store.append(value)
         return _edges(*out)
 
-    near = members.repartition("at", "part").sortWithinPartitions("at", "part").select("at", "part", "vec_id", "x").mapInArrow(meet, _EDGE)
+    near = members.repartition("at", "part").sortWithinPartitions("dims", "at", "part").select("at", "part", "vec_id", "dims", "x").mapInArrow(meet, _EDGE)
     return graph.unionByName(near)
 
 

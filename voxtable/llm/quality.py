@@ -51,14 +51,15 @@ def repeats(hasher: WordHasher, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
     mark[came(h, 8)] = 1
     with np.errstate(over="ignore"):
         pair = h.copy()
-        pair[1:] = mixed(h[1:] * _U(3) + h[:-1])
+        pair[1:] = mixed(h[1:] * _U(3) + h[:-1] * (doc[1:] == doc[:-1]))
     mark[came(pair, 32) | came(h, 1)] = 2
     some = mark > 0
     return start[some], end[some], mark[some]
 
 
 def symbols(hasher: WordHasher, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all texts, each padded to whole hops (one at least), and the number of hops of each text."""
+    """The symbols of all texts and the number of hops of each text. Each begins with padding, which the last filters of the text before it reach,
+    and is padded to whole hops."""
     raw = np.frombuffer(b"\n".join(texts), np.uint8)
     step = np.zeros(len(raw) + 1, np.int8)
     start, end, mark = repeats(hasher, texts)
@@ -66,9 +67,9 @@ def symbols(hasher: WordHasher, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
     step[end] -= mark
     coded = raw.astype(np.int32) + 256 * np.cumsum(step[:-1], dtype=np.int8).astype(np.int32)
     sizes = np.array([len(t) for t in texts], np.int64)
-    hops = np.maximum(1, -(-sizes // HOP))
+    hops = -(-(sizes + WIDTH - 1) // HOP)
     out = np.full(int(hops.sum()) * HOP, PAD, np.int32)
-    begins, places = np.cumsum(sizes + 1) - sizes - 1, (np.cumsum(hops) - hops) * HOP
+    begins, places = np.cumsum(sizes + 1) - sizes - 1, (np.cumsum(hops) - hops) * HOP + WIDTH - 1
     for a, n, b in zip(begins.tolist(), sizes.tolist(), places.tolist()):
         out[b : b + n] = coded[a : a + n]
     return out, hops
@@ -177,19 +178,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "qualit
     return Network().fit([t.encode() for t, _ in sample], y)
 
 
-def scored(docs: DataFrame, model: Network | float) -> DataFrame:
-    """``docs`` with a column ``quality_score``; all its other columns stay as they are."""
-    docs = docs.drop("quality_score")
+def scored(docs: DataFrame, model: Network | float, column: str = "quality_score") -> DataFrame:
+    """``docs`` with a column of scores, in place of one of that name; all other columns stay as they are."""
+    docs = docs.drop(column)
     if isinstance(model, float):
-        return docs.withColumn("quality_score", F.lit(model))
+        return docs.withColumn(column, F.lit(model))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, network = WordHasher(WHITE, lower=False), shared.value
         for batch, texts in text_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(network.scores(hasher, texts), pa.float64())], [*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(network.scores(hasher, texts), pa.float64())], [*names, column])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("quality_score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(column, DoubleType()))

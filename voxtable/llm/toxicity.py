@@ -256,19 +256,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "toxic"
     return Network().fit([t.encode() for t, _ in sample], y)
 
 
-def scored(docs: DataFrame, model: Network | float) -> DataFrame:
-    """``docs`` with a column ``toxicity_score``; all its other columns stay as they are."""
-    docs = docs.drop("toxicity_score")
+def scored(docs: DataFrame, model: Network | float, column: str = "toxicity_score") -> DataFrame:
+    """``docs`` with a column of scores, in place of one of that name; all other columns stay as they are."""
+    docs = docs.drop(column)
     if isinstance(model, float):
-        return docs.withColumn("toxicity_score", F.lit(model))
+        return docs.withColumn(column, F.lit(model))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, network = new_hasher(), shared.value
         for batch, texts in text_slices(batches, "text", SLICE_BYTES):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(network.scores(hasher, texts), pa.float64())], [*names, "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(network.scores(hasher, texts), pa.float64())], [*names, column])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("toxicity_score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(column, DoubleType()))

@@ -85,10 +85,11 @@ def _(spark, folder):
     return volumes.load_masks(volumes.decode_files(files))
 
 
-@check("a6_voxels_with_masks", """select case_id, z, y, x, hu, lesion, case when case_id % 2 = 0 then lung else 0 end as lung, case when case_id % 2 = 0 and z >= 7 then lung else 0 end as upper, 0::bigint as lower from vox""", "vox")
+@check("a6_voxels_with_masks", """select case_id, z, y, x, hu, lesion, case when case_id % 2 = 0 then lung else 0 end as lung, case when case_id % 2 = 0 and z >= 7 then lung else 0 end as upper, case when case_id % 2 = 0 and z < 7 then lung else 0 end as lower,
+       case when case_id % 2 = 0 and lesion > 0 then lung else 0 end as lobe from vox""", "vox")
 def _(spark, folder):
     v = fx.voxels(spark, folder)
-    kinds = F.explode(F.expr("filter(array('lung_mask', if(z >= 7, 'upper_lung', null)), k -> k is not null)"))
+    kinds = F.explode(F.expr("filter(array('lung_mask', if(z >= 7, 'upper_lung', 'lower_lung'), if(lesion > 0, 'lobe_mask', null)), k -> k is not null)"))
     masks = v.where("lung > 0 and case_id % 2 = 0").select("case_id", kinds.alias("mask_type"), "z", "y", "x")
     return volumes.with_masks(v.select("case_id", "z", "y", "x", "hu", "lesion"), masks)
 

@@ -31,8 +31,8 @@ def manifestation_name(term: Column) -> Column:
 
 
 def zero_based_layer(layer: Column) -> Column:
-    """Slice number counted from 0; fractions are cut off, unreadable text gives null."""
-    return layer.try_cast("double").cast("int") - 1
+    """Slice number counted from 0; fractions are cut off, unreadable text and numbers out of range give null."""
+    return layer.try_cast("double").try_cast("int") - 1
 
 
 def or_unknown(term: Column) -> Column:

@@ -30,7 +30,8 @@ def cell_number(axes: Sequence[str]) -> Column:
     """Scan-order number of a cell; the smallest one names its component."""
     out = F.lit(0).cast("bigint")
     for axis in axes:
-        out = out * _AXIS + F.col(axis)
+        fits = (F.col(axis) >= 0) & (F.col(axis) < _AXIS)
+        out = out * _AXIS + F.when(fits | F.col(axis).isNull(), F.col(axis)).otherwise(F.raise_error(F.lit(f"{axis} needs 0 to {_AXIS - 1}")).cast("bigint"))
     return out
 
 

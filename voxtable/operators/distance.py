@@ -66,7 +66,8 @@ def distance_map(
 
     ``geometry`` holds ``step_<axis>`` (mm) and ``len_<axis>`` (cells) per ``geometry_key``;
     cells outside the volume are not background. ``carry`` names a label column (0..255)
-    that travels with the cells, so no join back to the voxels is needed.
+    that travels with the cells, so no join back to the voxels is needed. A label or a cell
+    out of range raises an error, but only for volumes that ``geometry`` lists.
     """
     keys, axes = list(keys), list(axes)
     last, others = axes[-1], axes[:-1]
@@ -82,7 +83,8 @@ def distance_map(
         foreground.groupBy(
             *keys, *[F.floor(F.col(axis) / tile).cast("int").alias(f"{axis}_tile") for axis in others]
         )
-        .agg(F.collect_list((line * _LABEL + label) * _POSITION + F.col(last)).alias("lines"))
+        .agg(F.collect_list((line * _LABEL + label) * _POSITION + F.col(last)).alias("lines"),
+             F.min(label).alias("label_low"), F.max(label).alias("label_high"), F.min(last).alias("at_low"), F.max(last).alias("at_high"))
         .join(geometry.select(geometry_key, *attributes), geometry_key)
     )
 
@@ -101,9 +103,16 @@ def distance_map(
 
     def rasterise(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                packed = np.asarray(row["lines"], dtype=np.int64)
+            # Cells stay an array; the other columns are a few values per strip.
+            lines = batch.column("lines")
+            flat, ends = lines.values.to_numpy(), lines.offsets.to_numpy()
+            for number, row in enumerate(batch.drop_columns(["lines"]).to_pylist()):
+                packed = flat[ends[number]:ends[number + 1]]
                 length = row[f"len_{last}"]
+                if row["label_low"] is None or not 0 <= row["label_low"] <= row["label_high"] < _LABEL:
+                    raise ValueError(f"labels {row['label_low']} to {row['label_high']} do not fit 0 to {_LABEL - 1}")
+                if not 0 <= row["at_low"] <= row["at_high"] < length:
+                    raise ValueError(f"cells at {row['at_low']} to {row['at_high']} do not fit a line of {length}")
                 inside = np.zeros((tile ** (k - 1), length), dtype=bool)
                 labels = np.zeros((tile ** (k - 1), -(-length // tile) * tile), dtype=np.uint8)
                 at = packed // (_POSITION * _LABEL), packed % _POSITION

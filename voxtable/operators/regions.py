@@ -16,13 +16,17 @@ from voxtable.schema import ANALYSIS_LABELS
 UPPER_LOWER_PERCENTILE = 60.0
 
 
-def slice_profile(voxels: DataFrame) -> DataFrame:
-    """Lung voxels, lesion-in-lung voxels and voxels per lesion label, by case and slice."""
+def slice_profile(voxels: DataFrame, limits: bool = False) -> DataFrame:
+    """Lung voxels, lesion-in-lung voxels and voxels per lesion label, by case and slice.
+
+    ``limits`` adds the smallest and largest y, x and lesion label.
+    """
     in_lung = F.col("lung") > 0
     return voxels.groupBy("case_id", "z").agg(
         F.count_if(in_lung).alias("lung_voxels"),
         F.count_if(in_lung & (F.col("lesion") > 0)).alias("lesion_voxels"),
         *[F.count_if(F.col("lesion") == label).alias(f"n_{name}") for label, name in ANALYSIS_LABELS.items()],
+        *[f(c).alias(f"{c}_{name}") for c in ("y", "x", "lesion") * limits for name, f in (("low", F.min), ("high", F.max))],
     )
 
 

@@ -18,7 +18,10 @@ def windowed(voxels: DataFrame, level: float = 40, width: float = 400) -> DataFr
 
 
 def percentile_windowed(voxels: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """Window for other modalities: clip to percentiles of the positive values; zero stays zero."""
+    """Window for other modalities: clip to percentiles of the positive values; zero stays zero.
+
+    A case without a positive value has no window: its other voxels get null.
+    """
     hu = F.col("hu")
     positive = voxels.where(hu > 0).groupBy("case_id", "hu").agg(F.count("*").alias("n"))
     bounds = positive.groupBy("case_id").agg(
@@ -27,12 +30,12 @@ def percentile_windowed(voxels: DataFrame, low: float = 0.005, high: float = 0.9
     extremes = voxels.groupBy("case_id").agg(F.min("hu").alias("hu_min"), F.max("hu").alias("hu_max"))
     b0, b1 = F.col("bounds")[0], F.col("bounds")[1]
     # Clipping is monotone, so the extremes of the clipped volume are the clipped extremes.
-    limits = extremes.join(bounds, "case_id").select(
+    limits = extremes.join(bounds, "case_id", "left").select(
         "case_id", "bounds", clipped(F.col("hu_min").cast("double"), b0, b1).alias("low"),
         clipped(F.col("hu_max").cast("double"), b0, b1).alias("high"),
     )
     scaled = byte_scaled(clipped(hu.cast("double"), b0, b1), F.col("low"), F.col("high"))
-    return voxels.join(limits, "case_id").withColumn("byte", F.when(hu == 0, 0).otherwise(scaled)).drop("bounds", "low", "high")
+    return voxels.join(limits, "case_id").withColumn("byte", F.when(hu == 0, 0).when(F.col("bounds").isNotNull(), scaled)).drop("bounds", "low", "high")
 
 
 def unit_slices(pixels: DataFrame, value: str = "byte") -> DataFrame:

@@ -22,19 +22,24 @@ def epoch_losses(steps: DataFrame, planned_steps: int | None = None) -> DataFram
 
 
 def best_epochs(epochs: DataFrame) -> DataFrame:
-    """Epoch with the lowest validation loss per run, the first one on a tie."""
+    """Epoch with the lowest validation loss per run, the first one on a tie; null if no loss is known.
+
+    A loss that is null or not a number is no loss.
+    """
+    known = F.when(~F.isnan("val_loss"), F.col("val_loss"))
     return epochs.groupBy("run").agg(
-        F.min_by("epoch", F.struct("val_loss", "epoch")).alias("best_epoch"), F.min("val_loss").alias("best_loss")
+        F.min_by("epoch", F.when(known.isNotNull(), F.struct("val_loss", "epoch"))).alias("best_epoch"), F.min(known).alias("best_loss")
     )
 
 
 def running_best(epochs: DataFrame) -> DataFrame:
     """Best validation loss up to each epoch, and whether the epoch set it."""
     past = Window.partitionBy("run").orderBy("epoch")
-    before = F.min("val_loss").over(past.rowsBetween(Window.unboundedPreceding, -1))
-    best = F.min("val_loss").over(past.rowsBetween(Window.unboundedPreceding, 0))
+    known = F.when(~F.isnan("val_loss"), F.col("val_loss"))
+    before = F.min(known).over(past.rowsBetween(Window.unboundedPreceding, -1))
+    best = F.min(known).over(past.rowsBetween(Window.unboundedPreceding, 0))
     return epochs.withColumns({
-        "best_so_far": best, "is_new_best": before.isNull() | (F.col("val_loss") < before),
+        "best_so_far": best, "is_new_best": known.isNotNull() & (before.isNull() | (known < before)),
     })
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,10 @@ from voxtable.operators.lesions import lesion_summary, lung_coverage
 from voxtable.session import written
 
 
+#: Labels from 0 up to here travel with the distance map.
+LABELS = 256
+
+
 class Study(NamedTuple):
     """Result tables of a case analysis."""
 
@@ -51,11 +56,21 @@ def case_features(
 
 
 def _checked(profile: DataFrame, cases: DataFrame) -> DataFrame:
-    """``error`` per case, decided before the heavy part: no voxels, or no lung."""
-    coverage = lung_coverage(profile).select("case_id", "lung_voxels")
+    """``error`` per case, decided before the heavy part: no voxels, no lung, or a case row or label that cannot be right."""
+    limits = profile.groupBy("case_id").agg(
+        F.min("z").alias("z_low"), F.max("z").alias("z_high"),
+        *[f(f"{c}_{name}").alias(f"{c}_{name}") for c in ("y", "x", "lesion") for name, f in (("low", F.min), ("high", F.max))],
+    )
+    coverage = lung_coverage(profile).select("case_id", "lung_voxels").join(limits, "case_id")
     rows = cases.join(coverage, "case_id", "left")
+    spacing = [(F.col(f"s{a}") > 0) & (F.col(f"s{a}") < float("inf")) for a in "zyx"]
+    inside = [(F.col(f"{a}_low") >= 0) & (F.col(f"{a}_high") < F.col(f"n{a}")) for a in "zyx"]
+    labels = (F.col("lesion_low") >= 0) & (F.col("lesion_high") < LABELS)
+    every = lambda parts: F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
     # Error texts.
     error = F.when(F.col("lung_voxels").isNull(), "Failed to load case data").when(
+        ~every(spacing), "Invalid voxel spacing"
+    ).when(~every(inside), "Voxels outside the volume").when(~every([labels]), "Lesion label out of range").when(
         F.col("lung_voxels") == 0, "Failed to segment lungs"
     )
     return rows.withColumn("error", error)
@@ -88,11 +103,11 @@ def case_results(features: DataFrame, classified: DataFrame) -> DataFrame:
 
 def analyse(voxels: DataFrame, cases: DataFrame, rule: str = "density") -> Study:
     """Analyse every case; cases that cannot be analysed become failures and do not stop the rest."""
-    profile = written(regions.slice_profile(voxels), "profile")
+    profile = written(regions.slice_profile(voxels, limits=True), "profile")
     checked = written(_checked(profile, cases), "checked")
     failures = checked.where("error is not null").select("case_id", "error")
     sound = checked.where("error is null").select(*cases.columns)
-    # Cases without lung have no lung voxels, so the heavy side needs no filter.
+    # The join to the case table keeps failed cases out of the heavy side.
     features = written(case_features(voxels, sound, rule, profile), "features")
     classified = rules.classify(features)
     return Study(features, classified, case_results(features, classified), failures)

@@ -45,9 +45,10 @@ def generate_masks(voxels: DataFrame, cases: DataFrame, existing: DataFrame, **s
 def mask_summary(outcomes: DataFrame) -> DataFrame:
     """Processed cases, their times and lung volumes; skipped and failed cases stay out.
 
-    ``seconds`` is optional. The spread is that of the whole population.
+    All cases run in one plan, so there is no time per case; ``seconds`` can be given, as by a job that
+    runs batches and records their time, and is null otherwise. The spread is that of the whole population.
     """
-    rows = outcomes if "seconds" in outcomes.columns else outcomes.withColumn("seconds", F.lit(0.0))
+    rows = outcomes if "seconds" in outcomes.columns else outcomes.withColumn("seconds", F.lit(None).cast("double"))
     volume = F.when(F.col("total_volume_mm3") > 0, F.col("total_volume_mm3"))
     return rows.where(F.col("success") & ~F.col("skipped")).agg(
         F.count("*").alias("processed_cases"),

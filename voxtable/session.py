@@ -31,12 +31,23 @@ def scratch_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    # Executors of local-cluster are processes of their own, as on any cluster.
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{scratch_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application has written by ``written``; call it when results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage of ``df``: write it to the scratch folder once and read it back.
 
@@ -44,6 +55,6 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     statistics, which keeps iterative plans small.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -38,7 +38,8 @@ def write_masks(masks: DataFrame, path: str) -> None:
 
 
 def write_slices(slices: DataFrame, path: str) -> None:
-    slices.repartition("case_id", "z").write.mode("overwrite").partitionBy("case_id").parquet(path)
+    """Slices by case; 64 slices share a file, so a case has few files and a large case is not one task."""
+    slices.repartition("case_id", F.floor(F.col("z") / 64)).write.mode("overwrite").partitionBy("case_id").parquet(path)
 
 
 def write_split(slices: DataFrame, path: str) -> None:
@@ -48,7 +49,7 @@ def write_split(slices: DataFrame, path: str) -> None:
 def write_relabelled(voxels: DataFrame, path: str, version: str) -> str:
     """Write relabelled volumes to a new version; the source is never overwritten."""
     target = f"{path.rstrip('/')}/version={version}"
-    voxels.write.mode("errorifexists").partitionBy("case_id").parquet(target)
+    voxels.repartition("case_id", F.floor(F.col("z") / 64)).write.mode("errorifexists").partitionBy("case_id").parquet(target)
     return target
 
 

@@ -7,8 +7,8 @@ file, so it is the unit of reading; its slices leave the task one at a time.
 
 from __future__ import annotations
 
+import gzip
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ _SLICES = T.StructType(
 
 
 def _plain(content: bytes) -> bytes:
-    return zlib.decompress(content, wbits=31) if content[:2] == b"\x1f\x8b" else content
+    # All members of a file with several.
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
 def _decode(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
@@ -44,9 +45,18 @@ def _decode(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
     code = struct.unpack_from(f"{order}h", raw, 70)[0]
     start, slope, intercept = struct.unpack_from(f"{order}3f", raw, 108)
     nx, ny, nz = (shape[n] if shape[0] >= n else 1 for n in (1, 2, 3))
+    frames = int(np.prod([shape[n] for n in range(4, min(shape[0], 7) + 1)], dtype=np.int64))
+    if frames != 1:
+        raise ValueError(f"the file holds {frames} volumes")
     cells = np.frombuffer(raw, dtype=order + _TYPES[code], count=nx * ny * nz, offset=int(start))
     if slope not in (0.0, 1.0) or intercept != 0.0:
         cells = cells * (slope or 1.0) + intercept
+    if cells.dtype.kind == "f" or cells.dtype.itemsize > 2:
+        whole = np.rint(cells.astype(np.float64))
+        # A scale stored in single precision leaves a little dust on whole numbers.
+        if not np.isfinite(whole).all() or np.abs(whole).max(initial=0.0) >= 1 << 31 or np.abs(cells - whole).max(initial=0.0) > 1e-3:
+            raise ValueError("the volume holds values that are not whole 32-bit numbers")
+        cells = whole
     # The first axis of the file is x; in memory z comes first.
     return cells.reshape(nz, ny, nx), (spacing[3], spacing[2], spacing[1])
 
@@ -124,9 +134,9 @@ def load_masks(slices: DataFrame) -> DataFrame:
 
 
 def with_masks(voxels: DataFrame, masks: DataFrame) -> DataFrame:
-    """Dense voxels with 0/1 columns ``lung``, ``upper`` and ``lower``; cases without masks get zeros."""
+    """Dense voxels with 0/1 columns ``lung``, ``upper``, ``lower`` and ``lobe``; cases without masks get zeros."""
     key = ["case_id", "z", "y", "x"]
-    sides = {"lung": "lung_mask", "upper": "upper_lung", "lower": "lower_lung"}
+    sides = {"lung": "lung_mask", "upper": "upper_lung", "lower": "lower_lung", "lobe": "lobe_mask"}
     flags = masks.groupBy(*key).agg(
         *[F.max(F.when(F.col("mask_type") == kind, 1).otherwise(0)).alias(name) for name, kind in sides.items()]
     )

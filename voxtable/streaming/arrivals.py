@@ -23,22 +23,14 @@ def process_arrivals(
     spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[DataFrame], DataFrame],
     done: str, pattern: str = "CT_*_0000.nii.gz",
 ) -> StreamingQuery:
-    """Run ``handle`` on each batch of new files and append its rows to ``done``.
+    """Run ``handle`` on each batch of new files and store its rows under ``done``.
 
-    ``handle`` gets (name, path, ...) and returns rows with ``name``. The stream's checkpoint
-    remembers the files seen; a batch that is repeated after a failure skips names
-    already in ``done``.
+    ``handle`` gets (name, path, ...). The stream's checkpoint remembers the files seen, and a batch
+    is stored under its number: one that is repeated after a failure replaces its own rows, so
+    nothing stored before is read.
     """
-    def step(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
-        fresh = batch
-        try:
-            before = session.read.parquet(done).select("name")
-            fresh = batch.join(before, "name", "left_anti")
-        except Exception as problem:
-            if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
-                raise
-        handle(fresh).write.mode("append").parquet(done)
+    def step(batch: DataFrame, number: int) -> None:
+        handle(batch).write.mode("overwrite").parquet(f"{done.rstrip('/')}/batch={number}")
 
     return (
         arriving_files(spark, folder, pattern)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
             at = end
 
 
+def kept(name: str, make: Callable):
+    """An object that a Python worker keeps from task to task, made where there is none; a lost worker only makes it again."""
+    state = sys.modules.setdefault("_voxtable_worker", types.ModuleType("_voxtable_worker")).__dict__
+    if name not in state:
+        state[name] = make()
+    return state[name]
+
+
 def mixed(z: np.ndarray) -> np.ndarray:
     """64-bit finaliser, so that every bit of the result depends on every bit of ``z``."""
     z = z ^ (z >> _U(30))

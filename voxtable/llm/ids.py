@@ -2,7 +2,7 @@
 
 1. ``token_ids`` encodes every text with the tokenizers library and appends the end id. White space ends every pre-token of such a
    tokenizer, so a text's ids are those of its chunks between ASCII white space, and trailing punctuation behind a letter or digit is a
-   pre-token of its own: each distinct part is encoded once per task (table of bounded size).
+   pre-token of its own: each distinct chunk is encoded once per Python worker (table of bounded size).
 2. ``ranks`` counts all ids of the corpus; the most frequent id gets rank 0. The result has at most one row per vocabulary entry.
 3. ``write_files`` sorts documents by id over range partitions and writes blocks. Each id becomes the one to four low bytes of its
    rank; its length lies in two bits of a control byte, four ids to a byte. A block row holds document ids, lengths, control bytes and data bytes; a block
@@ -15,7 +15,6 @@ their tokens; rows with a null id come first; an empty table gives an empty resu
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,85 +26,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import text_slices
+from voxtable.llm.common import kept, text_slices
 from voxtable.session import scratch_folder
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 16
-#: Distinct parts a task remembers at most.
-TABLE_ROWS = 300_000
-_TAIL = re.compile(r"^(.*[^\W_])([.,!?;:|#$%&*]+)$", re.S)
+#: Distinct chunks a worker remembers at most.
+TABLE_ROWS = 800_000
+_TAIL = b".,!?;:|#$%&*"
 
 
-class Encoder:
-    """ids of texts as bytes of unsigned 32-bit integers."""
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write each byte as one printable character: itself where it is one, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in plain)}
 
-    def __init__(self, path: str, rows: int = TABLE_ROWS):
+
+class Encoder(dict):
+    """Chunk to ids, as bytes of unsigned integers of ``kind``; a chunk that is not there yet is encoded and kept."""
+
+    def __init__(self, path: str, kind=np.uint32, rows: int = TABLE_ROWS):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.rows = rows
-        self.parts: dict[str, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
-        # A special token of the vocabulary cuts a text before anything else is done, so it separates parts in one call.
-        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-        self.mark, self.mark_id = special[-1] if special else (None, None)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _library(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part, as the library gives them for the part alone."""
-        plain = lambda texts: [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        out: dict[str, bytes] = {}
-        odd = [p for p in parts if self.mark is None or any(s in p for s in self.specials)]
-        for p, ids in zip(odd, plain(odd)):
-            out[p] = np.array(ids, np.uint32).tobytes()
-        rest = [p for p in parts if p not in out]
-        for at in range(0, len(rest), 2000):
-            some = rest[at : at + 2000]
-            ids = np.array(plain([self.mark.join(some)])[0], np.uint32)
-            raw, marks = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark_id)).tolist()
-            out.update((p, raw[a:b]) for p, a, b in zip(some, [0, *(m + 4 for m in marks)], [*marks, len(raw)], strict=True))
-        return [out[p] for p in parts]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Fill the table: a chunk is its core and the punctuation behind it."""
-        cut = {}
-        for c in chunks:
-            text = c.decode()
-            found = None if "'" in text or any(s in text for s in self.specials) else _TAIL.match(text)
-            # A capital may become a letter and a mark in lower case; the mark would join the punctuation.
-            parts = found.groups() if found and found[1][-1].lower()[-1].isalnum() else (text,)
-            cut[c] = [p.lower() for p in parts] if found and text.isascii() else parts
-        new = list(dict.fromkeys(p for parts in cut.values() for p in parts if p not in self.parts))
-        if len(self.parts) + len(new) > self.rows:
-            self.parts = {}
-            new = list(dict.fromkeys(p for parts in cut.values() for p in parts))
-        self.parts.update(zip(new, self._library(new)))
-        self.chunks.update((c, b"".join(map(self.parts.__getitem__, parts))) for c, parts in cut.items())
+        self.model = self.tokenizer.model
+        self.kind, self.rows = kind, rows
+        self.letters = _byte_letters()
+        self.tails: dict[bytes, bytes] = {}
+
+    def _library(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        core = chunk.rstrip(_TAIL)
+        word = core.decode().lower()
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            # Latin letters only: one pre-token, which normalisation leaves as it is but for lower case. The punctuation behind it is another.
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
+            if tail := chunk[len(core) :]:
+                if tail not in self.tails:
+                    self.tails[tail] = self._library(tail)
+                ids += self.tails[tail]
+        else:
+            ids = self._library(chunk)
+        self[chunk] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.chunks)
-        if len(self.chunks) + len(new) > self.rows:
-            self.chunks = {}
-            new = set().union(*split)
-        self._learn(sorted(new))
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(self) > self.rows:
+            self.clear()
+            self.tails.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id and all ids of the text with the end id, as bytes: 16-bit if the vocabulary allows, else 32-bit."""
-    narrow = _narrow(path)
+    kind = _kind(_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], np.uint32).tobytes()
+        encoder, end = kept(f"ids of {path}", lambda: Encoder(path, kind)), kind(end_id).tobytes()
         for batch, texts in text_slices(batches, "text"):
-            ids = [x + end for x in encoder.encode(texts)]
-            if narrow:
-                ids = [np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in encoder.encode(texts)], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -116,13 +102,13 @@ def _vocabulary(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
-def _narrow(path: str) -> bool:
-    return _vocabulary(path) <= 1 << 16
+def _kind(size: int):
+    return np.uint16 if size <= 1 << 16 else np.uint32
 
 
 def ranks(coded: DataFrame, size: int) -> np.ndarray:
     """Rank of each id: by falling count over the whole corpus, then by id."""
-    kind = np.uint16 if size <= 1 << 16 else np.uint32
+    kind = _kind(size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -170,7 +156,7 @@ def decoded(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def write_files(ids: DataFrame, rank: np.ndarray, folder: str) -> None:
     """Blocks in ascending document order, one file per range of documents."""
-    kind = np.uint16 if len(rank) <= 1 << 16 else np.uint32
+    kind = _kind(len(rank))
     schema = "part int, first long, doc_ids array<long>, lengths array<int>, control binary, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

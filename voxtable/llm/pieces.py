@@ -3,7 +3,7 @@
 The model marks a space as one character. If none of its pieces has another character before a mark, no piece can cross from one
 marked word into the next, so a text's segmentation is that of its marked words (a run of marks and what follows it) one after the
 other. The same holds around characters that stand in no longer piece, such as a line feed here. ``chunk_pattern`` proves both from
-the piece list and raises if the first does not hold. The table lives in the task and is emptied when it holds ``TABLE_ROWS`` words, so
+the piece list and raises if the first does not hold. The table lives in the Python worker and is emptied when it holds ``TABLE_ROWS`` words, so
 memory stays bounded; nothing is shuffled.
 
 Defined cases: a null text is empty and has no ids; the dummy mark in front of a text is added exactly as the library adds it, also to
@@ -21,11 +21,11 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from voxtable.llm.common import text_slices
+from voxtable.llm.common import kept, text_slices
 
 MODEL = "piece_bpe_32k.model"
-#: Distinct words a task remembers at most.
-TABLE_ROWS = 300_000
+#: Distinct words a worker remembers at most.
+TABLE_ROWS = 600_000
 MARK = "▁"
 
 
@@ -83,7 +83,7 @@ def tokenise(docs: DataFrame, model: str | None = None) -> DataFrame:
     path = model or public_tokenizers.path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = kept(f"pieces of {path}", lambda: Encoder(path))
         for batch, raw in text_slices(batches, "text"):
             ids = encoder.encode([t.decode() for t in raw])
             decoded = encoder.model.decode([x.tolist() for x in ids], num_threads=1)
@@ -99,7 +99,7 @@ def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
     path = model or public_tokenizers.path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = kept(f"pieces of {path}", lambda: Encoder(path))
         decimal = np.array([str(i) for i in range(encoder.model.vocab_size())], object)
         for batch, raw in text_slices(batches, "text"):
             ids = encoder.encode([t.decode() for t in raw])

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from driver_checks import fixtures as fx
 from driver_checks.block_sampling import key, strata
-from driver_checks.block_sources import encoded, fresh
+from driver_checks.block_sources import encoded, fresh, volume_files
 from driver_checks.registry import check
 from voxtable.operators import sampling, slices
 from voxtable.operators import training_log as tl
 from voxtable.plans import case_study
 from voxtable.schema import AXIAL, FILE_ID, LAYER, LESION, MANIFESTATION
 from voxtable.sources import annotations as reader
-from voxtable.sources import sinks, volumes
+from voxtable.sources import catalog, sinks, volumes
 
 
 def broken(spark, folder):
@@ -116,3 +116,16 @@ def _(spark, folder):
     split = sampling.stratified_split(strata(spark, folder), ["stratum"], key())
     sinks.write_split(split, path)
     return spark.read.parquet(path).select(*split.columns)
+
+
+@check("c3_validate_files", """select case_id, true as ct_exists, case_id % 4 <> 0 as lesion_exists, case when case_id % 4 <> 0 then '12x16x20' end as ct_shape,
+       case when case_id % 4 in (1, 2) then '12x16x20' end as lesion_shape, case_id % 4 in (1, 2) as shape_match, case_id % 4 in (1, 2) as valid,
+       case case_id % 4 when 0 then 'Missing files' when 3 then 'ValueError(''the file has no volume header'')' end as error,
+       sz || ',' || sy || ',' || sx as ct_spacing from cases""", "cases")
+def _(spark, folder):
+    cts = catalog.ct_files(volumes.decode_headers(volume_files(spark, folder, "hu", "/in/CT_%s_0000.nii.gz")))
+    files = volume_files(spark, folder, "lesion", "/in/CT_%s.nii.gz", "case_id % 4 <> 0")
+    case = F.regexp_extract("path", r"CT_(\d+)", 1).cast("bigint")
+    torn = files.withColumn("content", F.when(case % 4 == 3, F.to_binary(F.repeat(F.lit("00"), 400), F.lit("hex"))).otherwise(F.col("content")))
+    lesions = catalog.lesion_files(volumes.decode_headers(torn))
+    return catalog.validated_cases(cts, lesions).drop("lesion_spacing").withColumn("case_id", F.col("case_id").cast("bigint"))

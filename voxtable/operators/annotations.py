@@ -17,35 +17,50 @@ def with_file(rows: DataFrame) -> DataFrame:
     return rows.dropna(subset=["file_id"])
 
 
-def frequent_terms(rows: DataFrame, term: str) -> DataFrame:
-    """Most frequent term per file, the first seen on a tie; files without a term have no row."""
-    counted = with_file(rows).where(F.col(term).isNotNull()).groupBy("file_id", term).agg(
-        F.count("*").alias("n"), F.min("row_no").alias("first_row")
+def _counted(rows: DataFrame) -> DataFrame:
+    """How often each file gives each value of axial, manifestation and lesion, and where first: one pass, combined before the shuffle.
+
+    Every file has a row with attribute ``file``.
+    """
+    pairs = F.array(
+        F.struct(F.lit("file").alias("attribute"), F.lit(None).cast("string").alias("value")),
+        *[F.struct(F.lit(name).alias("attribute"), F.col(name).alias("value")) for name in ("axial", "manifestation", "lesion")],
     )
-    return counted.groupBy("file_id").agg(F.max_by(term, F.struct(F.col("n"), -F.col("first_row"))).alias(term))
+    unfolded = with_file(rows).select("file_id", "row_no", F.inline(pairs)).where((F.col("attribute") == "file") | F.col("value").isNotNull())
+    return unfolded.groupBy("file_id", "attribute", "value").agg(F.count("*").alias("n"), F.min("row_no").alias("first_row"))
 
 
-def overall_terms(rows: DataFrame) -> DataFrame:
-    """English axial and manifestation term of every file, ``unknown`` where none is given."""
-    files = with_file(rows).select("file_id").distinct()
-    return (
-        files.join(frequent_terms(rows, "axial"), "file_id", "left")
-        .join(frequent_terms(rows, "manifestation"), "file_id", "left")
-        .select(
-            "file_id",
-            terms.axial_name(terms.or_unknown(F.col("axial"))).alias("overall_axial_distribution"),
-            terms.manifestation_name(terms.or_unknown(F.col("manifestation"))).alias("overall_manifestation"),
-        )
-    )
+def _most_frequent(attribute: str) -> Column:
+    """Most frequent value of an attribute, the first seen on a tie; null if there is none."""
+    return F.max_by("value", F.when(F.col("attribute") == attribute, F.struct(F.col("n"), -F.col("first_row"))))
 
 
 def _presence() -> Column:
-    return F.array(*[F.max(F.when(F.col("lesion") == term, 1).otherwise(0)) for term in LESION_TERMS])
+    given = F.col("attribute") == "lesion"
+    return F.array(*[F.max(F.when(given & (F.col("value") == term), 1).otherwise(0)) for term in LESION_TERMS])
+
+
+def file_terms(rows: DataFrame) -> DataFrame:
+    """One row per file: English axial and manifestation term, ``unknown`` where none is given, and 0/1 per lesion term in vocabulary order."""
+    return _counted(rows).groupBy("file_id").agg(
+        terms.axial_name(terms.or_unknown(_most_frequent("axial"))).alias("overall_axial_distribution"),
+        terms.manifestation_name(terms.or_unknown(_most_frequent("manifestation"))).alias("overall_manifestation"),
+        _presence().alias("abnormal_manifestation_presence"),
+    )
+
+
+def frequent_terms(rows: DataFrame, term: str) -> DataFrame:
+    """Most frequent term per file, the first seen on a tie; files without a term have no row."""
+    return _counted(rows).groupBy("file_id").agg(_most_frequent(term).alias(term)).where(F.col(term).isNotNull())
+
+
+def overall_terms(rows: DataFrame) -> DataFrame:
+    return file_terms(rows).drop("abnormal_manifestation_presence")
 
 
 def lesion_presence(rows: DataFrame) -> DataFrame:
     """0/1 per lesion term and file, in vocabulary order."""
-    return with_file(rows).groupBy("file_id").agg(_presence().alias("abnormal_manifestation_presence"))
+    return file_terms(rows).select("file_id", "abnormal_manifestation_presence")
 
 
 def roi_arrays(rows: DataFrame) -> DataFrame:
@@ -70,10 +85,12 @@ def roi_arrays(rows: DataFrame) -> DataFrame:
 
 
 def case_records(rows: DataFrame) -> DataFrame:
-    """One record per file, in the layout of the case-record files."""
+    """One record per file, in the layout of the case-record files.
+
+    The layout holds all regions of a file in one row; statistics that need no regions read ``file_terms``.
+    """
     return (
-        overall_terms(rows)
-        .join(lesion_presence(rows), "file_id")
+        file_terms(rows)
         .join(roi_arrays(rows), "file_id")
         .select(
             F.col("file_id").alias("filename"),

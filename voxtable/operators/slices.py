@@ -10,10 +10,13 @@ from voxtable.functions.labels import training_label
 from voxtable.functions.names import export_name
 
 
-def windowed(voxels: DataFrame, level: float = 40, width: float = 400) -> DataFrame:
-    """CT window, then min-max of the whole volume to 0..255 in column ``byte``."""
+def windowed(voxels: DataFrame, level: float = 40, width: float = 400, volumes: DataFrame | None = None) -> DataFrame:
+    """CT window, then min-max of the whole volume to 0..255 in column ``byte``.
+
+    ``volumes`` holds the whole volumes if ``voxels`` are a part of them.
+    """
     value = ct_window(F.col("hu"), level, width)
-    limits = voxels.groupBy("case_id").agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    limits = (voxels if volumes is None else volumes).groupBy("case_id").agg(F.min(value).alias("low"), F.max(value).alias("high"))
     return voxels.join(limits, "case_id").withColumn("byte", byte_scaled(value, F.col("low"), F.col("high"))).drop("low", "high")
 
 
@@ -40,9 +43,9 @@ def percentile_windowed(voxels: DataFrame, low: float = 0.005, high: float = 0.9
 
 def unit_slices(pixels: DataFrame, value: str = "byte") -> DataFrame:
     """Min-max of every slice to 0..1 in column ``unit``."""
-    limits = pixels.groupBy("case_id", "z").agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    unit = unit_scaled(F.col(value), F.col("low"), F.col("high"))
-    return pixels.join(limits, ["case_id", "z"]).withColumn("unit", unit).drop("low", "high")
+    # A slice is one image, so a window over it brings its pixels together once.
+    own = Window.partitionBy("case_id", "z")
+    return pixels.withColumn("unit", unit_scaled(F.col(value), F.min(value).over(own), F.max(value).over(own)))
 
 
 def regridded(pixels: DataFrame, size: int) -> DataFrame:

@@ -20,9 +20,10 @@ def training_pixels(
     """
     cleaned = written(clean_labels(voxels, min_voxels, min_pixels), "cleaned")
     kept = slices.kept_slices(cleaned)
-    windowed = slices.windowed(voxels.drop("lesion"))
+    # Only kept slices go on; the window's limits come from one aggregate per case.
+    images = voxels.drop("lesion")
     pixels = (
-        windowed.join(kept, ["case_id", "z"])
+        slices.windowed(images.join(kept, ["case_id", "z"]), volumes=images)
         .join(cleaned, ["case_id", "z", "y", "x"], "left")
         .fillna(0, ["lesion"])
         .join(cases.select("case_id", "ny", "nx"), "case_id")

@@ -56,18 +56,27 @@ def cases_without_ct(lesions: DataFrame, cts: DataFrame) -> DataFrame:
 
 
 def validated_cases(cts: DataFrame, lesions: DataFrame) -> DataFrame:
-    """Existence, shapes and verdict of every case; both catalogs hold ``shape`` (text)."""
-    left = cts.select("case_id", F.col("shape").alias("ct_shape"), F.lit(True).alias("has_ct"))
-    right = lesions.select("case_id", F.col("shape").alias("lesion_shape"), F.lit(True).alias("has_lesion"))
+    """Existence, shapes and verdict of every case; both catalogs hold ``shape`` (text).
+
+    Catalogs from ``volumes.read_headers`` hold ``spacing`` and ``error`` as well: both spacings are then part of the result, and a file whose
+    header cannot be read makes its case invalid.
+    """
+    read = "spacing" in cts.columns and "spacing" in lesions.columns
+    more = lambda side: [F.col("spacing").alias(f"{side}_spacing"), F.col("error").alias(f"{side}_error")] if read else []
+    left = cts.select("case_id", F.col("shape").alias("ct_shape"), F.lit(True).alias("has_ct"), *more("ct"))
+    right = lesions.select("case_id", F.col("shape").alias("lesion_shape"), F.lit(True).alias("has_lesion"), *more("lesion"))
     rows = left.join(right, "case_id", "full_outer").fillna(False, ["has_ct", "has_lesion"])
     both = F.col("has_ct") & F.col("has_lesion")
     match = both & F.coalesce(F.col("ct_shape") == F.col("lesion_shape"), F.lit(False))
     # Error texts.
-    error = F.when(~both, "Missing files").when(~match, "Shape mismatch")
+    error = F.when(~both, "Missing files")
+    if read:
+        error = error.when(F.coalesce("ct_error", "lesion_error").isNotNull(), F.coalesce("ct_error", "lesion_error"))
+    error = error.when(~match, "Shape mismatch")
     return rows.select(
         "case_id", F.col("has_ct").alias("ct_exists"), F.col("has_lesion").alias("lesion_exists"),
         F.when(both, F.col("ct_shape")).alias("ct_shape"), F.when(both, F.col("lesion_shape")).alias("lesion_shape"),
-        match.alias("shape_match"), match.alias("valid"), error.alias("error"),
+        match.alias("shape_match"), match.alias("valid"), error.alias("error"), *(["ct_spacing", "lesion_spacing"] if read else []),
     )
 
 

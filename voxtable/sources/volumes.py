@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +37,28 @@ def _plain(content: bytes) -> bytes:
     return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
-def _decode(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
-    """Whole-number (z, y, x) array and (z, y, x) spacing of a volume file."""
-    raw = _plain(content)
+def _header(raw: bytes) -> tuple[str, tuple[int, int, int], tuple[float, float, float]]:
+    """Byte order, (z, y, x) size and (z, y, x) spacing, from the first 348 bytes of a volume file."""
     order = "<" if struct.unpack_from("<i", raw, 0)[0] == 348 else ">"
+    if struct.unpack_from(f"{order}i", raw, 0)[0] != 348:
+        raise ValueError("the file has no volume header")
     shape = struct.unpack_from(f"{order}8h", raw, 40)
     spacing = struct.unpack_from(f"{order}8f", raw, 76)
-    code = struct.unpack_from(f"{order}h", raw, 70)[0]
-    start, slope, intercept = struct.unpack_from(f"{order}3f", raw, 108)
     nx, ny, nz = (shape[n] if shape[0] >= n else 1 for n in (1, 2, 3))
     frames = int(np.prod([shape[n] for n in range(4, min(shape[0], 7) + 1)], dtype=np.int64))
     if frames != 1:
         raise ValueError(f"the file holds {frames} volumes")
+    # The first axis of the file is x; in memory z comes first.
+    return order, (nz, ny, nx), (spacing[3], spacing[2], spacing[1])
+
+
+def _decode(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """Whole-number (z, y, x) array and (z, y, x) spacing of a volume file."""
+    raw = _plain(content)
+    order, shape, spacing = _header(raw)
+    code = struct.unpack_from(f"{order}h", raw, 70)[0]
+    start, slope, intercept = struct.unpack_from(f"{order}3f", raw, 108)
+    nz, ny, nx = shape
     cells = np.frombuffer(raw, dtype=order + _TYPES[code], count=nx * ny * nz, offset=int(start))
     if slope not in (0.0, 1.0) or intercept != 0.0:
         cells = cells * (slope or 1.0) + intercept
@@ -57,8 +68,7 @@ def _decode(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
         if not np.isfinite(whole).all() or np.abs(whole).max(initial=0.0) >= 1 << 31 or np.abs(cells - whole).max(initial=0.0) > 1e-3:
             raise ValueError("the volume holds values that are not whole 32-bit numbers")
         cells = whole
-    # The first axis of the file is x; in memory z comes first.
-    return cells.reshape(nz, ny, nx), (spacing[3], spacing[2], spacing[1])
+    return cells.reshape(nz, ny, nx), spacing
 
 
 def decode_files(files: DataFrame) -> DataFrame:
@@ -83,6 +93,34 @@ def decode_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(decode, _SLICES).withColumn("name", file_name(F.col("path")))
 
 
+def decode_headers(files: DataFrame) -> DataFrame:
+    """name, path, ``shape`` (text), ``spacing`` (z, y, x) and ``error`` of (``path``, ``content``) rows; no pixel is unpacked."""
+    schema = T.StructType([
+        T.StructField("path", T.StringType()), T.StructField("shape", T.StringType()), T.StructField("spacing", T.ArrayType(T.DoubleType())),
+        T.StructField("error", T.StringType()),
+    ])
+
+    def decode(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                try:
+                    raw = content.as_py()
+                    raw = zlib.decompressobj(wbits=31).decompress(raw, 348) if raw[:2] == b"\x1f\x8b" else raw
+                    _, shape, spacing = _header(raw)
+                    rows.append({"path": path, "shape": "x".join(map(str, shape)), "spacing": spacing, "error": None})
+                except Exception as problem:  # one bad file must not stop the others
+                    rows.append({"path": path, "shape": None, "spacing": None, "error": repr(problem)})
+            yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
+
+    return files.select("path", "content").mapInArrow(decode, schema).withColumn("name", file_name(F.col("path")))
+
+
+def read_headers(spark: SparkSession, folder: str, pattern: str = "*.nii.gz") -> DataFrame:
+    """Headers of the volume files of a folder, ready for ``catalog.ct_files`` and ``catalog.validated_cases``."""
+    return decode_headers(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder))
+
+
 def read_slices(spark: SparkSession, folder: str, pattern: str = "*.nii.gz") -> DataFrame:
     """Slices of the volume files of a folder."""
     return decode_files(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder))

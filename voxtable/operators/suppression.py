@@ -6,8 +6,8 @@ they share a cell of a size-aware grid; each box is filed in at most 16 cells.
 * A box that is the best of all its cells is kept, whatever else happens, and
   suppresses the boxes it overlaps. While some cell is crowded, rounds of this kind
   thin it out; they send one row per box and cell, never the pairs of a cell.
-* Once no cell is crowded, the remaining overlapping pairs are listed once and
-  resolved: a box without a better undecided partner is kept, its partners go.
+* Once no cell is crowded, the remaining overlapping pairs are listed once, and each
+  connected set of them is walked in the order of the scores.
 
 Both steps decide exactly as a sequential pass by score would.
 """
@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.functions.geometry import box_iou
+from voxtable.operators.graph import linked_components
 from voxtable.session import written
 
 BOX = ["x0", "y0", "x1", "y1"]
@@ -85,16 +87,34 @@ def _thin(open_boxes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
 
 
 def _resolve(pairs: DataFrame) -> DataFrame:
-    """Ids suppressed, given (group, better, worse) pairs of overlapping boxes."""
-    lost: DataFrame | None = None
-    while not pairs.isEmpty():
-        dominated = pairs.select("group", F.col("worse").alias("better")).distinct()
-        winners = pairs.join(dominated, ["group", "better"], "left_anti").select("group", "better").distinct()
-        out = written(pairs.join(winners, ["group", "better"], "left_semi").select("group", F.col("worse").alias("id")).distinct(), "lost")
-        lost = out if lost is None else lost.unionByName(out)
-        rest = pairs.join(out.withColumnRenamed("id", "worse"), ["group", "worse"], "left_anti")
-        pairs = written(rest.join(out.withColumnRenamed("id", "better"), ["group", "better"], "left_anti"), "pairs")
-    return pairs.select("group", F.col("worse").alias("id")) if lost is None else lost
+    """Ids suppressed, given (group, better, worse, score, tie) pairs of overlapping boxes; score and tie rank the better one.
+
+    Boxes linked by pairs form components. Within one, the pairs are walked once, best box first: whoever reaches a box has
+    settled all better ones, so it suppresses its partners unless it is suppressed itself. Walks need the ids suppressed so far, not the pairs.
+    """
+    name = lambda c: F.concat_ws("/", F.col("group").cast("string"), F.col(c).cast("string"))
+    member = linked_components(pairs.select(name("better").alias("a"), name("worse").alias("b")))
+    rows = pairs.withColumn("node", name("better")).join(member, "node").drop("node")
+    order = [F.col("root"), F.col("score").desc(), F.col("tie").desc(), F.col("better")]
+
+    def walk(batches):
+        root, lost = None, set()
+        for batch in batches:
+            keep = []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("root", "better", "worse")]
+            for here, better, worse in zip(*columns):
+                if here != root:
+                    root, lost = here, set()
+                falls = better not in lost and worse not in lost
+                if falls:
+                    lost.add(worse)
+                keep.append(falls)
+            found = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([found.column(found.schema.get_field_index(c)) for c in ("group", "worse")], ["group", "id"])
+
+    kinds = dict(pairs.dtypes)
+    walked = rows.repartition("root").sortWithinPartitions(*order).select("root", "group", "better", "worse")
+    return walked.mapInArrow(walk, f"group {kinds['group']}, id {kinds['worse']}")
 
 
 def overlapping_pairs(boxes: DataFrame, threshold: float, group: str = "image_id", box_id: str = "box_id") -> DataFrame:
@@ -116,7 +136,7 @@ def _pairs(open_boxes: DataFrame, threshold: float) -> DataFrame:
         .where((F.col("k_rank") > F.col("rank")) & meet)
         .withColumn("iou", iou)
         .where(F.col("iou") > threshold)
-        .select("group", F.col("k_id").alias("better"), F.col("id").alias("worse"), "iou")
+        .select("group", F.col("k_id").alias("better"), F.col("id").alias("worse"), "iou", F.col("k_rank.score").alias("score"), F.col("k_rank.tie").alias("tie"))
         .distinct()
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxtable.functions.intensity import LUNG_THRESHOLD_HU, below_threshold
 from voxtable.operators.components import connect, keep_components
 from voxtable.operators.planar import (
-    SLICE, dilated_runs, edge_pixels, eroded_runs, fill_holes, inner_components, pixel_runs, run_pixels, second_largest_up,
+    SLICE, dilated_runs, edge_runs, eroded_runs, fill_holes, inner_components, pixel_runs, run_pixels, second_largest_up,
 )
 from voxtable.operators.regions import UPPER_LOWER_PERCENTILE, region_cut
 from voxtable.session import written
@@ -25,7 +25,7 @@ def segment_lungs(
     slices = parts.select(*SLICE).distinct()
     shrunk = eroded_runs(pixel_runs(parts), cases, slices, erosion)
     closed = eroded_runs(dilated_runs(shrunk, cases, closing), cases, slices, closing)
-    return fill_holes(written(edge_pixels(run_pixels(closed), cases), "outline"))
+    return fill_holes(written(run_pixels(edge_runs(closed, cases)), "outline"))
 
 
 def region_masks(lung: DataFrame, percentile: float = UPPER_LOWER_PERCENTILE) -> DataFrame:

@@ -162,34 +162,38 @@ def fill_holes(pixels: DataFrame) -> DataFrame:
     return mask.unionByName(holes(mask).select(*LINE, "x"))
 
 
-def edge_pixels(pixels: DataFrame, cases: DataFrame) -> DataFrame:
-    """Pixels where one diagonal of their 2×2 square changes; beyond the slice the edge repeats.
+def edge_runs(runs: DataFrame, cases: DataFrame) -> DataFrame:
+    """Runs of pixels where one diagonal of their 2×2 square changes; beyond the slice the edge repeats.
 
-    Every mask pixel reports to the (up to four) squares it is part of.
+    The four corners of the squares of a line are constant between run ends of that line and the next. Each run goes to its own
+    line as the upper row and to the line above as the lower one, and brings the places where a corner switches; a running sum gives
+    the corners in between. Work follows the number of runs.
     """
-    sized = with_size(pixels.select(*LINE, "x"), cases)
-    last_y, last_x = F.col("y") == F.col("ny") - 1, F.col("x") == F.col("nx") - 1
+    sized = with_size(runs.select(*LINE, "x0", "x1"), cases)
+    sides = F.array_compact(F.array(
+        F.struct(F.col("y").alias("y"), F.lit(0).alias("low")),
+        F.when(F.col("y") > 0, F.struct((F.col("y") - 1).alias("y"), F.lit(1).alias("low"))),
+        F.when(F.col("y") == F.col("ny") - 1, F.struct(F.col("y").alias("y"), F.lit(1).alias("low"))),
+    ))
+    placed = sized.withColumn("side", F.explode(sides)).withColumns({"y": F.col("side.y"), "low": F.col("side.low")})
+    # The left corner follows the run; the right one is a pixel ahead and stays on at the slice edge.
+    right_start = F.greatest(F.col("x0") - 1, F.lit(0))
+    right_end = F.when(F.col("x1") == F.col("nx") - 1, F.col("nx")).otherwise(F.col("x1"))
 
-    def corner(dy: int, dx: int):
-        return F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(dy).alias("ry"), F.lit(dx).alias("rx"))
+    def switch(at, left: int, right: int):
+        upper = F.col("low") == 0
+        ways = [F.when(upper, left).otherwise(0), F.when(upper, right).otherwise(0), F.when(upper, 0).otherwise(left), F.when(upper, 0).otherwise(right)]
+        return F.struct(at.cast("int").alias("x"), *[way.alias(f"d{n}") for n, way in enumerate(ways)])
 
-    def repeated(dy: int, dx: int, ry: int, rx: int):
-        return F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(ry).alias("ry"), F.lit(rx).alias("rx"))
+    switches = F.array(switch(F.col("x0"), 1, 0), switch(F.col("x1") + 1, -1, 0), switch(right_start, 0, 1), switch(F.greatest(right_end, right_start), 0, -1))
+    events = placed.select(*LINE, F.inline(switches))
+    order = Window.partitionBy(*LINE).orderBy("x")
+    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    states = events.select(*LINE, "x", F.lead("x").over(order).alias("next"), *[F.sum(f"d{n}").over(upto).alias(f"c{n}") for n in range(4)])
+    changes = (F.col("c0") != F.col("c3")) | (F.col("c1") != F.col("c2"))
+    return states.where(changes & (F.col("next") > F.col("x"))).select(*LINE, F.col("x").alias("x0"), (F.col("next") - 1).alias("x1"))
 
-    # dy, dx: corner the pixel plays; ry, rx: how far the square's own pixel lies back.
-    reports = F.array_compact(F.array(
-        *[corner(dy, dx) for dy in (0, 1) for dx in (0, 1)],
-        *[F.when(last_y, repeated(1, dx, 0, dx)) for dx in (0, 1)],
-        *[F.when(last_x, repeated(dy, 1, dy, 0)) for dy in (0, 1)],
-        F.when(last_y & last_x, repeated(1, 1, 0, 0)),
-    ))
-    seen = sized.withColumn("r", F.explode(reports)).select(
-        *SLICE,
-        (F.col("y") - F.col("r.ry")).alias("y"),
-        (F.col("x") - F.col("r.rx")).alias("x"),
-        (F.col("r.dy") * 2 + F.col("r.dx")).alias("corner"),
-    )
-    flags = seen.where((F.col("y") >= 0) & (F.col("x") >= 0)).groupBy(*LINE, "x").agg(
-        *[F.max(F.when(F.col("corner") == n, 1).otherwise(0)).alias(f"c{n}") for n in range(4)]
-    )
-    return flags.where((F.col("c0") != F.col("c3")) | (F.col("c1") != F.col("c2"))).select(*LINE, "x")
+
+def edge_pixels(pixels: DataFrame, cases: DataFrame) -> DataFrame:
+    """The pixels of ``edge_runs``."""
+    return run_pixels(edge_runs(pixel_runs(pixels), cases))

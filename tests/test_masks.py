@@ -73,3 +73,39 @@ def test_islands_all_small_keep_the_largest(spark):
     kept, changed = masks.drop_small_islands(spark.createDataFrame(rows, "mask_id int, y int, x int"), ["mask_id"], 10)
     assert sorted((r["y"], r["x"]) for r in kept.collect()) == [(5, 5), (5, 6)]
     assert changed.count() == 1
+
+
+def test_small_holes_equal_brute_force(spark):
+    """Boxes inside the frame, at its sides, across it, and empty masks; regions that leave the box count whole."""
+    rng = np.random.default_rng(12)
+    images = [rng.random((rng.integers(1, 9), rng.integers(1, 9))) < d for d in (0.2, 0.5, 0.8) for _ in range(12)]
+    for rows_, columns in ((slice(2, 4), slice(None)), (slice(None), slice(2, 4)), (slice(3, 5), slice(3, 6)), (slice(0, 0), slice(0, 0)), (slice(0, 2), slice(None))):
+        images.append(np.zeros((7, 8), bool))
+        images[-1][rows_, columns] = True
+    for limit in (4, 17, 60):
+        want, changed = set(), set()
+        for n, m in enumerate(images):
+            want |= {(n, int(y), int(x)) for y, x in np.argwhere(m)}
+            seen = m.copy()
+            for start in np.argwhere(~m):
+                if seen[tuple(start)]:
+                    continue
+                region, todo = [], [tuple(start)]
+                seen[tuple(start)] = True
+                while todo:
+                    y, x = todo.pop()
+                    region.append((n, int(y), int(x)))
+                    for b in range(max(y - 1, 0), min(y + 2, m.shape[0])):
+                        for a in range(max(x - 1, 0), min(x + 2, m.shape[1])):
+                            if not seen[b, a]:
+                                seen[b, a] = True
+                                todo.append((b, a))
+                if len(region) < limit:
+                    want |= set(region)
+                    changed.add(n)
+        rows = [(n, int(y), int(x)) for n, m in enumerate(images) for y, x in np.argwhere(m)]
+        frames = spark.createDataFrame([(n, *m.shape) for n, m in enumerate(images)], "mask_id int, h int, w int")
+        filled, holed = masks.fill_small_holes(spark.createDataFrame(rows, "mask_id int, y int, x int"), frames, ["mask_id"], limit)
+        got = [tuple(r) for r in filled.collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert {r.mask_id for r in holed.collect()} == changed

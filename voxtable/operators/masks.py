@@ -191,28 +191,83 @@ def mask_records(rows: DataFrame) -> DataFrame:
     )
 
 
-def frame_complement(pixels: DataFrame, masks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pixels of each mask's frame that the mask does not cover: the gaps along its lines."""
+def _boxed(pixels: DataFrame, masks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Frame size and box (``y0`` to ``x1``, null for an empty mask) of each mask."""
+    box = pixels.groupBy(*keys).agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    return masks.select(*keys, "h", "w").join(box, list(keys), "left")
+
+
+def box_complement(pixels: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pixels that a mask does not cover in its box grown by one pixel (as far as the frame goes): the gaps along its lines."""
     line = [*keys, "y"]
-    lines = masks.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
-    ends = lines.select(*line, F.explode(F.array(F.lit(-1), F.col("w"))).alias("x"))
+    rows = F.sequence(F.greatest(F.col("y0") - 1, F.lit(0)), F.least(F.col("y1") + 1, F.col("h") - 1))
+    lines = boxes.where(F.col("y0").isNotNull()).withColumn("y", F.explode(rows))
+    ends = F.array(F.greatest(F.col("x0") - 1, F.lit(0)) - 1, F.least(F.col("x1") + 1, F.col("w") - 1) + 1)
+    sides = lines.select(*line, F.explode(ends).alias("x"))
     following = F.lead("x").over(Window.partitionBy(*line).orderBy("x"))
-    gaps = pixels.select(*line, "x").unionByName(ends).select(*line, (F.col("x") + 1).alias("first"), (following - 1).alias("last"))
+    gaps = pixels.select(*line, "x").unionByName(sides).select(*line, (F.col("x") + 1).alias("first"), (following - 1).alias("last"))
     return gaps.where(F.col("first") <= F.col("last")).select(*line, F.explode(F.sequence("first", "last")).alias("x"))
 
 
+def _with_true_size(stats: DataFrame) -> DataFrame:
+    """Size of each region in the whole frame, and the rectangles outside the box (``beyond``) that belong to it.
+
+    The ring around the box is background and hangs together with all that lies beyond it, in one piece or, where the box spans the
+    frame, in two.
+    """
+    top, bottom, left, right = F.col("y0") > 0, F.col("y1") < F.col("h") - 1, F.col("x0") > 0, F.col("x1") < F.col("w") - 1
+    over, under = F.col("min_y") < F.col("y0"), F.col("max_y") > F.col("y1")
+    before, behind = F.col("min_x") < F.col("x0"), F.col("max_x") > F.col("x1")
+    above_below, beside = top & bottom & ~left & ~right, left & right & ~top & ~bottom
+
+    def band(held, y0, y1, x0, x1):
+        fits = held & (y0 <= y1) & (x0 <= x1)
+        return F.when(fits, F.struct(y0.alias("y0"), y1.alias("y1"), x0.alias("x0"), x1.alias("x1")))
+
+    n = lambda c: F.col(c).cast("int")
+    zero = F.lit(0)
+    leaves = over | under | before | behind
+    one = leaves & ~above_below & ~beside
+    beyond = F.array_compact(F.array(
+        band(over & (above_below | one) | one, zero, n("y0") - 1, zero, n("w") - 1),
+        band(under & (above_below | one) | one, n("y1") + 1, n("h") - 1, zero, n("w") - 1),
+        band(before & beside | one, n("y0"), n("y1"), zero, n("x0") - 1),
+        band(behind & beside | one, n("y0"), n("y1"), n("x1") + 1, n("w") - 1),
+    ))
+    area = lambda of: F.aggregate(of, F.lit(0).cast("bigint"), lambda a, r: a + (r["y1"] - r["y0"] + 1).cast("bigint") * (r["x1"] - r["x0"] + 1))
+    # The part of a rectangle that the grown box holds, and the region's size counts already.
+    inner = F.filter(F.transform("beyond", lambda r: F.struct(
+        F.greatest(r["y0"], n("y0") - 1).alias("y0"), F.least(r["y1"], n("y1") + 1).alias("y1"),
+        F.greatest(r["x0"], n("x0") - 1).alias("x0"), F.least(r["x1"], n("x1") + 1).alias("x1"),
+    )), lambda r: (r["y0"] <= r["y1"]) & (r["x0"] <= r["x1"]))
+    return stats.withColumn("beyond", beyond).withColumn("size", F.col("size") + area(F.col("beyond")) - area(inner))
+
+
 def _numeric(rows: DataFrame, key: str) -> str | None:
     """The key if masks with neighbouring values can share a group."""
     return key if dict(rows.dtypes)[key] in ("int", "bigint") else None
 
 
 def fill_small_holes(pixels: DataFrame, masks: DataFrame, keys: Sequence[str], min_area: int) -> tuple[DataFrame, DataFrame]:
-    """Add background regions (8-connected) smaller than ``min_area``; also the masks changed."""
+    """Add background regions (8-connected) smaller than ``min_area``; also the masks changed.
+
+    Only the box of a mask, grown by one pixel, is labelled; what lies beyond it is known by its area.
+    """
     keys = list(keys)
-    labelled, roots = connect(frame_complement(pixels, masks, keys), keys, ["y", "x"], stacked=_numeric(pixels, keys[-1]))
-    small = component_stats(labelled, roots, keys).where(F.col("size") < min_area)
-    filled = pixels.select(*keys, "y", "x").unionByName(keep_components(labelled, roots, small, keys).select(*keys, "y", "x"))
-    return filled, small.select(*keys).distinct()
+    boxes = _boxed(pixels, masks, keys)
+    labelled, roots = connect(box_complement(pixels, boxes, keys), keys, ["y", "x"], stacked=_numeric(pixels, keys[-1]))
+    stats = component_stats(labelled, roots, keys, ["y", "x"]).join(boxes, keys)
+    small = _with_true_size(stats).where(F.col("size") < min_area)
+    whole = F.array(F.struct(F.lit(0).alias("y0"), (F.col("h") - 1).cast("int").alias("y1"), F.lit(0).alias("x0"), (F.col("w") - 1).cast("int").alias("x1")))
+    empty = boxes.where(F.col("y0").isNull() & (F.col("h") * F.col("w") < min_area)).select(*keys, whole.alias("beyond"))
+    # Regions that leave the box and are small all the same: their rectangles hold fewer than ``min_area`` pixels.
+    outside = small.select(*keys, "beyond").unionByName(empty).select(*keys, F.inline("beyond"))
+    outside = outside.select(*keys, F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1").select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+    kinds = dict(pixels.dtypes)
+    cells = keep_components(labelled, roots, small, keys).select(*keys, "y", "x").unionByName(outside)
+    cells = cells.select(*keys, F.col("y").cast(kinds["y"]).alias("y"), F.col("x").cast(kinds["x"]).alias("x")).distinct()
+    changed = small.select(*keys).unionByName(empty.select(*keys)).distinct()
+    return pixels.select(*keys, "y", "x").unionByName(cells), changed
 
 
 def drop_small_islands(pixels: DataFrame, keys: Sequence[str], min_area: int) -> tuple[DataFrame, DataFrame]:

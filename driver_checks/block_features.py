@@ -190,6 +190,12 @@ def _(spark, folder):
     return depths(spark, folder)
 
 
+@check("e1_distance_small_tiles", "select case_id, z, y, x, lesion, round(dist_mm, 6) as dist_mm from feat", "feat")
+def _(spark, folder):
+    # Tiles of 5 cells are crossed along all three axes of the phantom.
+    return distance.voxel_features(fx.voxels(spark, folder), fx.cases(spark, folder), tile=5)
+
+
 @check("b14_peripheral", """select case_id, count(*) as lung_voxels, count(*) filter (dist_mm <= 10 or dist_mm <= 0.2*max_radius_mm) as peripheral
        from feat join radius using (case_id) group by all""", "feat", "radius")
 def _(spark, folder):

@@ -149,6 +149,26 @@ _score_check("f10_nsip_score", "nsip", rules.nsip_rules)
 _score_check("f11_op_score", "op", rules.op_rules)
 
 
+@check("f9_uip_reasons", """select case_id, concat_ws(',', case when hc then 'Honeycomb pattern present (strong UIP indicator)' end, case when hc and dom = 'honeycomb' then 'Honeycomb is dominant lesion' end,
+       case dist when 'lower_predominant' then 'Lower lobe predominance' when 'upper_predominant' then 'Upper lobe predominance (atypical for UIP)' end,
+       case ax when 'peripheral' then 'Peripheral distribution' when 'central' then 'Central distribution (atypical for UIP)' end,
+       case when inv then 'Subpleural involvement' end, case when inv and sr > 0.3 then 'Extensive subpleural involvement' end,
+       case when not inv then 'No subpleural involvement (atypical for UIP)' end, case when ret then 'Reticulation pattern present' end,
+       case when dom = 'ground_glass_opacity' then 'Extensive ground glass (atypical for UIP)' end) as reasons from vars""", "vars")
+def _(spark, folder):
+    return features(spark, folder).select("case_id", rules.reasons(rules.uip_rules()).alias("reasons"))
+
+
+@check("f10_nsip_reasons", """select case_id, concat_ws(',', case when ggo then 'Ground glass opacity present' end, case when dom = 'ground_glass_opacity' then 'Ground glass is dominant' end,
+       case when ret then 'Reticulation pattern present' end, case when hc then 'Honeycomb present (atypical for NSIP)' else 'No honeycomb pattern (typical for NSIP)' end,
+       case when dist in ('diffuse', 'upper_predominant') then dist || ' distribution' when dist = 'lower_predominant' then 'Lower predominance (less typical for NSIP)' end,
+       case when ax in ('peripheral', 'diffuse_scattered') then ax || ' axial distribution' end,
+       case when not inv then 'Subpleural sparing (classic NSIP feature)' when sr < 0.1 then 'Minimal subpleural involvement'
+         else 'Significant subpleural involvement (atypical for NSIP)' end) as reasons from vars""", "vars")
+def _(spark, folder):
+    return features(spark, folder).select("case_id", rules.reasons(rules.nsip_rules()).alias("reasons"))
+
+
 @check("f11_op_reasons", """select case_id, concat_ws(',', case when con then 'Consolidation present' end, case when dom = 'consolidation' then 'Consolidation is dominant' end,
        case when ggo and con then 'Mixed ground glass and consolidation' when dom = 'ground_glass_opacity' then 'Ground glass dominant (possible early OP)' end,
        case when not hc and not ret then 'No fibrotic patterns (typical for OP)' end, case when dist in ('diffuse', 'lower_predominant') then dist || ' distribution' end,

@@ -113,6 +113,13 @@ def _(spark, folder):
     return components.label_components(rows, ["case_id", "lesion"], ["z", "y", "x"])
 
 
+@check("e2_volume_small_tiles", "select case_id, lesion, z, y, x, ((root // 320)*2097152 + (root // 20) % 16)*2097152 + root % 20 as component from les join les_cc using (case_id, lesion, p)", "les", "les_cc")
+def _(spark, folder):
+    # Tiles of 5 cells are crossed along all three axes of the phantom.
+    rows = fx.voxels(spark, folder).where("lesion > 0")
+    return components.label_components(rows, ["case_id", "lesion"], ["z", "y", "x"], tile=5)
+
+
 @check("e2_components_small_tiles", "select case_id, z, count(distinct root) as components, count(*) as pixels from spots_cc group by all", "spots_cc")
 def _(spark, folder):
     rows = components.label_components(spots(spark, folder), ["case_id", "z"], ["y", "x"], tile=8)

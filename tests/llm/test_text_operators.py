@@ -225,9 +225,10 @@ def test_chat_round_trip(spark):
     assert chat.format_windows(spark.createDataFrame([], TURNS)).collect() == []
 
 
-@pytest.mark.parametrize("name", ["op3_chat_formatting", "op8_exact_top_k"])
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op3_chat_formatting", "op6_embedding_near_dedup", "op8_exact_top_k"])
 def test_matches_sql(spark, name, monkeypatch):
     monkeypatch.setitem(compare.TYPES, "int", "INTEGER")
+    monkeypatch.setitem(compare.TYPES, "boolean", "BOOLEAN")
     assert compare.difference(QUERIES[name](spark, SMALL), compare.views(SMALL), ORACLE[name]) is None
 
 

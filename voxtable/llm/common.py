@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
     """Slices of the batches with about ``limit`` bytes of text each (one row at least), and the texts; null is empty."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
-        sizes = np.cumsum([0 if v is None else v for v in pa.compute.binary_length(texts).to_pylist()]) if len(texts) else np.zeros(0)
+        sizes = np.cumsum([0 if v is None else v for v in pc.binary_length(texts).to_pylist()]) if len(texts) else np.zeros(0)
         at = 0
         while at < len(texts):
             done = sizes[at - 1] if at else 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtable.llm.graph import components
+from voxtable.operators.graph import linked_components
 from voxtable.session import written
 
 THRESHOLD = 0.9
@@ -200,7 +200,7 @@ def enlarged(graph: DataFrame, vectors: DataFrame, threshold: float, k: int) ->
     """All links (both directions) and the components: lists of components with a saturated list grow to the whole component."""
     strong = graph.where(F.col("cosine") >= threshold)
     links = written(strong.select("a", "b", "cosine").unionByName(strong.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).dropDuplicates(["a", "b"]), "links")
-    roots = written(components(links.select("a", "b")), "roots")
+    roots = written(linked_components(links.select("a", "b")), "roots")
     full = strong.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("node"))
     wide = roots.join(full, "node", "left_semi").select("root").distinct()
     inside = roots.join(wide, "root", "left_semi").select("root", F.col("node").alias("vec_id"))

@@ -84,6 +84,32 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": """
+    with recursive worded as (
+        select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words from documents),
+    shingled as materialized (
+        select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+            else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) end) as shingle from worded),
+    sizes as materialized (select doc_id, count(*) as n from shingled group by all),
+    links as materialized (
+        select c.a, c.b from (select x.doc_id as a, y.doc_id as b, count(*) as common from shingled x join shingled y using (shingle) where x.doc_id <> y.doc_id group by all) c
+        join sizes m on m.doc_id = c.a join sizes n on n.doc_id = c.b where 100 * common >= 85 * (m.n + n.n - common)),
+    reach as (select doc_id, doc_id as other from documents union select r.doc_id, l.b from reach r join links l on r.other = l.a)
+    select d.doc_id, coalesce(max(s.n), 0)::bigint as n_shingles, min(r.other) as component_id
+    from documents d left join sizes s using (doc_id) join reach r using (doc_id) group by d.doc_id
+    """,
+    "op6_embedding_near_dedup": """
+    with recursive vectors as materialized (
+        select vec_id, list_transform(embedding, lambda v: cast(v as double)) as x from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0 and len(list_filter(embedding, lambda v: v <> 0)) > 0),
+    links as materialized (
+        select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+        where list_cosine_similarity(a.x, b.x) >= 0.9),
+    reach as (select vec_id, vec_id as other from embeddings union select r.vec_id, l.b from reach r join links l on r.other = l.a)
+    select e.vec_id, (select count(*) from links l where l.a = e.vec_id)::bigint as n_links, min(r.other) as component_id, e.vec_id = min(r.other) as kept
+    from embeddings e join reach r using (vec_id) group by e.vec_id
+    """,
     "op8_exact_top_k": """
     with usable as (
         select vec_id, list_transform(embedding, lambda v: cast(floor(64 * cast(v as double)) as bigint)) as x from embeddings

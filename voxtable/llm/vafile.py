@@ -12,7 +12,7 @@ Bounds and scores are integers, so results are exact.
 
 Components are floor(scale * x) as long. Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, neither do those
 with a component beyond 2^24 in size after scaling (their products might not fit); vectors of different length never meet; rows with a null id
-take no part; a query is not its own candidate, and of rows with equal ids none is a candidate of another; ties go to the smaller id; an empty
+take no part; a query is not its own candidate; rows with equal ids are one vector, the first by content; ties go to the smaller id; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -41,7 +41,8 @@ def integers(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
     fine = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(
         "embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) < LIMIT),
     )
-    return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+    rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+    return rows.groupBy("vec_id").agg(F.min("x").alias("x"))
 
 
 def _matrix(rows: pa.Table, name: str) -> np.ndarray:

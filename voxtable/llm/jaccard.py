@@ -7,12 +7,12 @@ whole sequence if it has fewer words. Sets are compared as 64-bit hashes of shin
    with equal sets are one class from here on.
 2. A second scan orders each set rare-first (by the sketch's count class, then by hash: one order for all documents) and emits its prefix.
    Two sets that reach the threshold share a shingle of their prefixes. The shingles of two or more sets become the posting lists.
-3. A third scan fetches the sets of the classes that stand in a list; a bitmap of fixed size lets the others go where they are read.
-4. Round one joins each list's first member with its other members that pass the length and positional filters; a pair found in many
-   lists is verified once. Linked classes form components.
-5. Round two takes the lists whose members still lie in different components. Lists are cut into blocks, each pair of blocks is a unit of work,
-   and every pair across components goes through the length, positional and suffix filters (the suffix filter bounds the sets' difference from
-   below by counts per hash range, exactly). The pairs left are verified once each, and the components are joined.
+3. A third scan counts each listed set by hash range, for the suffix filter: the counts bound the difference of two sets from below, exactly.
+4. Round one pairs each list's first member with its other members that pass the length, positional and suffix filters. A scan fetches the
+   sets of the pairs left (a bitmap of fixed size lets the others go where they are read), and each pair is verified once, in however many
+   lists it stands. Linked classes form components.
+5. Round two takes the lists whose other members still lie in different components; of lists with the same members, the first. Lists are cut into blocks, each pair of blocks is a unit of work,
+   and every pair across components goes through the same filters. The pairs left are verified once each, and the components are joined.
 
 Every pair that shares a prefix shingle is thus either in one component already, or excluded by an exact filter, or verified: components
 equal those of all links. Groups of copies cost a row per copy and list, not a row per pair.
@@ -29,16 +29,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtable.llm.common import WordHasher, joined_words, mixed, text_slices
-from voxtable.llm.graph import components
+from voxtable.operators.graph import linked_components
 from voxtable.session import written
 
 WHITE = b" \t\n\x0b\x0c\r"
 SKETCH_BITS = 20
-#: Hash ranges of the suffix filter.
+#: Fewest hash ranges of the suffix filter; a larger set has about one for each member.
 RANGES = 128
 #: Members of a block of a posting list.
 BLOCK = 512
@@ -151,27 +151,38 @@ def _prefixes(n: int, percent: int, level):
     return run, "token long, node binary, n int, place int"
 
 
-def _wanted_sets(n: int, wanted):
+def range_counts(z: np.ndarray) -> np.ndarray:
+    """Members by hash range, up to 255 each; the number of ranges is a power of two."""
+    size = max(RANGES, 1 << (len(z) - 1).bit_length())
+    return np.minimum(np.bincount((z & _U(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
+
+
+def folded(counts: np.ndarray, size: int) -> np.ndarray:
+    """Counts over fewer ranges; the last axis holds the ranges."""
+    return counts.reshape(*counts.shape[:-1], -1, size).sum(-2, dtype=np.int32)
+
+
+def _fetch(texts: DataFrame, nodes: DataFrame, n: int, ranges: bool) -> DataFrame:
+    """node and value of the wanted classes: the set itself, or its counts by hash range; a few others may come along."""
+    wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+
+    def value(z: np.ndarray) -> bytes:
+        return range_counts(z).tobytes() if ranges else z.tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bits, seen = WordHasher(WHITE), wanted.value, set()
-        for _, texts in text_slices(batches, "text"):
-            nodes, sets, ranges = [], [], []
-            for z in shingle_sets(hasher, texts, n):
-                if not len(z):
-                    continue
-                node = signature(z)
+        for _, part in text_slices(batches, "text"):
+            found = {}
+            for z in shingle_sets(hasher, part, n):
+                node = signature(z) if len(z) else b""
                 at = int.from_bytes(node[:4], "little") % (1 << WANTED_BITS)
-                if not bits[at >> 3] >> (at & 7) & 1 or node in seen:
-                    continue
-                seen.add(node)
-                nodes.append(node)
-                sets.append(z.tobytes())
-                counts = np.bincount((z & _U(RANGES - 1)).astype(np.int64), minlength=RANGES)
-                ranges.append(np.minimum(counts, 65535).astype(np.uint16).tobytes())
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary()), pa.array(ranges, pa.binary())], ["node", "shingles", "ranges"])
+                if node and node not in seen and bits[at >> 3] >> (at & 7) & 1:
+                    found[node] = value(z)
+            seen.update(found)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], ["node", "value"])
 
-    return run, "node binary, shingles binary, ranges binary"
+    return written(texts.mapInArrow(run, "node binary, value binary").dropDuplicates(["node"]), "ranges" if ranges else "sets")
 
 
 def _bitmap(nodes: DataFrame) -> bytes:
@@ -208,9 +219,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return _with_values(pairs, sets).select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def _with_values(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    left = values.select(F.col("node").alias("a"), F.col("value").alias("x"))
+    right = values.select(F.col("node").alias("b"), F.col("value").alias("y"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _near(pairs: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the suffix filter leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = []
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                far.append(int(np.abs(folded(x, size) - folded(y, size)).sum()))
+            total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            keep = pa.array(np.array(far, np.int64) <= total - 2 * _needed(total, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return _with_values(pairs, ranges).select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _survivors(percent: int):
@@ -227,17 +259,26 @@ def _survivors(percent: int):
         use &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
         use &= 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1 >= need
         i, j, need = i[use], j[use], need[use]
+        size = np.minimum(rows["size"][i], rows["size"][j])
         keep = np.zeros(len(i), bool)
-        for at in range(0, len(i), 1 << 16):
-            s = slice(at, at + (1 << 16))
-            apart = np.abs(ranges[i[s]] - ranges[j[s]]).sum(1)
-            keep[s] = apart <= n[i[s]] + n[j[s]] - 2 * need[s]
+        for wide in np.unique(size).tolist():
+            same_size = np.flatnonzero(size == wide)
+            member, place_of = np.unique(np.concatenate([i[same_size], j[same_size]]), return_inverse=True)
+            counts = np.stack([folded(np.frombuffer(ranges[k], np.uint8), wide) for k in member.tolist()]).astype(np.int16)
+            left_of, right_of = place_of[: len(same_size)], place_of[len(same_size) :]
+            step = max(1, (1 << 22) // wide)
+            for at in range(0, len(same_size), step):
+                s = slice(at, at + step)
+                pair = same_size[s]
+                apart = np.abs(counts[left_of[s]] - counts[right_of[s]]).sum(1, dtype=np.int64)
+                keep[pair] = apart <= n[i[pair]] + n[j[pair]] - 2 * need[pair]
         return i[keep], j[keep]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         nodes = np.array(table["node"].to_pylist(), object)
         rows = {"n": table["n"].to_numpy().astype(np.int64), "place": table["place"].to_numpy().astype(np.int64)}
-        rows["ranges"] = np.frombuffer(b"".join(table["ranges"].to_pylist()), np.uint16).astype(np.int32).reshape(len(nodes), -1)
+        rows["ranges"] = table["ranges"].to_pylist()
+        rows["size"] = np.array([len(x) for x in rows["ranges"]], np.int64)
         _, rows["comp"] = np.unique(np.array(table["comp"].to_pylist(), object), return_inverse=True)
         mine, a, b = table["block"].to_numpy(), key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(mine == a), np.flatnonzero(mine == b)
@@ -253,6 +294,10 @@ def _survivors(percent: int):
     return run
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
 def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; a component is named by its smallest doc_id."""
     if not 0 < percent <= 100 or n < 1:
@@ -266,34 +311,39 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
     run, schema = _prefixes(n, percent, level)
     # Lists of one set end here. All rows of a token meet; the rows of copies were dropped where they were read.
-    from pyspark.sql import Window
-
     tokens = texts.mapInArrow(run, schema).repartition("token").dropDuplicates(["token", "node"])
     token = Window.partitionBy("token")
     lists = tokens.withColumn("size", F.count("*").over(token)).where("size > 1").withColumn("hub", F.min(F.struct("node", "n", "place")).over(token))
     lists = written(lists, "lists")
 
-    wanted = spark.sparkContext.broadcast(_bitmap(lists.select("node").distinct()))
-    run, schema = _wanted_sets(n, wanted)
-    sets = written(texts.mapInArrow(run, schema).dropDuplicates(["node"]), "sets")
+    ranges = _fetch(texts, lists.select("node"), n, ranges=True)
 
     h, mine = F.col("hub.n"), F.col("n")
     common = F.least(h - F.col("hub.place"), mine - F.col("place"))
     reach = (100 * F.least(h, mine) >= percent * F.greatest(h, mine)) & (common >= F.ceil(percent * (h + mine) / (100 + percent)))
-    pairs = lists.where((F.col("hub.node") != F.col("node")) & reach).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_verified(pairs, sets, percent), "links")
-    member = written(components(links), "members")
-
-    # Lists whose members lie in one component are done.
-    placed = lists.drop("hub").join(member, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    token_state = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
-    open_ = placed.join(token_state, "token").join(sets.select("node", "ranges"), "node")
+    pairs = lists.where((F.col("hub.node") != F.col("node")) & reach).select(F.col("hub.node").alias("a"), F.col("node").alias("b"), h.alias("n"), mine.alias("m")).distinct()
+    pairs = written(_near(pairs, ranges, percent), "pairs")
+    links = written(_verified(pairs, _fetch(texts, _ends(pairs), n, ranges=False), percent), "links")
+    member = written(linked_components(links), "members")
+
+    # Pairs with the first member of a list are decided. Lists whose other members lie in one component are done, and so are lists of two.
+    others = lists.where(F.col("hub.node") != F.col("node")).drop("hub")
+    placed = others.join(member, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    # Of lists with the same members only the first in the common order counts: every pair comes first there.
+    mark = F.xxhash64("node")
+    state = placed.groupBy("token").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"), F.bit_xor(mark).alias("mark"),
+        F.sum(F.pmod(mark, F.lit((1 << 31) - 1))).alias("sum"), F.sum("place").alias("places"),
+    ).where("low != high")
+    tokens = state.groupBy("members", "mark", "sum").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token")
+    open_ = placed.join(tokens, "token").join(ranges.withColumnRenamed("value", "ranges"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     open_ = open_.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "place", "comp", "ranges")
     rest = open_.groupBy("token", "low", "high").applyInArrow(_survivors(percent), "a binary, b binary").distinct()
-    more = written(_verified(rest, sets, percent), "links")
-    final = components(links.unionByName(more))
+    rest = written(rest, "pairs")
+    more = written(_verified(rest, _fetch(texts, _ends(rest), n, ranges=False), percent), "links")
+    final = linked_components(links.unionByName(more))
 
     classes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("smallest"))
     named = classes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))

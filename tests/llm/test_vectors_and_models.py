@@ -69,6 +69,25 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert all(got[i] == want[i] for i in range(90))
 
 
+def pair_of_groups(members, cosine, dims=32, seed=5):
+    """Two tight groups whose links to each other are weaker than those inside."""
+    rng = np.random.default_rng(seed)
+    a, b = np.linalg.qr(rng.normal(size=(dims, 2)))[0].T
+    b = cosine * a + math.sqrt(1 - cosine**2) * b
+    return [(base + 0.002 * rng.normal(size=dims)).tolist() for base in (a, b) for _ in range(members)]
+
+
+@pytest.mark.parametrize("members", [12, 300])
+def test_links_between_tight_groups(spark, members):
+    """Every list is full of its own group; equal vectors are many rows."""
+    rng = np.random.default_rng(6)
+    xs = pair_of_groups(members, 0.93)
+    rows = list(enumerate([*xs, *[xs[0]] * 30, *rng.normal(size=(500, 32)).tolist()]))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(vectors(spark, rows))[0].collect()}
+    linked = 2 * members + 30
+    assert got == {i: (linked - 1, 0) if i < linked else (0, i) for i, _ in rows}
+
+
 def test_a_round_finds_what_first_lists_missed(spark):
     rows = odd_vectors(groups=((40, 5),))
     good = neighbours.usable(vectors(spark, rows))

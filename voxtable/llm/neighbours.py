@@ -3,12 +3,16 @@
 1. First lists: under several random orders (bits of hyperplane signs, then one projection) the vectors are sorted by range partitions, and each
    run of ``LEAF`` vectors is compared within itself. Every vector keeps its ``K`` best.
 2. Rounds: each vector gathers its neighbours and those that name it, and these meet each other; every pair may improve the lists of both.
-3. Enlarging: a list is saturated when all its ``K`` entries reach the threshold, so it may miss more of them. The vectors of a component with a
-   saturated list then meet all others of that component, in blocks: neighbours of neighbours carried to the end, without a cap.
+3. Growing: a list is saturated when all its ``K`` entries reach the threshold; a link can hide only where both lists are saturated. Those
+   vectors are searched again, without the vectors of their own component, so what they already reach takes no place in their lists. Links
+   found so merge components; this goes on until a search finds none.
 4. Audit: a bounded, hash-ordered sample of vectors is compared with all vectors. While recall is below ``GOAL``, another set of orders and
    another round follow, ``MOST_ROUNDS`` at most; the recall of the result is returned beside it.
 
-All kept links are verified: their cosine is computed in double precision from the components as given. A hub is cut into blocks of ``BLOCK`` rows by a hash wherever rows
+Counting: equal vectors are one row with a weight from the start. The vectors of a component of three or more meet all others of it, in
+blocks that give counts, not pairs, so one found link between two groups is enough for all links between them.
+
+All links are verified: their cosine is computed in double precision from the components as given. A hub is cut into blocks of ``BLOCK`` rows by a hash wherever rows
 meet, so no task holds a whole group.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own component; vectors of
@@ -67,10 +71,10 @@ def _edges(a: list, b: list, cosine: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cosine, pa.float64())], ["a", "b", "cosine"])
 
 
-def _best(ids: np.ndarray, units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Directed edges from each vector to its k best others among these."""
+def _best(ids: np.ndarray, roots: np.ndarray, units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directed edges from each vector to its k best others among these, of other components only."""
     cosine = units @ units.T
-    cosine[ids[:, None] == ids[None, :]] = -2
+    cosine[roots[:, None] == roots[None, :]] = -2
     k = min(k, len(ids) - 1)
     if k < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -80,6 +84,11 @@ def _best(ids: np.ndarray, units: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return np.repeat(ids, k)[some], ids[top].ravel()[some], value.ravel()[some]
 
 
+def _rooted(vectors: DataFrame) -> DataFrame:
+    """vec_id, dims, root, x: without components, each vector is its own."""
+    return vectors.select("vec_id", "dims", (F.col("root") if "root" in vectors.columns else F.col("vec_id")).alias("root"), "x")
+
+
 def _ordered(vectors: DataFrame, orders: int, seed: int) -> DataFrame:
     """Each vector once per order, with its place in it: sign bits as a number, then one projection."""
 
@@ -89,17 +98,17 @@ def _ordered(vectors: DataFrame, orders: int, seed: int) -> DataFrame:
             for d in np.unique(dims).tolist():
                 some = pa.array(np.flatnonzero(dims == d))
                 part = batch.take(some)
-                units = _units(_matrix(part.column(2)))
+                units = _units(_matrix(part.column(3)))
                 for order in range(orders):
                     plane = np.random.default_rng([seed, order, d]).normal(size=(d, BITS + 1))
                     shadow = units @ plane
                     code = (shadow[:, :BITS] > 0) @ (1 << np.arange(BITS)[::-1])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(units), order), pa.int32()), part.column(1).cast(pa.int32()), pa.array(code, pa.int64()),
-                        pa.array(shadow[:, BITS], pa.float64()), part.column(0), part.column(2),
-                    ], ["way", "dims", "code", "shadow", "vec_id", "x"])
+                        pa.array(shadow[:, BITS], pa.float64()), part.column(0), part.column(2), part.column(3),
+                    ], ["way", "dims", "code", "shadow", "vec_id", "root", "x"])
 
-    return vectors.select("vec_id", "dims", "x").mapInArrow(run, "way int, dims int, code long, shadow double, vec_id long, x array<double>")
+    return _rooted(vectors).mapInArrow(run, "way int, dims int, code long, shadow double, vec_id long, root long, x array<double>")
 
 
 def first_lists(vectors: DataFrame, k: int = K, orders: int = ORDERS, seed: int = 1) -> DataFrame:
@@ -122,7 +131,7 @@ def first_lists(vectors: DataFrame, k: int = K, orders: int = ORDERS, seed: int
             dims, way = leaf["dims"].to_numpy(), leaf["way"].to_numpy()
             for d, w in set(zip(dims.tolist(), way.tolist())):
                 part = leaf.take(pa.array(np.flatnonzero((dims == d) & (way == w))))
-                for store, value in zip(out, _best(part["vec_id"].to_numpy(), _units(_matrix(part["x"])), k)):
+                for store, value in zip(out, _best(part["vec_id"].to_numpy(), part["root"].to_numpy(), _units(_matrix(part["x"])), k)):
                     store.append(value)
         yield _edges(*out)
 
@@ -144,7 +153,7 @@ def descend(graph: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     pairs = pairs.unionByName(vectors.select(F.col("vec_id").alias("at"), "vec_id")).distinct()
     crowd = pairs.groupBy("at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     members = pairs.join(crowd, "at").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("parts")
-    members = members.join(vectors, "vec_id")
+    members = members.join(_rooted(vectors), "vec_id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out, size = None, ([], [], []), 0
@@ -162,99 +171,126 @@ def descend(graph: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     def grouped(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         out = ([], [], [])
         if len(rows):
-            ids, dims = rows["vec_id"].to_numpy(), rows["dims"].to_numpy()
+            ids, roots, dims = rows["vec_id"].to_numpy(), rows["root"].to_numpy(), rows["dims"].to_numpy()
             turns = np.flatnonzero(np.diff(dims, prepend=-1, append=-1))  # rows of one length follow each other
             for lo, hi in zip(turns[:-1].tolist(), turns[1:].tolist()):
                 units = _units(_matrix(rows["x"].slice(lo, hi - lo)))
                 own = starts[(starts >= lo) & (starts <= hi)]
                 for a, b in zip(own[:-1].tolist(), own[1:].tolist()):
-                    for store, value in zip(out, _best(ids[a:b], units[a - lo : b - lo], k)):
+                    for store, value in zip(out, _best(ids[a:b], roots[a:b], units[a - lo : b - lo], k)):
                         store.append(value)
         return _edges(*out)
 
-    near = members.repartition("at", "part").sortWithinPartitions("dims", "at", "part").select("at", "part", "vec_id", "dims", "x").mapInArrow(meet, _EDGE)
+    near = members.repartition("at", "part").sortWithinPartitions("dims", "at", "part").select("at", "part", "vec_id", "dims", "root", "x").mapInArrow(meet, _EDGE)
     return graph.unionByName(near)
 
 
-def _all_within(groups: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """a, b, cosine of every two vectors of a group (root, vec_id) that reach the threshold, both directions; block by block."""
+def _counts_within(groups: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """vec_id and n: the weight of all other vectors of its group (root, vec_id) that reach the threshold; block by block."""
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    rows = rows.join(vectors.select("vec_id", "x"), "vec_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "x")
+    rows = rows.join(vectors.select("vec_id", "weight", "x"), "vec_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "weight", "x")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        ids, units, block = table["vec_id"].to_numpy(), _units(_matrix(table["x"])), table["block"].to_numpy()
+        ids, units, block, weight = table["vec_id"].to_numpy(), _units(_matrix(table["x"])), table["block"].to_numpy(), table["weight"].to_numpy()
         left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
-        cosine = units[left] @ units[right].T
-        i, j = np.nonzero((cosine >= threshold) & (ids[left][:, None] != ids[right][None, :]))
-        a, b, value = ids[left[i]], ids[right[j]], cosine[i, j]
+        near = (units[left] @ units[right].T >= threshold) & (ids[left][:, None] != ids[right][None, :])
+        a, n = ids[left], near.astype(np.int64) @ weight[right]
         if key[1].as_py() != key[2].as_py():
-            a, b, value = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([value, value])
-        return pa.Table.from_batches([_edges([a], [b], [value])])
+            a, n = np.concatenate([a, ids[right]]), np.concatenate([n, weight[left] @ near.astype(np.int64)])
+        return pa.table({"vec_id": pa.array(a, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return rows.groupBy("root", "low", "high").applyInArrow(compare, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return written(linked_components(links).select(F.col("node").alias("vec_id"), "root"), "roots")
 
-    return rows.groupBy("root", "low", "high").applyInArrow(compare, _EDGE)
+
+def _with_roots(vectors: DataFrame, roots: DataFrame) -> DataFrame:
+    return vectors.drop("root").join(roots, "vec_id", "left").withColumn("root", F.coalesce("root", "vec_id"))
+
+
+def _thinned(vectors: DataFrame, seed: int) -> DataFrame:
+    """About ``K`` vectors of each component, others for each seed: a large component fills whole leaves, and its neighbours do not meet it."""
+    sizes = vectors.groupBy("root").agg(F.ceil(F.count("*") / K).alias("share"))
+    return vectors.join(sizes, "root").where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col("share")) == 0).drop("share")
+
+
+def grown(graph: DataFrame, vectors: DataFrame, threshold: float, k: int, seed: int = 1) -> DataFrame:
+    """vec_id and root of all vectors with links: the components of the graph, merged while saturated vectors find links to other components."""
+    strong = written(graph.where(F.col("cosine") >= threshold).select("a", "b"), "links")
+    full = strong.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("vec_id"))
+    asked, roots = written(vectors.join(full, "vec_id", "left_semi"), "saturated"), _components(strong)
+    while not asked.isEmpty():
+        seed += 100
+        part = written(_with_roots(asked, roots), "saturated")
+        lists = _kept(first_lists(part, k, ORDERS, seed).unionByName(first_lists(_thinned(part, seed), k, ORDERS, seed + 50)), k)
+        more = written(lists.where(F.col("cosine") >= threshold).select("a", "b"), "links")
+        if more.isEmpty():
+            break
+        roots = _components(more.unionByName(roots.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))))
+    return roots
 
 
-def enlarged(graph: DataFrame, vectors: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """All links (both directions) and the components: lists of components with a saturated list grow to the whole component."""
-    strong = graph.where(F.col("cosine") >= threshold)
-    links = written(strong.select("a", "b", "cosine").unionByName(strong.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).dropDuplicates(["a", "b"]), "links")
-    roots = written(linked_components(links.select("a", "b")), "roots")
-    full = strong.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("node"))
-    wide = roots.join(full, "node", "left_semi").select("root").distinct()
-    inside = roots.join(wide, "root", "left_semi").select("root", F.col("node").alias("vec_id"))
-    rest = links.join(inside.select(F.col("vec_id").alias("a")), "a", "left_anti")
-    return written(rest.unionByName(_all_within(inside, vectors, threshold)), "links"), roots
+def counted(vectors: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """vec_id, root, n_links of every vector: links between equal vectors, and all links inside the components."""
+    rows = written(_with_roots(vectors, roots).select("vec_id", "root", "weight"), "roots")
+    sizes = rows.groupBy("root").agg(F.count("*").alias("size"), F.sum("weight").alias("all"))
+    groups = rows.join(sizes, "root")
+    # Two vectors of one component have one link; three or more must meet.
+    inside = _counts_within(groups.where("size > 2").select("root", "vec_id"), vectors, threshold)
+    n = F.when(F.col("size") > 2, F.coalesce("n", F.lit(0)) + F.col("weight") - 1).otherwise(F.col("all") - 1)
+    return groups.join(inside, "vec_id", "left").select("vec_id", "root", n.cast("long").alias("n_links"))
 
 
-def audit(links: DataFrame, vectors: DataFrame, threshold: float, size: int = AUDIT) -> float:
-    """Share of the true links of a sample of vectors that were found; the sample is the first ``size`` by a hash of the id, half of them
-    from vectors with links, as most have none."""
-    linked = links.select(F.col("a").alias("vec_id")).distinct()
+def audit(rooted: DataFrame, linked: DataFrame, threshold: float, size: int = AUDIT) -> float:
+    """Share of the true links of a sample of vectors that were found, that is, lie inside a component; the sample is the first ``size`` by a
+    hash of the id, half of them from vectors with links, as most have none."""
     order = F.xxhash64("vec_id", F.lit(3))
-    chosen = linked.orderBy(order, "vec_id").limit(size // 2).unionByName(vectors.select("vec_id").orderBy(order, "vec_id").limit(size // 2)).distinct()
-    asked = vectors.join(F.broadcast(chosen), "vec_id").select("vec_id", "dims", "x").collect()  # ``size`` vectors at most
+    chosen = linked.select("vec_id").orderBy(order, "vec_id").limit(size // 2).unionByName(rooted.select("vec_id").orderBy(order, "vec_id").limit(size // 2)).distinct()
+    asked = rooted.join(F.broadcast(chosen), "vec_id").select("vec_id", "dims", "root", "x").collect()  # ``size`` vectors at most
     if not asked:
         return 1.0
     by_length = {}
     for r in asked:
         by_length.setdefault(r.dims, []).append(r)
-    known = {d: (np.array([r.vec_id for r in rows]), _units(np.array([r.x for r in rows], float))) for d, rows in by_length.items()}
+    known = {d: (np.array([r.vec_id for r in rows]), np.array([r.root for r in rows]), _units(np.array([r.x for r in rows], float))) for d, rows in by_length.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(1).to_numpy()
-            for d, (ids, units) in known.items():
+            for d, (ids, roots, units) in known.items():
                 part = batch.filter(pa.array(dims == d))
                 if part.num_rows:
-                    other = part.column(0).to_numpy()
-                    cosine = units @ _units(_matrix(part.column(2))).T
-                    i, j = np.nonzero((cosine >= threshold) & (ids[:, None] != other[None, :]))
-                    yield _edges([ids[i]], [other[j]], [cosine[i, j]])
+                    near = (units @ _units(_matrix(part.column(3))).T >= threshold) & (ids[:, None] != part.column(0).to_numpy()[None, :])
+                    found = near & (roots[:, None] == part.column(2).to_numpy()[None, :])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.sum(1)), pa.array(found.sum(1))], ["vec_id", "total", "found"])
 
-    true = vectors.select("vec_id", "dims", "x").mapInArrow(run, _EDGE).select("a", "b")
-    missed = true.join(links.select("a", "b"), ["a", "b"], "left_anti").count()
-    total = true.count()
-    return 1 - missed / total if total else 1.0
+    rows = _rooted(rooted).mapInArrow(run, "vec_id long, total long, found long").groupBy("vec_id").agg(F.sum("total").alias("total"), F.sum("found").alias("found")).where("total > 0").collect()
+    total = sum(r.total for r in rows)
+    return sum(r.found for r in rows) / total if total else 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -> tuple[DataFrame, float]:
     """(vec_id, n_links, component_id, kept of every row; the audited recall)."""
-    good = written(usable(vectors), "vectors")
+    single = written(usable(vectors), "vectors")
+    good = written(single.groupBy("x").agg(F.min("vec_id").alias("vec_id"), F.min("dims").alias("dims"), F.count("*").alias("weight")), "vectors")
     graph, recall = None, 0.0
     for step in range(MOST_ROUNDS):
         more = first_lists(good, k, ORDERS, seed=step + 1)
         graph = written(_kept(more if graph is None else graph.unionByName(more), k), "graph")
         graph = written(_kept(descend(graph, good, k), k), "graph")
-        links, roots = enlarged(graph, good, threshold, k)
-        recall = audit(links, good, threshold)
+        roots = grown(graph, good, threshold, k, seed=step + 1)
+        recall = audit(_with_roots(good, roots), roots, threshold)
         if recall >= GOAL:
             break
-        # Links found in the blocks stay in the lists as far as those have room.
-    counts = links.groupBy(F.col("a").alias("vec_id")).agg(F.count("*").alias("n_links"))
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(counts, "vec_id", "left")
-    out = out.join(roots.select(F.col("node").alias("vec_id"), "root"), "vec_id", "left")
+    # Equal vectors share the row of the first; its id is the smallest.
+    counts = counted(good, roots, threshold).withColumnRenamed("vec_id", "first")
+    copies = single.select("vec_id", "x").join(good.select(F.col("vec_id").alias("first"), "x"), "x").select("vec_id", "first")
+    found = copies.join(counts, "first").drop("first")
+    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(found, "vec_id", "left")
     component = F.coalesce("root", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"),

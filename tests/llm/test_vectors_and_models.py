@@ -117,6 +117,26 @@ def test_search_equals_brute_force(spark, bits, k):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_search_takes_large_components(spark):
+    """Components from 2^18 on, sums beyond 2^53, a result that is no long, and an id with two contents."""
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 16)))]
+    rows += [(60 + i, (v * size).tolist()) for i, (v, size) in enumerate(zip(rng.normal(size=(12, 16)), [2e5, 3e5, 1e6, 1e7] * 3))]
+    rows += [(80 + i, (np.full(16, 2.0**18) + i / 64).tolist()) for i in range(30)]
+    rows += [(7, rng.normal(size=16).tolist()), (130, [5e7] + [0.0] * 15), (131, [-5e7] + [0.0] * 15), (132, [INF] * 16)]
+    known = vafile.integers(vectors(spark, [*rows, rows[0]]))
+    asked = known.where("vec_id % 3 = 0 and vec_id < 130")
+    got = vafile.top_k(asked, known, k=10, block=20).collect()
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if math.isfinite(v[0])]
+    want = []
+    for q in {i for i, _ in good if i % 3 == 0 and i < 130}:
+        scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for p, a in good if p == q for i, b in good if i != q)
+        want += [(q, place + 1, i, -s) for place, (s, i) in enumerate(scores[:10])]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    with pytest.raises(Exception, match="no long"):
+        vafile.top_k(known.where("vec_id = 131"), known.where("vec_id = 131").selectExpr("vec_id + 1 as vec_id", "x")).collect()
+
+
 def plain_url(url):
     url = url or ""
     if "://" not in url:

@@ -8,12 +8,13 @@ A file holds, for blocks of about ``BLOCK`` vectors, the quantised cell of every
    the kth exact score. The k best of each block meet, at most k rows per query and block.
 
 Queries are dealt to blocks too; a task handles one block of queries and one block of vectors, so neither side is broadcast or gathered.
-Bounds and scores are integers, so results are exact.
+Scores are integers: computed in doubles where every sum stays below 2^53, else in longs, else in Python integers. Bounds that may be rounded are
+widened by more than the rounding. Vectors with a component of ``LARGE`` or more have blocks and cells of their own, so they do not coarsen the others.
 
 Components are floor(scale * x) as long. Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, neither do those
-with a component beyond 2^24 in size after scaling (their products might not fit); vectors of different length never meet; rows with a null id
-take no part; a query is not its own candidate; rows with equal ids are one vector, the first by content; ties go to the smaller id; an empty
-table gives an empty result; other columns are ignored.
+with a component that is no long after scaling; a result whose score is no long is an error, not left out; vectors of different length never meet;
+rows with a null id take no part; a query is not its own candidate; equal rows count once, rows with equal ids and other components are candidates
+of their own, and as queries share one ranking; ties go to the smaller id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,42 +33,54 @@ SCALE = 64
 BLOCK = 4096
 #: Cells per component: 2 ** BITS.
 BITS = 6
-LIMIT = 1 << 24
+LARGE = 1 << 24
 
 
 def integers(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
     """vec_id and x (array of long) of the vectors that take part."""
     x = F.transform("embedding", lambda v: F.floor(F.lit(float(scale)) * v.cast("double")))
     fine = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(
-        "embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) < LIMIT),
+        "embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) < float(1 << 63)),
     )
-    rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
-    return rows.groupBy("vec_id").agg(F.min("x").alias("x"))
+    return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).distinct()
 
 
-def _matrix(rows: pa.Table, name: str) -> np.ndarray:
+def _matrix(rows: pa.Table, name: str, kind: type = np.float64) -> np.ndarray:
     x = rows[name].combine_chunks()
-    return x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+    return x.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(x), -1)
 
 
 def approximation(vectors: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """The file: dims, block, vec_id, x and cells; ``low`` and ``step`` say which values a cell stands for."""
-    ranges = vectors.select(F.size("x").alias("dims"), F.array_min("x").alias("low"), F.array_max("x").alias("high")).groupBy("dims").agg(
+    known = vectors.withColumns({"dims": F.size("x"), "large": F.exists("x", lambda v: F.abs(v) >= LARGE)})
+    ranges = known.select("dims", "large", F.array_min("x").cast("double").alias("low"), F.array_max("x").cast("double").alias("high")).groupBy("dims", "large").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n"))
     step = F.ceil((F.col("high") - F.col("low") + 1) / F.lit(float(1 << bits)))
-    # A row for each length of vector; joined by Spark, broadcast only if small.
-    sized = ranges.select("dims", "low", step.alias("step"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    out = vectors.withColumn("dims", F.size("x")).join(sized, "dims")
-    cells = F.transform("x", lambda v: F.floor((v - F.col("low")) / F.col("step")).cast("short"))
-    return out.select("dims", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "blocks", "low", "step", "vec_id", "x", cells.alias("cells"))
+    # A row or two for each length of vector; joined by Spark, broadcast only if small.
+    sized = ranges.select("dims", "large", "low", step.alias("step"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    out = known.join(sized, ["dims", "large"])
+    cells = F.transform("x", lambda v: F.floor((v.cast("double") - F.col("low")) / F.col("step")).cast("short"))
+    place = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    # Blocks of large vectors are numbered from -1 down.
+    return out.select("dims", F.when(F.col("large"), -1 - place).otherwise(place).alias("block"), "blocks", "low", "step", "vec_id", "x", cells.alias("cells"))
 
 
-def _bounds(q: np.ndarray, cells: np.ndarray, low: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the inner products of queries and cells; whole numbers in doubles, below 2^53."""
+def _bounds(q: np.ndarray, cells: np.ndarray, low: float, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the inner products of queries and cells; whole numbers in doubles below 2^53, else widened by the rounding."""
     floor = low + step * cells
     base = q @ floor.T
     spread = step - 1
-    return base + spread * np.minimum(q, 0).sum(1)[:, None], base + spread * np.maximum(q, 0).sum(1)[:, None]
+    most = np.abs(q).sum(1) * (np.abs(floor).max() + step)
+    margin = np.where(most < 1 << 52, 0, most * (q.shape[1] + 16) * 2.0**-52)[:, None]
+    return base + spread * np.minimum(q, 0).sum(1)[:, None] - margin, base + spread * np.maximum(q, 0).sum(1)[:, None] + margin
+
+
+def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of longs and one: longs, or Python integers where a sum might not fit."""
+    most = np.abs(x).max() * np.abs(q).astype(float).sum()
+    if most < 1 << 52:
+        return (x.astype(float) @ q.astype(float)).astype(np.int64)
+    return x @ q if most < 1 << 62 else x.astype(object) @ q.astype(object)
 
 
 def _scan(k: int):
@@ -87,38 +100,39 @@ def _scan(k: int):
         ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         best = np.concatenate(best) if best else np.zeros(0)
         some = np.isfinite(best)
-        return pa.table({"query_id": pa.array(ids[some], pa.int64()), "low": pa.array(best[some].astype(np.int64), pa.int64())})
+        return pa.table({"query_id": pa.array(ids[some], pa.int64()), "low": pa.array(best[some], pa.float64())})
 
     return scan
 
 
 def _read(k: int):
     def read(key: tuple, queries: pa.Table, file: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, bool]] = []
         if len(queries) and len(file):
             vec, cells = file["vec_id"].to_numpy(), _matrix(file, "cells")
-            exact = _matrix(file, "x")
+            exact = _matrix(file, "x", np.int64)
             for at in range(0, len(queries), 256):
                 part = queries.slice(at, 256)
-                q, own, floor = _matrix(part, "x"), part["vec_id"].to_numpy(), part["floor"].to_numpy(zero_copy_only=False).astype(float)
-                _, high = _bounds(q, cells, file["low"][0].as_py(), file["step"][0].as_py())
+                q, own, floor = _matrix(part, "x", np.int64), part["vec_id"].to_numpy(), part["floor"].to_numpy(zero_copy_only=False).astype(float)
+                _, high = _bounds(q.astype(float), cells, file["low"][0].as_py(), file["step"][0].as_py())
                 high[own[:, None] == vec[None, :]] = -np.inf
                 for i in range(len(q)):
-                    some = np.flatnonzero(high[i] >= floor[i])
+                    some = np.flatnonzero((high[i] >= floor[i]) & np.isfinite(high[i]))
                     some = some[np.argsort(-high[i][some], kind="stable")]
-                    scores, ids, kth = np.zeros(0), np.zeros(0, np.int64), -np.inf
+                    scores, ids, kth = np.zeros(0, np.int64), np.zeros(0, np.int64), -np.inf
                     step = 4 * k
                     for lo in range(0, len(some), step):
                         if len(scores) >= k and high[i][some[lo]] < kth:
                             break
                         batch = some[lo : lo + step]
-                        scores, ids = np.concatenate([scores, exact[batch] @ q[i]]), np.concatenate([ids, vec[batch]])
-                        keep = np.lexsort((ids, -scores))[:k]
+                        scores, ids = np.concatenate([scores, _scores(exact[batch], q[i])]), np.concatenate([ids, vec[batch]])
+                        keep = np.lexsort((ids, -scores))[:k] if scores.dtype != object else sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:k]
                         scores, ids = scores[keep], ids[keep]
-                        kth = scores[-1]
-                    out += zip([int(own[i])] * len(ids), ids.tolist(), scores.tolist())
-        q, v, s = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array([int(x) for x in s], pa.int64())})
+                        kth = float(scores[-1])
+                    fit = [min(max(x, -(1 << 63)), (1 << 63) - 1) for x in scores.tolist()]
+                    out += zip([int(own[i])] * len(ids), ids.tolist(), fit, [x != y for x, y in zip(fit, scores.tolist())])
+        q, v, s, o = zip(*out) if out else ((), (), (), ())
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64()), "over": pa.array(o, pa.bool_())})
 
     return read
 
@@ -130,24 +144,29 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, bits: int = BITS,
     asked = queries.select(F.col("vec_id"), "x", F.size("x").alias("dims"))
     if file.isEmpty() or asked.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    shape = {r.dims: r.blocks for r in file.groupBy("dims").agg(F.max("blocks").alias("blocks")).collect()}  # a row for each length
+    # A row for each length: the number of blocks of large vectors, and of the others.
+    large = F.col("block") < 0
+    sides = file.groupBy("dims").agg(F.max(F.when(large, F.col("blocks"))).alias("large"), F.max(F.when(~large, F.col("blocks"))).alias("other")).collect()
+    shape = {r.dims: (r.large or 0, r.other or 0) for r in sides}
     counts = {r.dims: math.ceil(r.n / block) for r in asked.groupBy("dims").agg(F.count("*").alias("n")).collect()}
     lookup = lambda of, column: F.element_at(F.create_map(*[F.lit(x) for item in of.items() for x in item]), column)
     query_blocks = lookup(counts, F.col("dims"))
     asked = asked.where(F.col("dims").isin(list(shape))).withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit(1)), query_blocks).cast("int"))
-    blocks = lookup(shape, F.col("dims"))
-    spread_queries = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    first, after = (lookup({d: n[i] for d, n in shape.items()}, F.col("dims")) for i in (0, 1))
+    spread_queries = asked.withColumn("block", F.explode(F.sequence(-first, after - 1)))
     known = file.where(F.col("dims").isin(list(counts)))
     spread = known.withColumn("query_block", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
     key = ["dims", "query_block", "block"]
     cells = spread.select(*key, "vec_id", "cells", "low", "step")
-    low = spread_queries.groupBy(*key).cogroup(cells.groupBy(*key)).applyInArrow(_scan(k), "query_id long, low long")
+    low = spread_queries.groupBy(*key).cogroup(cells.groupBy(*key)).applyInArrow(_scan(k), "query_id long, low double")
     floors = low.groupBy("query_id").agg(F.sort_array(F.collect_list("low"), asc=False).alias("lows"))
     floors = written(floors.select("query_id", F.try_element_at("lows", F.lit(k)).alias("floor")), "floors")
     certain = spread_queries.join(floors, F.col("vec_id") == F.col("query_id")).drop("query_id")
-    certain = certain.withColumn("floor", F.coalesce("floor", F.lit(-(1 << 62))))
+    certain = certain.withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     found = certain.groupBy(*key).cogroup(spread.select(*key, "vec_id", "cells", "x", "low", "step").groupBy(*key)).applyInArrow(
-        _read(k), "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
+        _read(k), "query_id long, vec_id long, score long, over boolean")
+    # ~score falls as the score rises, and fits for every long.
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.bitwise_not("score").alias("s"), "vec_id", "over"))), 1, k).alias("best"))
     ranked = best.select("query_id", F.posexplode("best").alias("place", "hit"))
-    return ranked.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+    score = F.when(F.col("hit.over"), F.raise_error(F.format_string("the score of query %d and vector %d is no long", "query_id", "hit.vec_id"))).otherwise(F.bitwise_not("hit.s"))
+    return ranked.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), score.alias("score"))

@@ -88,6 +88,27 @@ def test_links_between_tight_groups(spark, members):
     assert got == {i: (linked - 1, 0) if i < linked else (0, i) for i, _ in rows}
 
 
+def test_missed_pairs_are_noticed_and_found(spark, monkeypatch):
+    """A group of 120 beside 40 pairs: lists that hold nothing but the group have little recall; without any lists the blocks find all."""
+    rows = odd_vectors(groups=((1, 120), (40, 2)))
+    good = neighbours.usable(vectors(spark, rows)).withColumn("root", F.expr("if(vec_id < 120, 0, vec_id)"))
+    assert neighbours.audit(good, 0.9) < 0.5
+    none = lambda *a, **b: spark.createDataFrame([], neighbours._EDGE)
+    monkeypatch.setattr(neighbours, "first_lists", none)
+    monkeypatch.setattr(neighbours, "MOST_ROUNDS", 1)
+    monkeypatch.setattr(neighbours, "WIDE", 50)
+    got = neighbours.near_duplicates(vectors(spark, rows))[0].collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_links(rows)
+
+
+def test_parts_of_a_hub_meet(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rows = odd_vectors(groups=((60, 1), (1, 2)))[:62]
+    hub = spark.createDataFrame([(i, 0, 0.0) for i in range(1, 62)], neighbours._EDGE)
+    found = neighbours.descend(hub, neighbours.usable(vectors(spark, rows)), 1)
+    assert found.where("cosine >= 0.9 and a = 60 and b = 61").count()
+
+
 def test_a_round_finds_what_first_lists_missed(spark):
     rows = odd_vectors(groups=((40, 5),))
     good = neighbours.usable(vectors(spark, rows))

@@ -3,11 +3,13 @@
 1. First lists: under several random orders (bits of hyperplane signs, then one projection) the vectors are sorted by range partitions, and each
    run of ``LEAF`` vectors is compared within itself. Every vector keeps its ``K`` best.
 2. Rounds: each vector gathers its neighbours and those that name it, and these meet each other; every pair may improve the lists of both.
+   Rounds go on while one finds more than ``CHANGE`` new links.
 3. Growing: a list is saturated when all its ``K`` entries reach the threshold; a link can hide only where both lists are saturated. Those
    vectors are searched again, without the vectors of their own component, so what they already reach takes no place in their lists. Links
    found so merge components; this goes on until a search finds none.
-4. Audit: a bounded, hash-ordered sample of vectors is compared with all vectors. While recall is below ``GOAL``, another set of orders and
-   another round follow, ``MOST_ROUNDS`` at most; the recall of the result is returned beside it.
+4. Audit: a bounded, hash-ordered sample of all vectors is compared with all vectors. Recall is taken per link, and as the mean over vectors
+   with few and with many links. While one of them is below ``GOAL``, another set of orders follows, ``MOST_ROUNDS`` at most; if that does not
+   reach it, all vectors meet in blocks, so no result falls short in silence.
 
 Counting: equal vectors are one row with a weight from the start. The vectors of a component of three or more meet all others of it, in
 blocks that give counts, not pairs, so one found link between two groups is enough for all links between them.
@@ -38,7 +40,9 @@ ORDERS = 4
 LEAF = 96
 BITS = 24
 BLOCK = 512
-AUDIT = 200
+WIDE = 4096
+CHANGE = 0.005
+AUDIT = 2000
 GOAL = 0.98
 MOST_ROUNDS = 4
 _EDGE = "a long, b long, cosine double"
@@ -152,7 +156,9 @@ def descend(graph: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     pairs = graph.select(F.col("a").alias("at"), F.col("b").alias("vec_id")).unionByName(graph.select(F.col("b").alias("at"), F.col("a").alias("vec_id")))
     pairs = pairs.unionByName(vectors.select(F.col("vec_id").alias("at"), "vec_id")).distinct()
     crowd = pairs.groupBy("at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    members = pairs.join(crowd, "at").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("parts")
+    members = pairs.join(crowd, "at").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # The blocks of a hub meet each other, too.
+    members = members.select("at", "vec_id", F.struct(F.least("block", "other"), F.greatest("block", "other")).alias("part")).withColumn("part", F.xxhash64("part"))
     members = members.join(_rooted(vectors), "vec_id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,11 +251,10 @@ def counted(vectors: DataFrame, roots: DataFrame, threshold: float) -> DataFrame
     return groups.join(inside, "vec_id", "left").select("vec_id", "root", n.cast("long").alias("n_links"))
 
 
-def audit(rooted: DataFrame, linked: DataFrame, threshold: float, size: int = AUDIT) -> float:
-    """Share of the true links of a sample of vectors that were found, that is, lie inside a component; the sample is the first ``size`` by a
-    hash of the id, half of them from vectors with links, as most have none."""
-    order = F.xxhash64("vec_id", F.lit(3))
-    chosen = linked.select("vec_id").orderBy(order, "vec_id").limit(size // 2).unionByName(rooted.select("vec_id").orderBy(order, "vec_id").limit(size // 2)).distinct()
+def audit(rooted: DataFrame, threshold: float, k: int = K, size: int = AUDIT) -> float:
+    """Share of the true links of a sample of vectors that were found, that is, lie inside a component: the least of the share of all links and
+    the mean shares of vectors with less than ``k`` links and of others. The sample is the first ``size`` by a hash of the id."""
+    chosen = rooted.select("vec_id").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(size)
     asked = rooted.join(F.broadcast(chosen), "vec_id").select("vec_id", "dims", "root", "x").collect()  # ``size`` vectors at most
     if not asked:
         return 1.0
@@ -269,8 +274,30 @@ def audit(rooted: DataFrame, linked: DataFrame, threshold: float, size: int = AU
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.sum(1)), pa.array(found.sum(1))], ["vec_id", "total", "found"])
 
     rows = _rooted(rooted).mapInArrow(run, "vec_id long, total long, found long").groupBy("vec_id").agg(F.sum("total").alias("total"), F.sum("found").alias("found")).where("total > 0").collect()
-    total = sum(r.total for r in rows)
-    return sum(r.found for r in rows) / total if total else 1.0
+    if not rows:
+        return 1.0
+    classes = [[r.found / r.total for r in rows if (r.total < k) == few] for few in (True, False)]
+    return min([sum(r.found for r in rows) / sum(r.total for r in rows), *(sum(c) / len(c) for c in classes if c)])
+
+
+def all_blocks(rooted: DataFrame, threshold: float) -> DataFrame:
+    """a, b: of all vectors, a link for every two components that a block comparison finds linked; the way without lists."""
+    counts = rooted.groupBy("dims").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("blocks"))
+    rows = rooted.join(counts, "dims").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("dims", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "root", "x")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        roots, units, block = table["root"].to_numpy(), _units(_matrix(table["x"])), table["block"].to_numpy()
+        left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        out = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(left), BLOCK):
+            part = left[at : at + BLOCK]
+            i, j = np.nonzero((units[part] @ units[right].T >= threshold) & (roots[part][:, None] != roots[right][None, :]))
+            out.append(np.unique(np.stack([roots[part[i]], roots[right[j]]], 1), axis=0))
+        a, b = np.unique(np.concatenate(out), axis=0).T
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("dims", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -> tuple[DataFrame, float]:
@@ -281,11 +308,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
     for step in range(MOST_ROUNDS):
         more = first_lists(good, k, ORDERS, seed=step + 1)
         graph = written(_kept(more if graph is None else graph.unionByName(more), k), "graph")
-        graph = written(_kept(descend(graph, good, k), k), "graph")
+        links, before = graph.where(F.col("cosine") >= threshold).count(), -1
+        while links > (1 + CHANGE) * before:
+            graph = written(_kept(descend(graph, good, k), k), "graph")
+            before, links = links, graph.where(F.col("cosine") >= threshold).count()
         roots = grown(graph, good, threshold, k, seed=step + 1)
-        recall = audit(_with_roots(good, roots), roots, threshold)
+        recall = audit(_with_roots(good, roots), threshold, k)
         if recall >= GOAL:
             break
+    else:
+        more = all_blocks(_with_roots(good, roots), threshold)
+        roots = _components(more.unionByName(roots.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))))
+        recall = 1.0
     # Equal vectors share the row of the first; its id is the smallest.
     counts = counted(good, roots, threshold).withColumnRenamed("vec_id", "first")
     copies = single.select("vec_id", "x").join(good.select(F.col("vec_id").alias("first"), "x"), "x").select("vec_id", "first")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import chat, ids, jaccard, neighbours, packing, pieces, quality, toxicity, urls, vafile
+from voxtable.llm import audit, chat, fingerprints, ids, jaccard, merkle, neighbours, packing, pieces, quality, toxicity, urls, vafile
 from voxtable.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,20 @@ def piece_ids(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"))
 
 
+def fingerprint_edits(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edits(table(spark, folder, "documents"))
+
+
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    lowered = F.when(remainder("doc_id", 3) == 0, F.translate("text", merkle.UPPER, merkle.LOWER)).otherwise(F.col("text"))
+    rows = merkle.proofs(merkle.build(table(spark, folder, "documents"), lowered))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": jaccard_join,
     "op2_toxicity": toxicity_scores,
@@ -81,6 +95,9 @@ QUERIES: dict[str, Query] = {
     "op8_exact_top_k": exact_search,
     "op9_url_filters": url_filter,
     "op10_sentencepiece": piece_ids,
+    "op11_document_fingerprints": fingerprint_edits,
+    "op12_merkle_manifest": merkle_manifest,
+    "op13_filter_audit": filter_audit,
 }
 
 ORACLE: dict[str, str] = {
@@ -99,6 +116,73 @@ ORACLE: dict[str, str] = {
     select d.doc_id, coalesce(max(s.n), 0)::bigint as n_shingles, min(r.other) as component_id
     from documents d left join sizes s using (doc_id) join reach r using (doc_id) group by d.doc_id
     """,
+    "op12_merkle_manifest": """
+    with recursive rows as (
+        select *, case when xor(4294967295::ubigint, list_reduce(
+            list_prepend(4294967295::ubigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as ubigint))),
+            lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: cast(i as ubigint))),
+                lambda v, i: xor(v >> 1, 3988292384::ubigint * (v & 1))))) % 3 = 0
+            then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as lowered from documents),
+    fields as (
+        select *, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(cast(source as varchar)) || ':' || source, '-') || coalesce(strlen(cast(lang as varchar)) || ':' || lang, '-') || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head from rows),
+    leaves as (
+        select doc_id, coalesce('1' || lang, '0') as tree, sha256(head || coalesce(strlen(cast(text as varchar)) || ':' || text, '-')) as leaf, sha256(head || coalesce(strlen(cast(lowered as varchar)) || ':' || lowered, '-')) as changed from fields),
+    placed as materialized (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i from leaves),
+    nodes as (
+        select tree, 0 as h, i, leaf as digest from placed
+        union all select tree, h + 1, i // 8, sha256(string_agg(digest, '' order by i)) from (select *, count(*) over (partition by tree) as n from nodes)
+        where n > 1 group by tree, h, i // 8),
+    subroots as materialized (select tree, arg_max(digest, h) as subroot, row_number() over (order by tree) - 1 as i from nodes group by tree),
+    upper as (
+        select 'top' as tree, 0 as h, i, subroot as digest from subroots
+        union all select tree, h + 1, i // 8, sha256(string_agg(digest, '' order by i)) from (select *, count(*) over () as n from upper) where n > 1 group by tree, h, i // 8),
+    every as materialized (select * from nodes union all select * from upper),
+    tops as (select tree, max(h) as top, arg_max(digest, h) as digest from every group by tree),
+    sides as materialized (
+        select a.tree, a.h, a.i, coalesce(string_agg(s.digest, '' order by s.i) filter (s.i < a.i), '') || '|' || coalesce(string_agg(s.digest, '' order by s.i) filter (s.i > a.i), '') as pair
+        from every a join tops t on a.tree = t.tree and a.h < t.top join every s on a.tree = s.tree and a.h = s.h and a.i // 8 = s.i // 8 group by all),
+    above as (
+        select r.tree, r.subroot, coalesce(list(s.pair order by s.h) filter (s.pair is not null), []) as pairs
+        from subroots r left join sides s on s.tree = 'top' and s.i = r.i // cast(pow(8, s.h) as bigint) group by all),
+    below as (
+        select p.tree, p.i, coalesce(list(s.pair order by s.h) filter (s.pair is not null), []) as pairs
+        from placed p left join sides s on s.tree = p.tree and s.i = p.i // cast(pow(8, s.h) as bigint) group by all),
+    proofs as (
+        select p.doc_id, p.leaf, p.changed, a.subroot, list_concat(b.pairs, a.pairs) as pairs, (select digest from tops where tree = 'top') as root
+        from placed p join below b on p.tree = b.tree and p.i = b.i join above a on a.tree = p.tree),
+    folded as (
+        select *, sha256(replace(array_to_string(pairs, ''), '|', '')) as proof_sha256,
+            list_reduce(list_prepend(changed, pairs), lambda n, p: sha256(split_part(p, '|', 1) || n || split_part(p, '|', 2))) as folded_root from proofs)
+    select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folded
+    """,
+    "op13_filter_audit": """
+    with worded as materialized (
+        select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+            list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words from documents),
+    lows as (select text, min(doc_id) as low from worded group by all),
+    flags as materialized (
+        select w.doc_id, part, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+            100 * len(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 5 * len(w.text), regexp_matches(w.text, '[#$%&*|]'), coalesce(w.doc_id > l.low, false)] as fails
+        from worded w join lows l on w.text = l.text),
+    marks as (select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels where doc_id is not null group by all),
+    counts as materialized (
+        select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (m.toxic) as toxic, len(list_filter(fails, lambda f: f)) as failed
+        from flags left join marks m using (doc_id) group by all),
+    letters as (select * from (values ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)) t(letter, k)),
+    orders as (
+        select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a.k, b.k, c.k, d.k, e.k] as ks
+        from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+    steps as (select filter_order, step, ks[step] as k, ks[:step - 1] as earlier from orders, range(1, 6) s(step))
+    select part, filter_order, cast(step as int) as step,
+        cast(sum(case when not gone and not fails[k] then n else 0 end) as bigint) as kept,
+        cast(sum(case when not gone and fails[k] then n else 0 end) as bigint) as removed,
+        cast(sum(case when gone and fails[k] then n else 0 end) as bigint) as redundant,
+        cast(sum(case when fails[k] and failed = 1 then n else 0 end) as bigint) as unique_fails,
+        cast(sum(case when not gone and fails[k] then good else 0 end) as bigint) as good_lost,
+        cast(sum(case when not gone and fails[k] then toxic else 0 end) as bigint) as toxic_lost,
+        cast(sum(case when fails[k] then n * 120 // failed else 0 end) as bigint) as shapley
+    from (select *, len(list_filter(earlier, lambda i: fails[i])) > 0 as gone from counts, steps) group by all
+    """,
     "op6_embedding_near_dedup": """
     with recursive vectors as materialized (
         select vec_id, list_transform(embedding, lambda v: cast(v as double)) as x from embeddings

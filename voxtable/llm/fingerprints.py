@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling: equal samples of two documents are as frequent as their generalised Jaccard similarity.
 
-A document is a set of weighted terms: its words and its pairs of neighbouring words (the first and the last word also pair with the edge), each with
+A document is a set of weighted terms: its pairs of neighbouring words (the first and the last word also pair with the edge), each with
 its number of occurrences S. For every sample j and term, three numbers follow from a hash of both: r and c from Gamma(2, 1), b from [0, 1). With
 t = floor(ln S / r + b), the sample takes the term with the least ln c - r (t - b) - r, and records that term together with t. Two documents
 record the same with the probability sum(min(S, T)) / sum(max(S, T)) over all terms. A fingerprint holds ``SAMPLES`` records of 16 bits.
@@ -34,7 +34,7 @@ SAMPLES = 64
 #: Documents that share one table of terms: at most so many bytes of text, one document at least.
 SLICE_BYTES = 1 << 18
 #: Pairs of a document and a term that are sampled at once.
-BLOCK = 1 << 13
+BLOCK = 1 << 11
 WHITE = b" \t\n\x0b\x0c\r"
 EDGE = 0x5DEECE66D1CE4E5B
 _U = np.uint64
@@ -46,47 +46,60 @@ def new_hasher() -> WordHasher:
 
 
 def weighted_terms(hasher: WordHasher, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, occurrences) of every distinct term of every text, ordered by term, weight and document."""
+    """(document, term, occurrences) of every distinct term of every text, ordered by term and document."""
     h, _, _, doc = joined_words(hasher, texts)
+    if not len(h):
+        return doc, h, np.zeros(0, np.int64)
+    last = np.flatnonzero(np.diff(doc, append=-1))
     with np.errstate(over="ignore"):
-        before = np.where(np.diff(doc, prepend=-1) != 0, _U(EDGE), np.roll(h, 1)) if len(h) else h
-        last = np.flatnonzero(np.diff(doc, append=-1) != 0) if len(h) else np.zeros(0, np.int64)
-        pairs = mixed(before * _U(3) + mixed(h + _U(1)))
-        ends = mixed(h[last] * _U(3) + mixed(np.full(len(last), EDGE, np.uint64) + _U(1)))
-    term, owner = np.concatenate([h, pairs, ends]), np.concatenate([doc, doc, doc[last]])
+        before = np.where(np.diff(doc, prepend=-1) != 0, _U(EDGE), np.roll(h, 1))
+        term, owner = np.concatenate([mixed(before * _U(3) + h), mixed(h[last] * _U(3) + _U(EDGE))]), np.concatenate([doc, doc[last]])
     order = np.lexsort((owner, term))
     term, owner = term[order], owner[order]
-    first = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-    weight = np.diff(np.append(first, len(term)))
-    term, owner = term[first], owner[first]
-    order = np.lexsort((owner, weight, term))
-    return owner[order], term[order], weight[order]
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])]))
+    return owner[first], term[first], np.diff(np.append(first, len(term)))
 
 
-def _unit(z: np.ndarray, shift: int) -> np.ndarray:
-    """Numbers in (0, 1) from 21 bits of ``z``."""
-    return (((z >> _U(shift)) & _U((1 << 21) - 1)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-21)
+def _gamma(z: np.ndarray) -> np.ndarray:
+    """A Gamma(2, 1) number from each 64-bit number: minus the logarithm of the product of two uniform ones, its halves."""
+    halves = (z | _U(0x100000001)).view(np.uint32).reshape(*z.shape, 2)
+    out = halves[..., 0].astype(np.float32)
+    out *= halves[..., 1]
+    np.log(out, out=out)
+    return np.subtract(np.float32(64 * np.log(2)), out, out=out)
 
 
-_SAMPLE = mixed((np.arange(SAMPLES, dtype=np.uint64) + _U(1)) * _U(0xD1342543DE82EF95))
+_SAMPLE = mixed((np.arange(SAMPLES, dtype=np.uint64) + _U(1)) * _U(0xD1342543DE82EF95)) | _U(1)
 
 
 def draws(term: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """For every (term, weight) and sample: the value to be minimised in the upper 32 bits, what is recorded in the lower."""
     with np.errstate(over="ignore"):
         one = mixed(term[:, None] ^ _SAMPLE)
-        two = mixed(one + _GOLD)
-    # Products of two uniform numbers: their negative logarithms are Gamma(2, 1).
-    r = -np.log(_unit(one, 0) * _unit(one, 21))
-    c = -np.log(_unit(two, 0) * _unit(two, 21))
-    b = _unit(two, 42)
-    t = np.floor(np.log(weight.astype(np.float32))[:, None] / r + b)
-    value = np.log(c) - r * (t - b) - r
-    bits = value.view(np.uint32)
-    ordered = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        record = mixed(one + t.astype(np.int64).astype(np.uint64) * _U(0xBF58476D1CE4E5B9))
-    return ordered << _U(32) | record >> _U(32)
+        two = (one ^ one >> _U(29)) * _GOLD
+        record = two ^ two >> _U(32)
+        record *= _SAMPLE
+    r, value = _gamma(one), _gamma(two)
+    np.log(value, out=value)
+    record >>= _U(32)
+    b = record.astype(np.float32)
+    b *= np.float32(2.0**-32)
+    # A weight of one has t = 0.
+    heavy = np.flatnonzero(weight > 1)
+    if len(heavy):
+        t = np.floor(np.log(weight[heavy].astype(np.float32))[:, None] / r[heavy] + b[heavy])
+        value[heavy] -= r[heavy] * t
+        with np.errstate(over="ignore"):
+            record[heavy] = mixed(record[heavy] + (t.astype(np.int64).astype(np.uint64) << _U(32))) >> _U(32)
+    b -= 1
+    b *= r
+    value += b
+    bits = value.view(np.int32)
+    # Floats in the order of their values as unsigned numbers.
+    ordered = (bits ^ (bits >> 31 | np.int32(-(1 << 31)))).view(np.uint32).astype(np.uint64)
+    ordered <<= _U(32)
+    ordered |= record
+    return ordered
 
 
 def fingerprints(hasher: WordHasher, texts: list[bytes]) -> np.ndarray:
@@ -97,6 +110,7 @@ def fingerprints(hasher: WordHasher, texts: list[bytes]) -> np.ndarray:
     some[owner] = True
     for at in range(0, len(owner), BLOCK):
         docs, terms, weights = owner[at : at + BLOCK], term[at : at + BLOCK], weight[at : at + BLOCK]
+        # Neighbours with one term and weight share their draws.
         new = np.concatenate([[True], (terms[1:] != terms[:-1]) | (weights[1:] != weights[:-1])])
         table, row = draws(terms[new], weights[new]), np.cumsum(new) - 1
         order = np.argsort(docs, kind="stable")

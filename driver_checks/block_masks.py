@@ -58,6 +58,19 @@ extend({
         from tidy d left join (select case_id, z, true as hit from touched) t on t.case_id = d.case_id and t.z = d.z group by d.case_id, d.z""",
 }, {"islands": ["plugged_cc"], "tidy": ["plugged", "plugged_cc", "islands"], "touched": ["tiny_holes", "islands"], "tidy_boxes": ["tidy", "touched"]})
 greedy("kept_boxes", "boxes", 0.3)
+# Three crops of an image: the whole, and two halves that overlap; every fourth image has one.
+extend({
+    "crop_found": """select *, case when image_id % 4 = 3 then 0 else box_id // 20 % 3 end as crop, case when crop = 2 then 120 else 0 end as crop_x0, 0 as crop_y0,
+        case crop when 1 then 140 else 260 end as crop_x1, 250 as crop_y1 from boxes""",
+    "crop_keyed": "select image_id*3 + crop as image_id, box_id, x0, y0, x1, y1, score from crop_found",
+}, {"crop_found": ["boxes"], "crop_keyed": ["crop_found"]})
+greedy("kept_found", "crop_keyed", 0.5)
+extend({
+    "crop_placed": """select image_id, box_id, x0 + crop_x0 as x0, y0 + crop_y0 as y0, x1 + crop_x0 as x1, y1 + crop_y0 as y1,
+        -row_number() over (partition by image_id order by (crop_x1 - crop_x0)*(crop_y1 - crop_y0), crop_x0, crop_y0, score desc, box_id) as score
+        from crop_found where image_id % 4 <> 3 and box_id in (select box_id from kept_found)""",
+}, {"crop_placed": ["crop_found", "kept_found"]})
+greedy("kept_placed", "crop_placed", 0.3)
 greedy("kept_tidy", "tidy_boxes", 0.5)
 extend({
     "images": "select s_suppkey as image_id, 640 + s_suppkey % 7 * 10 as w, 480 + s_suppkey % 5 * 12 as h from supplier",
@@ -95,6 +108,11 @@ def candidates(spark, folder):
     )
 
 
+def crop_detections(spark, folder):
+    found = fx.detections(spark, folder).withColumn("crop", F.expr("if(image_id % 4 = 3, 0, box_id div 20 % 3)"))
+    return found.selectExpr("*", "if(crop = 2, 120, 0) as crop_x0", "0 as crop_y0", "if(crop = 1, 140, 260) as crop_x1", "250 as crop_y1")
+
+
 @check("b20_box_size", "select box_id, x0 as x, y0 as y, x1 - x0 as w, y1 - y0 as h from boxes", "boxes")
 def _(spark, folder):
     return fx.detections(spark, folder).select("box_id", *geometry.box_size(*[F.col(c) for c in masks.BOX]))
@@ -147,21 +165,17 @@ def _(spark, folder):
     return masks.lung_boxes(fx.voxels(spark, folder), fx.cases(spark, folder))
 
 
-@check("e13_overlapping_pairs", f"""select a.image_id, a.box_id as better, b.box_id as worse, round({iou('a', 'b')}, 6) as iou from boxes a join boxes b using (image_id)
-       where (a.score > b.score or (a.score = b.score and a.box_id < b.box_id)) and {iou('a', 'b')} > 0.3""", "boxes")
-def _(spark, folder):
-    return suppression.overlapping_pairs(fx.detections(spark, folder), 0.3)
-
-
 @check("e13_suppression", "select * from kept_boxes", "kept_boxes")
 def _(spark, folder):
     return suppression.suppress(fx.detections(spark, folder), 0.3).select("image_id", "box_id")
 
 
-@check("e13_suppression_crowded", "select * from kept_boxes", "kept_boxes")
+@check("e13_between_crops", """select image_id, box_id, x0, y0, x1, y1 from crop_placed semi join kept_placed using (image_id, box_id)
+       union all select image_id, box_id, x0 + crop_x0, y0 + crop_y0, x1 + crop_x0, y1 + crop_y0 from crop_found where image_id % 4 = 3 and box_id in (select box_id from kept_found)""", "crop_placed", "kept_placed", "crop_found", "kept_found")
 def _(spark, folder):
-    # A low limit sends the crowded cells through best-of-cell rounds.
-    return suppression.suppress(fx.detections(spark, folder), 0.3, crowd=60).select("image_id", "box_id")
+    boxes = crop_detections(spark, folder)
+    corners = ["image_id", "crop_x0", "crop_y0", "crop_x1", "crop_y1"]
+    return suppression.suppress_crops(boxes, boxes.select(*corners).distinct(), 0.5, 0.3).select("image_id", "box_id", *masks.BOX)
 
 
 @check("e14_small_holes", "select case_id, z, y, x from plugged", "plugged")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from voxtable.operators import masks
+from voxtable.operators import masks, suppression
 from voxtable.operators.suppression import suppress
 
 
@@ -20,8 +20,9 @@ def greedy(boxes, threshold):
     return sorted(b[0] for b in kept)
 
 
-@pytest.mark.parametrize("threshold,crowd", [(0.7, 1000), (0.5, 30), (0.3, 1000)])
-def test_suppression_is_exact(spark, threshold, crowd):
+@pytest.mark.parametrize("threshold,unit", [(0.7, 1 << 16), (0.5, 100), (0.3, 20)])
+def test_suppression_is_exact(spark, monkeypatch, threshold, unit):
+    monkeypatch.setattr(suppression, "UNIT", unit)
     rng = np.random.default_rng(int(threshold * 10))
     rows, expected = [], []
     for image in range(2):
@@ -35,7 +36,7 @@ def test_suppression_is_exact(spark, threshold, crowd):
         rows += [(image, *b) for b in boxes]
         expected += [(image, n) for n in greedy(boxes, threshold)]
     df = spark.createDataFrame(rows, "image_id int, box_id int, x0 int, y0 int, x1 int, y1 int, score double")
-    got = suppress(df, threshold, crowd=crowd).select("image_id", "box_id").collect()
+    got = suppress(df, threshold).select("image_id", "box_id").collect()
     assert sorted(map(tuple, got)) == sorted(expected)
 
 

@@ -61,13 +61,24 @@ def chain(n):
 COLUMNS = "image_id long, box_id long, x0 double, y0 double, x1 double, y1 double, score double"
 
 
-def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
-    count = []
-    for module in ("voxtable.operators.graph", "voxtable.operators.suppression"):
-        monkeypatch.setattr(f"{module}.written", lambda df, name="step": (count.append(name), session.written(df, name))[1])
-    kept = suppression.suppress(spark.createDataFrame(chain(2000), COLUMNS), 0.2).select("box_id").collect()
-    assert sorted(r.box_id for r in kept) == list(range(0, 2000, 2))
-    assert len(count) < 25
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch, caplog):
+    """10,000 boxes in units of about a thousand pairs: no unit holds the image, and rounds follow the number of units, not of boxes."""
+    monkeypatch.setattr(suppression, "UNIT", 1024)
+    with caplog.at_level("INFO", "voxtable.operators.suppression"):
+        kept = suppression.suppress(spark.createDataFrame(chain(10_000), COLUMNS), 0.2).select("box_id").collect()
+    assert sorted(r.box_id for r in kept) == list(range(0, 10_000, 2))
+    rounds = [r.args for r in caplog.records if r.msg.startswith("suppression round")]
+    assert 2 < len(rounds) <= 25 and rounds[-1][1] == 0
+
+
+def test_boxes_of_smaller_crops_come_first(spark):
+    rows = [(0, 1, 0, 0, 50, 50, 0.9, 0, 0, 200, 200), (0, 2, 0, 0, 49, 50, 0.2, 0, 0, 100, 100), (0, 3, 60, 60, 90, 90, 0.5, 0, 0, 100, 100),
+            (0, 4, 61, 60, 90, 90, 0.4, 0, 0, 100, 100), (0, 5, 0, 0, 30, 30, 0.1, 100, 100, 200, 200), (1, 6, 0, 0, 10, 10, 0.3, 0, 0, 200, 200), (1, 7, 0, 1, 10, 10, 0.2, 0, 0, 200, 200)]
+    names = "image_id int, box_id int, x0 int, y0 int, x1 int, y1 int, score double, crop_x0 int, crop_y0 int, crop_x1 int, crop_y1 int"
+    boxes = spark.createDataFrame(rows, names)
+    got = suppression.suppress_crops(boxes, boxes.select("image_id", "crop_x0", "crop_y0", "crop_x1", "crop_y1"), 0.95, 0.7)
+    # Image 0 prefers box 2 of the small crop to box 1; images with one crop are not judged again.
+    assert {(r.box_id, r.x0, r.score) for r in got.collect()} == {(2, 0, 0.2), (3, 60, 0.5), (5, 100, 0.1), (6, 0, 0.3), (7, 0, 0.2)}
 
 
 def test_walks_equal_a_plain_pass(spark):

@@ -24,7 +24,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    from driver_checks.registry import ORACLE
+    from driver_checks.registry import TWINS, compose
 
     _load()
-    return dict(ORACLE)
+    return {name: compose(body, *ctes) for name, (body, ctes) in TWINS.items()}

@@ -16,7 +16,7 @@ import pandas as pd
 from driver_checks import oracle_sql, queries
 from voxtable.session import build_session
 
-TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
 
 
 def views(folder: str) -> duckdb.DuckDBPyConnection:

@@ -12,7 +12,8 @@ from driver_checks.fixtures import CTES, NEEDS
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+#: SQL text and the named expressions it uses; composed when asked for, so that modules may name expressions of later ones.
+TWINS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def extend(ctes: dict[str, str], needs: dict[str, list[str]] | None = None) -> None:
@@ -22,14 +23,16 @@ def extend(ctes: dict[str, str], needs: dict[str, list[str]] | None = None) -> N
 
 
 def compose(body: str, *names: str) -> str:
-    """``body`` with the named expressions, and what they need, in front."""
-    wanted: set[str] = set()
+    """``body`` with the named expressions, and what they need, in front; an unknown name is an error."""
+    wanted: dict[str, None] = {}  # in order of dependence
 
     def need(name: str) -> None:
+        if name not in CTES:
+            raise KeyError(f"no expression {name!r}")
         if name not in wanted:
-            wanted.add(name)
             for other in NEEDS.get(name, []):
                 need(other)
+            wanted[name] = None
 
     for name in names:
         need(name)
@@ -44,7 +47,7 @@ def compose(body: str, *names: str) -> str:
             return f"{header} as ({text})"
         return f"{name} as materialized ({text})"
 
-    return "with recursive " + ",\n".join(head(name) for name in CTES if name in wanted) + "\n" + body
+    return "with recursive " + ",\n".join(map(head, wanted)) + "\n" + body
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -67,7 +70,7 @@ def check(name: str, sql: str | None = None, *ctes: str) -> Callable[[Query], Qu
     def register(query: Query) -> Query:
         QUERIES[name] = lambda spark, folder: flat(query(spark, folder))
         if sql is not None:
-            ORACLE[name] = compose(sql, *ctes)
+            TWINS[name] = (sql, ctes)
         return query
 
     return register

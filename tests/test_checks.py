@@ -1,13 +1,20 @@
 """The registered queries: all paired with SQL, and a quick selection compared with it."""
 
+import os
+import pathlib
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 from conftest import SMALL
 from driver_checks import oracle_sql, queries
 from driver_checks.compare import difference, views
+from driver_checks.registry import compose
 
 QUICK = [
-    "b1_disease_pattern", "d3_roi_arrays", "d9_sparse_incidence", "c3_validate_cases", "d13_lesion_types", "d17_lung_distribution",
+    "b1_disease_pattern", "d3_roi_arrays", "d9_sparse_incidence", "c3_validate_cases", "a13_slice_export", "d13_lesion_types", "d17_lung_distribution",
     "d20_axial_distribution", "d23_distance_gradient", "d26_pleural_contact", "f14_differential", "i2_batch_outcomes", "d34_class_dice",
     "e3_clean_labels", "e9_segment_lungs", "g1_slice_split", "h2_early_stop", "a4_volume_ingest", "j2_live_metrics",
 ]
@@ -22,6 +29,30 @@ def duck():
     return views(SMALL)
 
 
+def test_every_twin_binds(duck):
+    for name, sql in oracle_sql().items():
+        duck.execute("explain " + sql)
+
+
+def test_unknown_expressions_are_errors():
+    with pytest.raises(KeyError):
+        compose("select 1", "no such name")
+
+
+def test_entry_works_without_the_corpus_operators(tmp_path):
+    """With both folders of the corpus operators and the pipeline gone, all other queries are still listed."""
+    root = pathlib.Path(__file__).parents[1]
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py"))
+    shutil.copy(root / "corpus_pipeline.py", copy)
+    listing = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+    for gone in (None, copy / "corpus_pipeline.py"):
+        if gone:
+            gone.unlink()
+        out = subprocess.run([sys.executable, "-c", listing], cwd=copy, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(copy)})
+        assert out.stdout.split() == [str(len(queries())), str(len(oracle_sql())), "False"], out.stderr
+
+
 @pytest.mark.parametrize("name", QUICK)
 def test_matches_sql(spark, duck, name):
     assert difference(queries()[name](spark, SMALL), duck, oracle_sql()[name]) is None

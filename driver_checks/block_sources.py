@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 import gzip
 import struct
 import uuid
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from driver_checks import fixtures as fx
+from driver_checks.common import fresh
 from driver_checks.block_features import profile as profile_of_slices
 from driver_checks.registry import check
+from voxtable.functions.labels import RELABELLING
 from voxtable.operators import annotations as an
 from voxtable.operators import overlap, profile, rules, slices
 from voxtable.operators.lesions import lesion_summary
 from voxtable.schema import CASE_RECORDS
-from voxtable.session import scratch_folder
 from voxtable.sources import annotations as reader
-from voxtable.sources import sinks, volumes
-
-
-def fresh(spark, name: str) -> str:
-    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+from voxtable.sources import sinks, slice_tables, volume_source, volumes
 
 
 def encoded(cells: np.ndarray, spacing: tuple[float, float, float]) -> bytes:
@@ -38,7 +37,14 @@ def encoded(cells: np.ndarray, spacing: tuple[float, float, float]) -> bytes:
     return gzip.compress(bytes(header) + cells.astype("<i2").tobytes(), 1)
 
 
-def volume_files(spark, folder, value: str, name: str, where: str = "true"):
+def broken(folder: str, name: str) -> None:
+    """A file that is no volume."""
+    system, place = fs.FileSystem.from_uri(f"{folder}/{name}")
+    with system.open_output_stream(place, compression=None) as out:
+        out.write(b"no volume")
+
+
+def volume_files(spark, folder, value: str, name: str, where: str = "true", scans: bool = False):
     """(path, content) of one encoded volume per case; the phantom volumes have a fixed size."""
     shape = (fx.NZ, fx.NY, fx.NX)
 
@@ -48,7 +54,8 @@ def volume_files(spark, folder, value: str, name: str, where: str = "true"):
         first = group.iloc[0]
         return pd.DataFrame({"path": [first["path"]], "content": [encoded(cells, (first.sz, first.sy, first.sx))]})
 
-    rows = fx.voxels(spark, folder).where(where).join(fx.cases(spark, folder).select("case_id", "sz", "sy", "sx"), "case_id")
+    source = fx.scans if scans else fx.voxels
+    rows = source(spark, folder).where(where).join(fx.cases(spark, folder).select("case_id", "sz", "sy", "sx"), "case_id")
     rows = rows.select(F.format_string(name, "case_id").alias("path"), "z", "y", "x", "sz", "sy", "sx", F.expr(value).alias("value"))
     return rows.groupBy("path").applyInPandas(encode, "path string, content binary")
 
@@ -79,18 +86,63 @@ def _(spark, folder):
     return volumes.case_table(case_slices(spark, folder, "hu", "/in/CT_%s_0000.nii.gz"))
 
 
-@check("a5_mask_ingest", "select case_id::varchar as case_id, 'upper_lung' as mask_type, z, y, x from vox where lung = 1 and z >= 7 and case_id % 2 = 0", "vox")
+@check("a4_slab_read", "select case_id, z, y, x, hu from vox where z between 3 and 8", "vox")
 def _(spark, folder):
-    files = volume_files(spark, folder, "if(z >= 7, lung, 0)", "/in/CT_%s_upper_lung.nii.gz", "case_id % 2 = 0")
+    """Uncompressed files cut into slabs; the range of slices reaches the files."""
+    path, cases = fresh(spark, "files"), fx.cases(spark, folder)
+    named = volume_source.volume_slices(fx.voxels(spark, folder), cases, "hu").withColumn("name", F.format_string("CT_%s_0000.nii", "case_id"))
+    volume_source.write_volumes(named, path)
+    back = volume_source.read_volumes(spark, path, slabBytes="3000").where("kind = 'ct' and z >= 3 and z <= 8")
+    return volumes.slice_voxels(back, "hu").select(F.col("case_id").cast("bigint").alias("case_id"), "z", "y", "x", "hu")
+
+
+@check("c3_header_scan", """select case_id, nz || 'x' || ny || 'x' || nx as shape, sz, sy, sx, null as error from cases
+       union all select null, null, null, null, null, 'unreadable'""", "cases")
+def _(spark, folder):
+    path, cases = fresh(spark, "files"), fx.cases(spark, folder)
+    named = volume_source.volume_slices(fx.voxels(spark, folder), cases, "hu").withColumn("name", F.format_string("CT_%s_0000.nii.gz", "case_id"))
+    volume_source.write_volumes(named, path)
+    broken(path, "CT_broken_0000.nii.gz")
+    heads = volume_source.read_volumes(spark, path, headersOnly="true")
+    shape = F.when(F.col("nz").isNotNull(), F.concat_ws("x", "nz", "ny", "nx"))
+    return heads.select(F.expr("try_cast(case_id as bigint)").alias("case_id"), shape.alias("shape"), "sz", "sy", "sx", F.when(F.col("error").isNotNull(), "unreadable").alias("error"))
+
+
+@check("a5_mask_ingest", "select case_id::varchar as case_id, 'upper_lung' as mask_type, z, y, x from vox where lung = 1 and z >= 7", "vox")
+def _(spark, folder):
+    files = volume_files(spark, folder, "if(z >= 7, lung, 0)", "/in/CT_%s_upper_lung.nii.gz")
     return volumes.load_masks(volumes.decode_files(files))
 
 
-@check("a6_voxels_with_masks", """select case_id, z, y, x, hu, lesion, case when case_id % 2 = 0 then lung else 0 end as lung, case when case_id % 2 = 0 and z >= 7 then lung else 0 end as upper, case when case_id % 2 = 0 and z < 7 then lung else 0 end as lower,
-       case when case_id % 2 = 0 and lesion > 0 then lung else 0 end as lobe from vox""", "vox")
+def mask_slices(spark, folder):
+    """Masks of all cases as slices; a third of the cases lacks the lobes."""
+    v = fx.voxels(spark, folder)
+    values = {"lung_mask": "lung", "upper_lung": "if(z >= 7, lung, 0)", "lower_lung": "if(z < 7, lung, 0)", "lobe_mask": "if(lesion > 0, lung, 0)"}
+    parts = [volume_source.volume_slices(v.withColumn("m", F.expr(e)), fx.cases(spark, folder), "m").withColumn("mask_type", F.lit(k)) for k, e in values.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts).where("mask_type <> 'lobe_mask' or case_id % 3 <> 0")
+
+
+def stored_slices(spark, folder):
+    """CT, labels and masks in buckets of slices."""
+    v, c, n = fx.voxels(spark, folder), fx.cases(spark, folder), uuid.uuid4().hex
+    cts = slice_tables.store(volume_source.volume_slices(v, c, "hu"), f"cts_{n}", fresh(spark, "cts"), 8)
+    lesions = slice_tables.store(volume_source.volume_slices(v, c, "lesion"), f"labels_{n}", fresh(spark, "labels"), 8)
+    masks = slice_tables.store(slice_tables.masks_by_slice(mask_slices(spark, folder)), f"masks_{n}", fresh(spark, "masks"), 8)
+    return cts, lesions, masks
+
+
+@check("a6_voxels_with_masks", """select case_id, z, y, x, hu, lesion, lung, case when z >= 7 then lung else 0 end as upper, case when z < 7 then lung else 0 end as lower,
+       case when lesion > 0 and case_id % 3 <> 0 then lung else 0 end as lobe from vox""", "vox")
+def _(spark, folder):
+    return slice_tables.zipped_voxels(*stored_slices(spark, folder))
+
+
+@check("a6_masks_of_voxels", """select case_id, z, y, x, hu, lesion, lung, case when z >= 7 then lung else 0 end as upper, case when z < 7 then lung else 0 end as lower,
+       case when lesion > 0 then lung else 0 end as lobe from vox""", "vox")
 def _(spark, folder):
     v = fx.voxels(spark, folder)
     kinds = F.explode(F.expr("filter(array('lung_mask', if(z >= 7, 'upper_lung', 'lower_lung'), if(lesion > 0, 'lobe_mask', null)), k -> k is not null)"))
-    masks = v.where("lung > 0 and case_id % 2 = 0").select("case_id", kinds.alias("mask_type"), "z", "y", "x")
+    masks = v.where("lung > 0").select("case_id", kinds.alias("mask_type"), "z", "y", "x")
     return volumes.with_masks(v.select("case_id", "z", "y", "x", "hu", "lesion"), masks)
 
 
@@ -129,6 +181,31 @@ def _(spark, folder):
     return spark.read.parquet(target).groupBy("case_id", "lesion").agg(F.count("*").alias("voxels"))
 
 
+LABEL_FILE = """select 'CT_' || case_id || '.nii.gz' as name, true as success, count(*) as voxels, count(*) filter (lesion + 1 in (3, 4, 5)) as changed,
+       count(*) filter (lesion + 1 = 3) as before_3, count(*) filter (lesion + 1 in (2, 3)) as after_2 from vox group by all"""
+
+
+def relabelled_files(spark, folder):
+    """Label files relabelled into a new folder; one of them cannot be read."""
+    path, cases = fresh(spark, "label-files"), fx.cases(spark, folder)
+    moved = fx.voxels(spark, folder).withColumn("lesion", F.col("lesion") + 1)
+    volume_source.write_volumes(volume_source.volume_slices(moved, cases, "lesion").withColumn("name", F.format_string("CT_%s.nii.gz", "case_id")), path)
+    broken(path, "CT_broken.nii.gz")
+    return volume_source.relabel_files(volume_source.read_volumes(spark, path), fresh(spark, "relabelled"), RELABELLING)
+
+
+@check("a15_outcomes", LABEL_FILE + " union all select 'CT_broken.nii.gz', false, null, null, null, null", "vox")
+def _(spark, folder):
+    rows = relabelled_files(spark, folder)
+    count = lambda column, key: F.when(F.col("success"), F.coalesce(F.col(column)[key], F.lit(0)))
+    return rows.select("name", "success", "voxels", "changed", count("before", "3").alias("before_3"), count("after", "2").alias("after_2"))
+
+
+@check("a15_totals", f"select count(*) + 1 as total_files, count(*) as successful_files, 1::bigint as failed_files, sum(changed)::bigint as total_converted from ({LABEL_FILE})", "vox")
+def _(spark, folder):
+    return volume_source.outcome_totals(relabelled_files(spark, folder))
+
+
 @check("a17_score_file", "select label, round(mean_dice, 6) as mean_dice, samples from means", "means")
 def _(spark, folder):
     path = fresh(spark, "scores")

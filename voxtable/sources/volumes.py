@@ -10,6 +10,7 @@ from __future__ import annotations
 import gzip
 import struct
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,14 +53,27 @@ def _header(raw: bytes) -> tuple[str, tuple[int, int, int], tuple[float, float,
     return order, (nz, ny, nx), (spacing[3], spacing[2], spacing[1])
 
 
-def _decode(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
-    """Whole-number (z, y, x) array and (z, y, x) spacing of a volume file."""
-    raw = _plain(content)
+class Layout(NamedTuple):
+    """How the cells of a volume file lie: (z, y, x) size and spacing, stored type, offset of the first cell, and scale."""
+
+    shape: tuple[int, int, int]
+    spacing: tuple[float, float, float]
+    kind: np.dtype
+    start: int
+    slope: float
+    intercept: float
+
+
+def layout(raw: bytes) -> Layout:
+    """From the first 348 bytes of a volume file."""
     order, shape, spacing = _header(raw)
     code = struct.unpack_from(f"{order}h", raw, 70)[0]
     start, slope, intercept = struct.unpack_from(f"{order}3f", raw, 108)
-    nz, ny, nx = shape
-    cells = np.frombuffer(raw, dtype=order + _TYPES[code], count=nx * ny * nz, offset=int(start))
+    return Layout(shape, spacing, np.dtype(order + _TYPES[code]), int(start), slope, intercept)
+
+
+def whole_numbers(cells: np.ndarray, slope: float, intercept: float) -> np.ndarray:
+    """Scaled cells, which must be whole 32-bit numbers."""
     if slope not in (0.0, 1.0) or intercept != 0.0:
         cells = cells * (slope or 1.0) + intercept
     if cells.dtype.kind == "f" or cells.dtype.itemsize > 2:
@@ -68,7 +82,15 @@ def _decode(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
         if not np.isfinite(whole).all() or np.abs(whole).max(initial=0.0) >= 1 << 31 or np.abs(cells - whole).max(initial=0.0) > 1e-3:
             raise ValueError("the volume holds values that are not whole 32-bit numbers")
         cells = whole
-    return cells.reshape(nz, ny, nx), spacing
+    return cells
+
+
+def _decode(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """Whole-number (z, y, x) array and (z, y, x) spacing of a volume file."""
+    raw = _plain(content)
+    form = layout(raw)
+    cells = np.frombuffer(raw, dtype=form.kind, count=int(np.prod(form.shape, dtype=np.int64)), offset=form.start)
+    return whole_numbers(cells, form.slope, form.intercept).reshape(form.shape), form.spacing
 
 
 def decode_files(files: DataFrame) -> DataFrame:

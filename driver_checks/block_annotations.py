@@ -102,8 +102,11 @@ def _(spark, folder):
     return an.category_counts(an.case_records(fx.annotations(spark, folder)))
 
 
-@check("i4_annotation_rollup", """select p.file_id as filename, disease_pattern, overall_axial_distribution, overall_manifestation, count(r.layer) as rois
+@check("i4_annotation_rollup", """select p.file_id as filename, disease_pattern, overall_axial_distribution, overall_manifestation,
+       coalesce(string_agg(layer::varchar, ',' order by layer, row_no), '') as roi_layers, coalesce(string_agg(r.axial, ',' order by layer, row_no), '') as roi_axial_distributions,
+       coalesce(string_agg(r.manifestation, ',' order by layer, row_no), '') as roi_manifestations
        from patterns p join overall using (file_id) left join rois r on r.file_id = p.file_id group by all""", "patterns", "overall", "rois")
 def _(spark, folder):
     records = roll_up(fx.annotations(spark, folder)).records
-    return records.select("filename", "disease_pattern", "overall_axial_distribution", "overall_manifestation", F.size("roi_layers").alias("rois"))
+    return records.select(
+        "filename", "disease_pattern", "overall_axial_distribution", "overall_manifestation", "roi_layers", "roi_axial_distributions", "roi_manifestations")

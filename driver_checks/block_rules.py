@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from driver_checks import fixtures as fx
 from driver_checks.block_features import histogram, profile
+from driver_checks.common import fresh
 from driver_checks.registry import check, extend
 from voxtable.functions import grading
 from voxtable.operators import depth, lesions, regions, rules
-from voxtable.plans import case_study
+from voxtable.plans import case_study, ledger
+from voxtable.sources import sinks
 
 extend({
     "vars": """select l.case_id, lesion_types, n_honeycomb > 0 as hc, n_reticulation > 0 as ret, n_ground_glass_opacity > 0 as ggo, n_consolidation > 0 as con,
@@ -225,6 +231,48 @@ def _(spark, folder):
     return study.features.select(*kept).join(found, "case_id")
 
 
+@check("i1_result_envelope", """select case_id, true as success, lesion_types, case when dom = 'none' then null else dom end as dominant_lesion, dist as distribution_pattern, ax as axial_distribution,
+       inv as subpleural_involvement, round(sr, 6) as subpleural_ratio, predicted_pattern, round(confidence, 6) as confidence, certainty_level, predicted_pattern as summary_pattern, lung as lung_voxels
+       from vars join decided using (case_id) join (select case_id, sum(lung_voxels)::bigint as lung from prof group by all) using (case_id)
+       union all select case_id + 1000000, false, null, null, null, null, null, null, null, null, null, null, null from cases where case_id % 9 = 2""", "vars", "decided", "prof", "cases")
+def _(spark, folder):
+    """The nested result of every case, written as JSON per case and read back; cases without voxels keep their error."""
+    lost = fx.cases(spark, folder).where("case_id % 9 = 2").withColumn("case_id", F.col("case_id") + 1_000_000)
+    study = case_study.analyse(fx.voxels(spark, folder), fx.cases(spark, folder).unionByName(lost))
+    rows, path = case_study.result_envelopes(study), fresh(spark, "envelopes")
+    sinks.write_case_results(rows, path)
+    back = spark.read.schema(rows.schema).json(path)
+    assert back.where("(error is null) <> success").isEmpty()
+    return back.select(
+        "case_id", "success", "features.lesion_type.lesion_types", "features.lesion_type.dominant_lesion", "features.lung_distribution.distribution_pattern",
+        "features.axial_distribution.axial_distribution", "features.subpleural_features.subpleural_involvement", "features.subpleural_features.subpleural_ratio",
+        "classification.predicted_pattern", "classification.confidence", "classification.certainty_level", F.col("summary.pattern").alias("summary_pattern"), F.col("lung_statistics.total_lung_voxels").alias("lung_voxels"))
+
+
+@check("i2_resumed_batch", """select case_id, case when case_id % 5 = 3 then 'failed' else 'done' end as state, case when case_id % 5 = 3 then 'shape mismatch' end as error,
+       case when case_id % 5 = 3 or n <= 2*ceil(c / 4.0) then 'first' else 'second' end as run_id
+       from (select *, row_number() over (partition by case_id % 5 = 3 order by case_id) as n, count(*) filter (case_id % 5 <> 3) over () as c from cases)""", "cases")
+def _(spark, folder):
+    """Failures of validation first; then a run that stops in its third batch, and one that goes on with what is left."""
+    path, c = fresh(spark, "ledger"), fx.cases(spark, folder)
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    ledger.record_failures(c.where("case_id % 5 = 3").select("case_id", F.lit("shape mismatch").alias("error")), path, "first", start)
+    size, calls = -(-c.where("case_id % 5 <> 3").count() // 4), []
+
+    def work(batch):
+        calls.append(len(calls))
+        if len(calls) == 3:
+            raise RuntimeError("stopped")
+        return batch.select("case_id", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
+
+    ticks = itertools.count(1)
+    with contextlib.suppress(RuntimeError):
+        ledger.run_batches(c, path, work, size, timedelta(hours=1), "first", lambda: start + timedelta(seconds=next(ticks)))
+    # The claim of the stopped batch has lapsed two hours later.
+    ledger.run_batches(c, path, work, size, timedelta(hours=1), "second", lambda: start + timedelta(hours=2, seconds=next(ticks)))
+    return ledger.states(spark, path).select(F.col("case_id").cast("bigint").alias("case_id"), "state", "error", "run_id")
+
+
 def batch(spark, folder):
     """The case analysis with broken cases: some without lung, some without voxels."""
     v = fx.voxels(spark, folder).where("case_id % 13 <> 4").withColumn("lung", F.expr("if(case_id % 17 = 3, 0, lung)"))

@@ -113,6 +113,16 @@ def analyse(voxels: DataFrame, cases: DataFrame, rule: str = "density") -> Study
     return Study(features, classified, case_results(features, classified), failures)
 
 
+def result_envelopes(study: Study) -> DataFrame:
+    """One nested row per case, failed ones included: case_id, success, error, features, classification, summary, four_variables, lung_statistics."""
+    parts = [F.col(f"{side}_lung_{kind}") for kind in ("voxels", "volume") for side in ("total", "upper", "lower")]
+    lung = study.features.select("case_id", F.struct(*parts, "z_cut").alias("lung_statistics"))
+    good = study.results.join(lung, "case_id").withColumns({"success": F.lit(True), "error": F.lit(None).cast("string")})
+    columns = ["case_id", "success", "error", "features", "classification", "summary", "four_variables", "lung_statistics"]
+    failed = study.failures.withColumn("success", F.lit(False))
+    return good.select(*columns).unionByName(failed, allowMissingColumns=True)
+
+
 def case_statuses(study: Study) -> DataFrame:
     """(case_id, success, error) of all cases."""
     good = study.features.select("case_id", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))

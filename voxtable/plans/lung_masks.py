@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import time
+from datetime import datetime, timezone
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from voxtable.operators.lung_mask import region_masks, segment_lungs
 from voxtable.operators.regions import lung_statistics
 from voxtable.session import written
 from voxtable.sources.catalog import unfinished_cases
+from voxtable.sources.sinks import write_masks
 
 
 class MaskRun(NamedTuple):
@@ -42,11 +45,42 @@ def generate_masks(voxels: DataFrame, cases: DataFrame, existing: DataFrame, **s
     return MaskRun(masks, processed.unionByName(skipped))
 
 
+TIMES = "batch string, started timestamp, ended timestamp, cases long, voxels long, seconds double"
+
+
+class StoredRun(NamedTuple):
+    """Folders of a stored run: masks, one row per case, and one row per batch with its time."""
+
+    masks: str
+    outcomes: str
+    times: str
+
+
+def store_masks(voxels: DataFrame, cases: DataFrame, existing: DataFrame, tables: StoredRun, batch: str, **segmentation) -> DataFrame:
+    """Segment a batch of cases, store masks and outcomes, and record how long that took; returns the outcomes with ``seconds``.
+
+    All cases of a batch run in one plan, so a processed case has an equal share of the batch's time. Cases and voxels are counted by the
+    writes themselves. A batch that is repeated replaces its own rows.
+    """
+    spark = voxels.sparkSession
+    started, clock = datetime.now(timezone.utc), time.perf_counter()
+    run = generate_masks(voxels, cases, existing, **segmentation)
+    seen, wrote = Observation(), Observation()
+    write_masks(run.masks.observe(wrote, F.count_if(F.col("mask_type") == "lung_mask").alias("voxels")), tables.masks)
+    staged = written(run.outcomes.observe(seen, F.count_if(~F.col("skipped")).alias("cases")), "outcomes")
+    seconds = time.perf_counter() - clock
+    count = seen.get["cases"]
+    share = F.when(~F.col("skipped"), F.lit(seconds / count if count else None).cast("double"))
+    staged.withColumn("seconds", share).write.mode("overwrite").parquet(f"{tables.outcomes.rstrip('/')}/batch={batch}")
+    row = (batch, started, datetime.now(timezone.utc), count, wrote.get["voxels"], seconds)
+    spark.createDataFrame([row], TIMES).drop("batch").write.mode("overwrite").parquet(f"{tables.times.rstrip('/')}/batch={batch}")
+    return spark.read.parquet(tables.outcomes)
+
+
 def mask_summary(outcomes: DataFrame) -> DataFrame:
     """Processed cases, their times and lung volumes; skipped and failed cases stay out.
 
-    All cases run in one plan, so there is no time per case; ``seconds`` can be given, as by a job that
-    runs batches and records their time, and is null otherwise. The spread is that of the whole population.
+    ``seconds`` per case is recorded by ``store_masks``; without it the times are null. The spread is that of the whole population.
     """
     rows = outcomes if "seconds" in outcomes.columns else outcomes.withColumn("seconds", F.lit(None).cast("double"))
     volume = F.when(F.col("total_volume_mm3") > 0, F.col("total_volume_mm3"))

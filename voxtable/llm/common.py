@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on, so that its arrays stay small whatever the batch holds.
 SLICE_BYTES = 1 << 20
-#: Longest buffer whose positions get powers at once; a longer text is cut at separators.
-PIECE_BYTES = 1 << 21
+#: Longest buffer whose positions get powers at once; a longer text is cut at separators. One more byte would double the table of powers.
+PIECE_BYTES = (1 << 18) - 1
 
 _U = np.uint64
 
@@ -57,13 +57,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``limit`` bytes of text each (one row at least), and the texts; null is empty."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
-        sizes = np.cumsum([0 if v is None else v for v in pc.binary_length(texts).to_pylist()]) if len(texts) else np.zeros(0)
+        texts = batch.column(batch.schema.get_field_index(column))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(texts):
             done = sizes[at - 1] if at else 0
             end = max(at + 1, int(np.searchsorted(sizes, done + limit, side="right")))
-            yield batch.slice(at, end - at), [v or b"" for v in texts.slice(at, end - at).to_pylist()]
+            yield batch.slice(at, end - at), [v or b"" for v in texts.slice(at, end - at).cast(pa.large_binary()).to_pylist()]
             at = end
 
 

@@ -33,7 +33,7 @@ THRESHOLD = 0.7
 WINDOW = 32
 STRIDE = 24
 #: Text that shares one table of distinct words.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 HIDDEN = 8
 WORD_SIZE = 8
 GRAM_SIZE = 12
@@ -89,10 +89,10 @@ class Inputs:
         windows = np.maximum(1, 1 + -(-np.maximum(0, sizes - WINDOW) // STRIDE))
         self.text = np.repeat(np.arange(len(texts)), windows)
         number = np.arange(len(self.text)) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = bounds[:-1][self.text][:, None] + number[:, None] * STRIDE + np.arange(WINDOW)
-        self.mask = at < bounds[1:][self.text][:, None]
+        at = (bounds[:-1][self.text] + number * STRIDE).astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
+        self.mask = at < bounds[1:][self.text].astype(np.int32)[:, None]
         #: Distinct word of each place; the number of words stands for none.
-        self.index = np.where(self.mask, np.append(place, len(words))[np.minimum(at, len(place))], len(words))
+        self.index = np.where(self.mask, np.append(place, len(words)).astype(np.int32)[np.minimum(at, np.int32(len(place)))], np.int32(len(words)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

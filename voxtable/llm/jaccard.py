@@ -9,10 +9,12 @@ whole sequence if it has fewer words. Sets are compared as 64-bit hashes of shin
    Two sets that reach the threshold share a shingle of their prefixes. The shingles of two or more sets become the posting lists.
 3. A third scan counts each listed set by hash range, for the suffix filter: the counts bound the difference of two sets from below, exactly.
 4. Round one pairs each list's first member with its other members that pass the length, positional and suffix filters. A scan fetches the
-   sets of the pairs left (a bitmap of fixed size lets the others go where they are read), and each pair is verified once, in however many
+   sets of the pairs left (a bitmap lets the others go where they are read), and each pair is verified once, in however many
    lists it stands. Linked classes form components.
-5. Round two takes the lists whose other members still lie in different components; of lists with the same members, the first. Lists are cut into blocks, each pair of blocks is a unit of work,
-   and every pair across components goes through the same filters. The pairs left are verified once each, and the components are joined.
+5. Round two takes the lists whose other members still lie in different components; of lists with the same members, the first. Lists are cut
+   into blocks, and each pair of blocks is a unit of work. A unit looks at a pair only if its list is that of the pair's first common shingle, so
+   every pair is looked at once in all. A first pass over the units names the members with a pair that the filters leave; a second one has
+   their sets, verifies, and sends no more links than join its members. Neither sends a row per pair.
 
 Every pair that shares a prefix shingle is thus either in one component already, or excluded by an exact filter, or verified: components
 equal those of all links. Groups of copies cost a row per copy and list, not a row per pair.
@@ -38,12 +40,12 @@ from voxtable.session import written
 
 WHITE = b" \t\n\x0b\x0c\r"
 SKETCH_BITS = 20
-#: Fewest hash ranges of the suffix filter; a larger set has about one for each member.
-RANGES = 128
+#: Fewest hash ranges of the suffix filter; a larger set has one for about eight members, which still tells unrelated sets apart.
+RANGES = 64
 #: Members of a block of a posting list.
 BLOCK = 512
-#: Bits of the bitmap of wanted classes.
-WANTED_BITS = 23
+#: Bits of the bitmap of wanted classes: sixteen for a class, as powers of two between these bounds (128 MB at most).
+LEAST_BITS, MOST_BITS = 16, 30
 _U = np.uint64
 
 
@@ -95,7 +97,7 @@ def _sizes_and_sketch(n: int):
         empty = pa.nulls(len(some))
         yield pa.RecordBatch.from_arrays([
             empty.cast(pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary()), pa.array(some, pa.int32()),
-            pa.array([slots[i].tobytes() for i in some], pa.binary()),
+            pa.array([np.minimum(slots[i], 65535).astype(np.uint16).tobytes() for i in some], pa.binary()),
         ], names)
 
     return run, schema
@@ -108,7 +110,7 @@ def _classes_of_counts(parts: DataFrame) -> np.ndarray:
         total = np.zeros(1 << SKETCH_BITS - 8, np.uint64)
         for batch in rows:
             for x in batch.column(batch.schema.get_field_index("counts")).to_pylist():
-                total += np.frombuffer(x, np.uint32)
+                total += np.frombuffer(x, np.uint16)
         level = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["slot", "level"])
 
@@ -137,7 +139,7 @@ def _prefixes(n: int, percent: int, level):
                 if not len(z) or (node := signature(z)) in seen:
                     continue
                 seen.add(node)
-                keep = len(z) + (-percent * len(z) // 100) + 1
+                keep = prefix_length(len(z), percent)
                 tokens.append(rare_first(z, ranks)[:keep])
                 nodes += [node] * keep
                 sizes.append(np.full(keep, len(z)))
@@ -153,7 +155,7 @@ def _prefixes(n: int, percent: int, level):
 
 def range_counts(z: np.ndarray) -> np.ndarray:
     """Members by hash range, up to 255 each; the number of ranges is a power of two."""
-    size = max(RANGES, 1 << (len(z) - 1).bit_length())
+    size = max(RANGES, 1 << (len(z) // 8).bit_length())
     return np.minimum(np.bincount((z & _U(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
 
 
@@ -162,38 +164,47 @@ def folded(counts: np.ndarray, size: int) -> np.ndarray:
     return counts.reshape(*counts.shape[:-1], -1, size).sum(-2, dtype=np.int32)
 
 
-def _fetch(texts: DataFrame, nodes: DataFrame, n: int, ranges: bool) -> DataFrame:
-    """node and value of the wanted classes: the set itself, or its counts by hash range; a few others may come along."""
-    wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+def prefix_length(size: int, percent: int) -> int:
+    return size + (-percent * size // 100) + 1
 
-    def value(z: np.ndarray) -> bytes:
-        return range_counts(z).tobytes() if ranges else z.tobytes()
+
+def _fetch(texts: DataFrame, nodes: DataFrame, n: int, kind: str, level=None, percent: int = 0) -> DataFrame:
+    """node and value of the wanted classes; a few others may come along.
+
+    The value is the set itself (``sets``, rare-first if there is a ``level``) or its counts by hash range (``ranges``); with ``leads`` the rare-first
+    prefix comes in a column ``lead`` beside the counts.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * nodes.count()).bit_length()))
+    wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(nodes, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bits, seen = WordHasher(WHITE), wanted.value, set()
+        hasher, marked, seen = WordHasher(WHITE), wanted.value, set()
         for _, part in text_slices(batches, "text"):
             found = {}
             for z in shingle_sets(hasher, part, n):
                 node = signature(z) if len(z) else b""
-                at = int.from_bytes(node[:4], "little") % (1 << WANTED_BITS)
-                if node and node not in seen and bits[at >> 3] >> (at & 7) & 1:
-                    found[node] = value(z)
+                at = int.from_bytes(node[:4], "little") % (1 << bits)
+                if node and node not in seen and marked[at >> 3] >> (at & 7) & 1:
+                    lead = rare_first(z, level.value)[: prefix_length(len(z), percent)].tobytes() if kind == "leads" else None
+                    found[node] = (z.tobytes() if kind == "sets" else range_counts(z).tobytes(), lead)
             seen.update(found)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], ["node", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), *(pa.array(c, pa.binary()) for c in zip(*found.values()))], ["node", "value", "lead"])
 
-    return written(texts.mapInArrow(run, "node binary, value binary").dropDuplicates(["node"]), "ranges" if ranges else "sets")
+    out = texts.mapInArrow(run, "node binary, value binary, lead binary").dropDuplicates(["node"])
+    return written(out if kind == "leads" else out.drop("lead"), kind)
 
 
-def _bitmap(nodes: DataFrame) -> bytes:
-    """A bitmap of fixed size of the nodes' first four bytes."""
+def _bitmap(nodes: DataFrame, bits: int) -> bytes:
+    """A bitmap of the nodes' first four bytes."""
+    pieces = 256
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << WANTED_BITS, bool)
+        held = np.zeros(1 << bits - 3, np.uint8)
         for batch in batches:
-            for node in batch.column(0).to_pylist():
-                bits[int.from_bytes(node[:4], "little") % (1 << WANTED_BITS)] = True
-        parts = np.packbits(bits, bitorder="little").reshape(256, -1)
+            at = np.array([int.from_bytes(node[:4], "little") % (1 << bits) for node in batch.column(0).to_pylist()], np.int64)
+            np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        parts = held.reshape(pieces, -1)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["slot", "bits"])
 
@@ -201,8 +212,8 @@ def _bitmap(nodes: DataFrame) -> bytes:
         both = reduce(np.bitwise_or, (np.frombuffer(x, np.uint8) for batch in rows for x in batch.column(batch.schema.get_field_index("bits")).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([both.tobytes()], pa.binary())], ["slot", "bits"])
 
-    out = np.zeros((256, 1 << WANTED_BITS - 11), np.uint8)
-    for r in nodes.mapInArrow(mark, "slot int, bits binary").groupBy("slot").applyInArrow(unite, "slot int, bits binary").collect():  # 256 rows at most
+    out = np.zeros((pieces, (1 << bits - 3) // pieces), np.uint8)
+    for r in nodes.mapInArrow(mark, "slot int, bits binary").groupBy("slot").applyInArrow(unite, "slot int, bits binary").toLocalIterator():  # 2^bits bits in all
         out[r.slot] = np.frombuffer(r.bits, np.uint8)
     return out.tobytes()
 
@@ -245,51 +256,109 @@ def _near(pairs: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
     return _with_values(pairs, ranges).select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _survivors(percent: int):
-    """Pairs of a block pair of one list that lie in different components and pass the filters."""
-
-    def block(rows: dict, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        n, place, ranges, comp = rows["n"], rows["place"], rows["ranges"], rows["comp"]
-        i, j = np.meshgrid(left, right, indexing="ij")
-        i, j = i.ravel(), j.ravel()
-        use = comp[i] != comp[j]
-        if same:
-            use &= i < j
-        need = _needed(n[i] + n[j], percent)
-        use &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-        use &= 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1 >= need
-        i, j, need = i[use], j[use], need[use]
-        size = np.minimum(rows["size"][i], rows["size"][j])
-        keep = np.zeros(len(i), bool)
+class Unit:
+    """The members of one or two blocks of a posting list, and the pairs across them that are looked at here.
+
+    ``lead`` holds the shingles that come before this list's shingle in each member's prefix. A pair that has one of them in common stands in an earlier list.
+    """
+
+    #: Largest count vectors that are kept folded for all members.
+    FOLDED = 1 << 12
+
+    def __init__(self, table: pa.Table, low: int, high: int, percent: int):
+        self.percent = percent
+        self.n, self.place = (table[c].to_numpy().astype(np.int64) for c in ("n", "place"))
+        self.counts = [np.frombuffer(x, np.uint8) for x in table["value"].to_pylist()]
+        self.ranges = np.array([len(x) for x in self.counts], np.int64)
+        _, self.parent = np.unique(np.array(table["comp"].to_pylist(), object), return_inverse=True)
+        self.parent = self.parent.astype(np.int64)
+        leads = [np.frombuffer(x or b"", np.uint64) for x in table["lead"].to_pylist()]
+        self.lead_start = np.cumsum([0] + [len(x) for x in leads])
+        names, self.leads = np.unique(np.concatenate(leads), return_inverse=True)
+        self.mark = np.zeros(len(names), bool)
+        block = table["block"].to_numpy()
+        self.left, self.right, self.same = np.flatnonzero(block == low), np.flatnonzero(block == high), low == high
+        self.cache: dict[int, np.ndarray] = {}
+
+    def _apart(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Lower bounds of the differences between set i and the sets j."""
+        out, size = np.zeros(len(j), np.int64), np.minimum(self.ranges[i], self.ranges[j])
         for wide in np.unique(size).tolist():
-            same_size = np.flatnonzero(size == wide)
-            member, place_of = np.unique(np.concatenate([i[same_size], j[same_size]]), return_inverse=True)
-            counts = np.stack([folded(np.frombuffer(ranges[k], np.uint8), wide) for k in member.tolist()]).astype(np.int16)
-            left_of, right_of = place_of[: len(same_size)], place_of[len(same_size) :]
-            step = max(1, (1 << 22) // wide)
-            for at in range(0, len(same_size), step):
-                s = slice(at, at + step)
-                pair = same_size[s]
-                apart = np.abs(counts[left_of[s]] - counts[right_of[s]]).sum(1, dtype=np.int64)
-                keep[pair] = apart <= n[i[pair]] + n[j[pair]] - 2 * need[pair]
-        return i[keep], j[keep]
+            at = np.flatnonzero(size == wide)
+            own = folded(self.counts[i], wide)
+            if wide <= self.FOLDED:
+                if wide not in self.cache:
+                    fits = np.flatnonzero(self.ranges >= wide)
+                    rows = np.zeros((len(self.counts), wide), np.int32)
+                    for k in fits.tolist():
+                        rows[k] = folded(self.counts[k], wide)
+                    self.cache[wide] = rows
+                out[at] = np.abs(self.cache[wide][j[at]] - own).sum(1)
+            else:
+                out[at] = [int(np.abs(folded(self.counts[k], wide) - own).sum()) for k in j[at].tolist()]
+        return out
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Members of the other block that could be similar to i, across components, with this list as the first common one."""
+        j = self.right[self.right > i] if self.same else self.right
+        n, m = self.n[i], self.n[j]
+        need = _needed(n + m, self.percent)
+        use = (self.parent[i] != self.parent[j]) & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (np.minimum(n - self.place[i], m - self.place[j]) >= need)
+        j, need = j[use], need[use]
+        if len(j):
+            mine = self.leads[self.lead_start[i] : self.lead_start[i + 1]]
+            self.mark[mine] = True
+            seen = np.concatenate([[0], np.cumsum(self.mark[self.leads])])
+            self.mark[mine] = False
+            first = seen[self.lead_start[j + 1]] == seen[self.lead_start[j]]
+            j, need = j[first], need[first]
+        if len(j):
+            j = j[self._apart(i, j) <= n + self.n[j] - 2 * need]
+        return j
+
+    def join(self, i: int, j: int) -> None:
+        self.parent[self.parent == self.parent[j]] = self.parent[i]
+
+
+def _involved(percent: int):
+    """The members of a unit that have a candidate in it."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        unit = Unit(table, key[1].as_py(), key[2].as_py(), percent)
+        keep = np.zeros(table.num_rows, bool)
+        for i in unit.left.tolist():
+            j = unit.candidates(i)
+            keep[j] = True
+            keep[i] |= len(j) > 0
+        return table.filter(pa.array(keep))
+
+    return run
+
+
+def _joined(percent: int):
+    """Links (a, b) that join the components of a unit's members: at most one fewer than it has members."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        nodes = np.array(table["node"].to_pylist(), object)
-        rows = {"n": table["n"].to_numpy().astype(np.int64), "place": table["place"].to_numpy().astype(np.int64)}
-        rows["ranges"] = table["ranges"].to_pylist()
-        rows["size"] = np.array([len(x) for x in rows["ranges"]], np.int64)
-        _, rows["comp"] = np.unique(np.array(table["comp"].to_pylist(), object), return_inverse=True)
-        mine, a, b = table["block"].to_numpy(), key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(mine == a), np.flatnonzero(mine == b)
-        out_i, out_j = [], []
-        for at in range(0, len(left), 256):
-            i, j = block(rows, left[at : at + 256], right, a == b)
-            out_i.append(i)
-            out_j.append(j)
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_j))
-        x, y = nodes[i].tolist(), nodes[j].tolist()
-        return pa.table({"a": pa.array([min(p) for p in zip(x, y)], pa.binary()), "b": pa.array([max(p) for p in zip(x, y)], pa.binary())})
+        unit = Unit(table, key[1].as_py(), key[2].as_py(), percent)
+        sets = [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
+        start = np.cumsum([0] + [len(z) for z in sets])
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        mark, links = np.zeros(len(names), bool), []
+        for i in unit.left.tolist():
+            j = unit.candidates(i)
+            if not len(j):
+                continue
+            mine, size = flat[start[i] : start[i + 1]], start[j + 1] - start[j]
+            first = np.cumsum(size) - size
+            mark[mine] = True
+            common = np.add.reduceat(mark[flat[np.repeat(start[j] - first, size) + np.arange(size.sum())]].astype(np.int64), first)
+            mark[mine] = False
+            for k in j[100 * common >= percent * (unit.n[i] + unit.n[j] - common)].tolist():
+                if unit.parent[i] != unit.parent[k]:  # not joined since
+                    unit.join(i, k)
+                    links.append((i, k))
+        nodes = table["node"].to_pylist()
+        return pa.table({"a": pa.array([nodes[i] for i, _ in links], pa.binary()), "b": pa.array([nodes[k] for _, k in links], pa.binary())})
 
     return run
 
@@ -316,14 +385,14 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     lists = tokens.withColumn("size", F.count("*").over(token)).where("size > 1").withColumn("hub", F.min(F.struct("node", "n", "place")).over(token))
     lists = written(lists, "lists")
 
-    ranges = _fetch(texts, lists.select("node"), n, ranges=True)
+    ranges = _fetch(texts, lists.select("node"), n, "ranges")
 
     h, mine = F.col("hub.n"), F.col("n")
     common = F.least(h - F.col("hub.place"), mine - F.col("place"))
     reach = (100 * F.least(h, mine) >= percent * F.greatest(h, mine)) & (common >= F.ceil(percent * (h + mine) / (100 + percent)))
     pairs = lists.where((F.col("hub.node") != F.col("node")) & reach).select(F.col("hub.node").alias("a"), F.col("node").alias("b"), h.alias("n"), mine.alias("m")).distinct()
     pairs = written(_near(pairs, ranges, percent), "pairs")
-    links = written(_verified(pairs, _fetch(texts, _ends(pairs), n, ranges=False), percent), "links")
+    links = written(_verified(pairs, _fetch(texts, _ends(pairs), n, "sets"), percent), "links")
     member = written(linked_components(links), "members")
 
     # Pairs with the first member of a list are decided. Lists whose other members lie in one component are done, and so are lists of two.
@@ -336,13 +405,18 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         F.sum(F.pmod(mark, F.lit((1 << 31) - 1))).alias("sum"), F.sum("place").alias("places"),
     ).where("low != high")
     tokens = state.groupBy("members", "mark", "sum").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token")
-    open_ = placed.join(tokens, "token").join(ranges.withColumnRenamed("value", "ranges"), "node")
+    open_ = placed.join(tokens, "token")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_ = open_.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "place", "comp", "ranges")
-    rest = open_.groupBy("token", "low", "high").applyInArrow(_survivors(percent), "a binary, b binary").distinct()
-    rest = written(rest, "pairs")
-    more = written(_verified(rest, _fetch(texts, _ends(rest), n, ranges=False), percent), "links")
+    open_ = written(open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")), "open")
+    leads = _fetch(texts, open_.select("node"), n, "leads", level, percent)
+    # A row carries only the shingles before its place.
+    rows = open_.join(leads, "node").withColumn("lead", F.expr("substring(lead, 1, 8 * place)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)))
+    unit = ["token", "low", "high"]
+    rows = rows.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "place", "comp", "value", "lead")
+    near = written(rows.groupBy(*unit).applyInArrow(_involved(percent), rows.schema), "near")
+    members = _fetch(texts, near.select("node"), n, "sets").select("node", F.col("value").alias("members"))
+    more = written(near.join(members, "node").groupBy(*unit).applyInArrow(_joined(percent), "a binary, b binary"), "links")
     final = linked_components(links.unionByName(more))
 
     classes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("smallest"))

@@ -2,10 +2,11 @@
 
 ``format_windows`` gives one row per window:
 
-* prefix sums of turn tokens choose the spans: a turn belongs to span ``floor(tokens before it / budget)``, so spans are whole
-  turns and no text is cut. A turn longer than the budget makes a long span of its own.
+* prefix sums of turn tokens choose the spans. The system turn and the history that a window may repeat are set aside from the budget; what is left
+  cuts the conversation's tokens into stretches. The turns inside one stretch are a span, and a turn that crosses the border of two stretches is a span
+  by itself. Spans are whole turns, no text is cut, and no window is longer than the budget, unless one turn alone with the system turn is.
 * every window starts with the conversation's system turn (its first turn, if its role is ``system``), repeats turns of the span
-  before it that start at most ``history`` tokens back, and then holds the turns of its own span.
+  before it that start at most ``history`` tokens back (fewer, if a turn by itself leaves less), and then holds the turns of its own span.
 * only the assistant turns of the window's own span are under the loss mask (``loss``: start and length in characters of
   ``formatted``); repeated turns are not.
 
@@ -51,14 +52,21 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     )
     placed = Window.partitionBy("conv_id").orderBy("place")
     rows = rows.withColumn("begin", F.sum("tokens").over(placed.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
-    rows = rows.withColumn("span", F.floor(F.col("begin") / budget))
-    later = Window.partitionBy("conv_id").orderBy(F.col("span").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("next", F.max(F.struct(-F.col("begin"), "span")).over(later))
+    # The first row of a conversation says what its system turn takes of every window.
     is_system = (F.col("place") == 1) & (F.col("role") == "system")
+    taken = F.coalesce(F.first(F.when(is_system, F.col("tokens"))).over(placed), F.lit(0))
+    rows = rows.withColumn("left", F.lit(budget) - taken).withColumn("room", F.greatest(F.col("left") - history, F.lit(1)))
+    stretch = F.floor(F.col("begin") / F.col("room"))
+    crosses = F.floor((F.col("begin") + F.col("tokens") - 1) / F.col("room")) > stretch
+    rows = rows.withColumn("span", 2 * stretch + crosses.cast("int")).withColumn("single", F.when(crosses, F.col("tokens")).otherwise(F.lit(0)))
+    later = Window.partitionBy("conv_id").orderBy(F.col("span").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("next", F.max(F.struct(-F.col("begin"), "span", "single")).over(later))
     back = -F.col("next.col1") - F.col("begin")
+    # A turn by itself may leave less than the usual room for history.
+    near = back <= F.least(F.lit(history), F.col("left") - F.col("next.single"))
     spans = F.array_compact(F.array(
         F.struct(F.col("span").alias("window"), F.lit(True).alias("own")),
-        F.when(F.col("next").isNotNull() & ~is_system & (back <= history), F.struct(F.col("next.span").alias("window"), F.lit(False).alias("own"))),
+        F.when(F.col("next").isNotNull() & ~is_system & near, F.struct(F.col("next.span").alias("window"), F.lit(False).alias("own"))),
     ))
     piece = F.concat(F.lit("<s>[ROLE]"), escaped(F.col("role")), F.lit("[/ROLE]"), escaped(F.col("text")), F.lit("</s>"))
     rows = rows.withColumn("piece", piece).withColumn("is_system", is_system)

@@ -216,14 +216,17 @@ ORACLE: dict[str, str] = {
     begun as (
         select *, length('<s>[ROLE][/ROLE]</s>') + length(erole) + length(etext) as chars,
             sum(tokens) over (partition by conv_id order by place) - tokens as start from sized),
-    spans as (select *, start // 512 as span, place = 1 and role = 'system' as is_system from begun),
-    firsts as (select conv_id, span, min(start) as first_start from spans group by all),
-    nexts as (select *, lead(span) over (partition by conv_id order by span) as next_span,
+    room as (select *, place = 1 and role = 'system' as is_system,
+        512 - coalesce(max(case when place = 1 and role = 'system' then tokens end) over (partition by conv_id), 0) as free,
+        greatest(1, free - 128) as room from begun),
+    spans as (select *, 2 * (start // room) + case when (start + tokens - 1) // room > start // room then 1 else 0 end as span from room),
+    firsts as (select conv_id, span, min(start) as first_start, max(case when span % 2 = 1 then tokens else 0 end) as single from spans group by all),
+    nexts as (select *, lead(span) over (partition by conv_id order by span) as next_span, lead(single) over (partition by conv_id order by span) as next_single,
             lead(first_start) over (partition by conv_id order by span) as next_start from firsts),
     own as (select conv_id, sum(chars) as chars from spans group by all),
     history as (
         select s.conv_id, sum(chars) as chars from spans s join nexts n on s.conv_id is not distinct from n.conv_id and s.span = n.span
-        where not is_system and next_start - start <= 128 group by all),
+        where not is_system and next_start - start <= least(128, free - next_single) group by all),
     windows as (select conv_id, count(*) as n from firsts group by all),
     led as (
         select s.conv_id, s.chars * (w.n - 1) as chars from spans s join windows w on s.conv_id is not distinct from w.conv_id where is_system),

@@ -232,6 +232,73 @@ def test_matches_sql(spark, name, monkeypatch):
     assert compare.difference(QUERIES[name](spark, SMALL), compare.views(SMALL), ORACLE[name]) is None
 
 
+def test_no_window_is_longer_than_the_budget(spark):
+    """Where every turn fits beside the system turn and the history."""
+    rng = random.Random(2)
+    rows = [(c, k, "system" if k == 0 and c % 2 else rng.choice(["user", "assistant"]), "w " * rng.randint(0, 10 if k == 0 else 60)) for c in range(30) for k in range(rng.randint(1, 40))]
+    rows += [(99, k, "user", "w " * n) for k, n in enumerate((49, 119, 499))] + [(98, 0, "system", "w " * 49), (98, 1, "user", "w " * 119), (98, 2, "assistant", "w " * 299)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for budget, history in ((120, 30), (512, 128), (120, 0)):
+        windows = chat.format_windows(table, budget, history).where("conv_id < 98" if budget < 512 else "true").collect()
+        # A turn has one token more than words; the markers hold no blanks.
+        pieces = [[p.split("[/ROLE]", 1)[1] for p in r.formatted.split("</s>")[:-1]] for r in windows]
+        own = [len(p) - r.repeated for p, r in zip(pieces, windows)]
+        sizes = [sum(len(t.split()) + 1 for t in p) for p in pieces]
+        assert max(sizes) <= budget
+    assert sum(own) == len([r for r in rows if r[0] < 98])
+
+
 def test_chat_formatting_needs_no_python(spark):
     plan = QUERIES["op3_chat_formatting"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def posting_lists(sets, percent):
+    """Prefix lists of sets (rare-first by value here): token to [(set number, place)], and the leads of every set."""
+    lists, order = collections.defaultdict(list), [sorted(s) for s in sets]
+    for k, tokens in enumerate(order):
+        for place, token in enumerate(tokens[: jaccard.prefix_length(len(tokens), percent)]):
+            lists[token].append((k, place))
+    return {t: m for t, m in lists.items() if len(m) > 1}, order
+
+
+def unit_of(members, order, percent, blocks=1):
+    import numpy as np
+    import pyarrow as pa
+
+    raw = [np.array(order[k], np.uint64) for k, _ in members]
+    table = pa.table({
+        "n": [len(z) for z in raw], "place": [p for _, p in members], "value": pa.array([jaccard.range_counts(z).tobytes() for z in raw], pa.binary()),
+        "lead": pa.array([z[:p].tobytes() for z, (_, p) in zip(raw, members)], pa.binary()), "comp": [str(k) for k, _ in members],
+        "block": [k % blocks for k, _ in members], "node": pa.array([str(k).encode() for k, _ in members], pa.binary()), "members": pa.array([z.tobytes() for z in raw], pa.binary()),
+    })
+    return table
+
+
+def test_units_look_at_a_pair_once_and_send_fewer_rows_than_members():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    base = rng.sample(range(1 << 60), 60)
+    sets = [set(base) - set(rng.sample(base, 6)) | set(rng.sample(range(1 << 60), rng.randint(0, 8))) for _ in range(40)]
+    sets += [set(rng.sample(range(1 << 60), 30)) | set(base[:3]) for _ in range(20)]
+    lists, order = posting_lists(sets, 80)
+    looked, linked = collections.Counter(), set()
+    for token, members in lists.items():
+        for low, high in ((0, 0), (0, 1), (1, 1)):
+            table = unit_of([m for m in members if m[0] % 2 in (low, high)], order, 80, 2)
+            if not table.num_rows:
+                continue
+            names = [int(x) for x in table["node"].to_pylist()]
+            unit = jaccard.Unit(table, low, high, 80)
+            for i in unit.left.tolist():
+                for j in unit.candidates(i).tolist():
+                    looked[frozenset((names[i], names[j]))] += 1
+            key = (None, pa.scalar(low), pa.scalar(high))
+            near = jaccard._involved(80)(key, table)
+            assert near.num_rows <= table.num_rows
+            links = jaccard._joined(80)(key, near) if near.num_rows else near.slice(0, 0)
+            assert links.num_rows < max(1, near.num_rows)
+            linked |= {frozenset((int(a), int(b))) for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist())} if links.num_rows else set()
+    close = {frozenset(p) for p in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[min(p)] & sets[max(p)]) >= 80 * len(sets[min(p)] | sets[max(p)])}
+    assert max(looked.values()) == 1 and close and close <= set(looked) and linked <= close

@@ -4,11 +4,12 @@
    run of ``LEAF`` vectors is compared within itself. Every vector keeps its ``K`` best.
 2. Rounds: each vector gathers its neighbours and those that name it, and these meet each other; every pair may improve the lists of both.
    Rounds go on while one finds more than ``CHANGE`` new links.
-3. Growing: a list is saturated when all its ``K`` entries reach the threshold; a link can hide only where both lists are saturated. Those
-   vectors are searched again, without the vectors of their own component, so what they already reach takes no place in their lists. Links
-   found so merge components; this goes on until a search finds none.
-4. Audit: a bounded, hash-ordered sample of all vectors is compared with all vectors. Recall is taken per link, and as the mean over vectors
-   with few and with many links. While one of them is below ``GOAL``, another set of orders follows, ``MOST_ROUNDS`` at most; if that does not
+3. Enlarging: a list is saturated when all its entries reach the threshold; a link can hide only where both lists are saturated. Saturated
+   vectors get lists of twice the length and descend again among each other, until no list is saturated or lists hold ``LONGEST`` entries.
+4. Growing: what is still saturated is searched again without the vectors of its own component, so what it already reaches takes no place in
+   its lists. Links found so merge components; every search either merges some or is the last.
+5. Audit: a bounded, hash-ordered sample of all vectors is compared with all vectors, a larger one if it has fewer than ``LEAST_SEEN`` links.
+   Recall is taken per link, and as the mean over vectors with few and with many links. While one of them is below ``GOAL``, another set of orders follows, ``MOST_ROUNDS`` at most; if that does not
    reach it, all vectors meet in blocks, so no result falls short in silence.
 
 Counting: equal vectors are one row with a weight from the start. The vectors of a component of three or more meet all others of it, in
@@ -18,8 +19,8 @@ All links are verified: their cosine is computed in double precision from the co
 meet, so no task holds a whole group.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own component; vectors of
-different length never link; rows with equal ids are one vector each, told apart by their content, and count as links of each other's id only if ids
-differ; rows with a null id have no links and a null component; an empty table gives an empty result; other columns are ignored.
+different length never link; rows with equal ids and different content are vectors of their own, rows that are equal in both are one vector; every
+row of the input has a row in the result; rows with a null id have no links and a null component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxtable.llm.common import first_by_hash
 from voxtable.operators.graph import linked_components
 from voxtable.session import written
 
@@ -42,21 +44,27 @@ BITS = 24
 BLOCK = 512
 WIDE = 4096
 CHANGE = 0.005
-AUDIT = 2000
+#: Longest lists of saturated vectors.
+LONGEST = 32
+#: Vectors that an audit asks at first and at most, and the links it wants to see.
+AUDIT, MOST_AUDIT, LEAST_SEEN = 2000, 32_000, 100
 GOAL = 0.98
 MOST_ROUNDS = 4
 _EDGE = "a long, b long, cosine double"
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, dims, x (doubles) of the vectors that can link; of rows with equal ids and content one, and of equal ids the first by content."""
+def _parsed(vectors: DataFrame) -> DataFrame:
+    """vec_id and x (doubles) of every row; x is null where the row cannot link."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(
         "embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")),
     ) & F.exists("embedding", lambda v: v != 0)
-    rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
-    one = rows.groupBy("vec_id").agg(F.min("x").alias("x"))
-    return one.select("vec_id", F.size("x").alias("dims"), "x")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, x).alias("x"))
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """The distinct (id, x) that can link, as rows (vec_id, dims, x)."""
+    return _parsed(vectors).where("x is not null").distinct().select("vec_id", F.size("x").alias("dims"), "x")
 
 
 def _matrix(column) -> np.ndarray:
@@ -224,10 +232,30 @@ def _thinned(vectors: DataFrame, seed: int) -> DataFrame:
     return vectors.join(sizes, "root").where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col("share")) == 0).drop("share")
 
 
+def enlarged(graph: DataFrame, vectors: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The graph, with longer lists for saturated vectors."""
+    out, lists = graph, graph
+    while k < LONGEST:
+        full = lists.where(F.col("cosine") >= threshold).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("vec_id"))
+        part = written(vectors.join(full, "vec_id", "left_semi"), "saturated")
+        if part.isEmpty():
+            break
+        k *= 2
+        ids = part.select(F.col("vec_id").alias("a"))
+        among = lists.join(ids, "a", "left_semi").join(ids.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b", "cosine")
+        lists, links, before = among, 0, -1
+        while links > (1 + CHANGE) * before:
+            lists = written(_kept(descend(lists, part, k), k), "longer")
+            before, links = links, lists.where(F.col("cosine") >= threshold).count()
+        out = out.unionByName(lists)
+    return out
+
+
 def grown(graph: DataFrame, vectors: DataFrame, threshold: float, k: int, seed: int = 1) -> DataFrame:
     """vec_id and root of all vectors with links: the components of the graph, merged while saturated vectors find links to other components."""
     strong = written(graph.where(F.col("cosine") >= threshold).select("a", "b"), "links")
-    full = strong.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("vec_id"))
+    # A vector is still saturated if it has as many links as the longest list holds.
+    full = strong.groupBy("a").agg(F.countDistinct("b").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("vec_id"))
     asked, roots = written(vectors.join(full, "vec_id", "left_semi"), "saturated"), _components(strong)
     while not asked.isEmpty():
         seed += 100
@@ -254,7 +282,7 @@ def counted(vectors: DataFrame, roots: DataFrame, threshold: float) -> DataFrame
 def audit(rooted: DataFrame, threshold: float, k: int = K, size: int = AUDIT) -> float:
     """Share of the true links of a sample of vectors that were found, that is, lie inside a component: the least of the share of all links and
     the mean shares of vectors with less than ``k`` links and of others. The sample is the first ``size`` by a hash of the id."""
-    chosen = rooted.select("vec_id").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(size)
+    chosen = first_by_hash(rooted.select("vec_id"), F.xxhash64("vec_id", F.lit(3)), ["vec_id"], size)
     asked = rooted.join(F.broadcast(chosen), "vec_id").select("vec_id", "dims", "root", "x").collect()  # ``size`` vectors at most
     if not asked:
         return 1.0
@@ -274,6 +302,8 @@ def audit(rooted: DataFrame, threshold: float, k: int = K, size: int = AUDIT) ->
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.sum(1)), pa.array(found.sum(1))], ["vec_id", "total", "found"])
 
     rows = _rooted(rooted).mapInArrow(run, "vec_id long, total long, found long").groupBy("vec_id").agg(F.sum("total").alias("total"), F.sum("found").alias("found")).where("total > 0").collect()
+    if sum(r.total for r in rows) < LEAST_SEEN and size < MOST_AUDIT and len(asked) == size:
+        return audit(rooted, threshold, k, 4 * size)
     if not rows:
         return 1.0
     classes = [[r.found / r.total for r in rows if (r.total < k) == few] for few in (True, False)]
@@ -303,7 +333,9 @@ def all_blocks(rooted: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -> tuple[DataFrame, float]:
     """(vec_id, n_links, component_id, kept of every row; the audited recall)."""
     single = written(usable(vectors), "vectors")
-    good = written(single.groupBy("x").agg(F.min("vec_id").alias("vec_id"), F.min("dims").alias("dims"), F.count("*").alias("weight")), "vectors")
+    # Equal vectors are one row from here on, under a number of its own; ``low`` is the smallest of their ids.
+    equal = single.groupBy("x").agg(F.min("vec_id").alias("low"), F.min("dims").alias("dims"), F.count("*").alias("weight"))
+    good = written(equal.withColumn("vec_id", F.monotonically_increasing_id()), "vectors")
     graph, recall = None, 0.0
     for step in range(MOST_ROUNDS):
         more = first_lists(good, k, ORDERS, seed=step + 1)
@@ -312,7 +344,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
         while links > (1 + CHANGE) * before:
             graph = written(_kept(descend(graph, good, k), k), "graph")
             before, links = links, graph.where(F.col("cosine") >= threshold).count()
-        roots = grown(graph, good, threshold, k, seed=step + 1)
+        longer = written(enlarged(graph, good, threshold, k), "graph")
+        roots = grown(longer, good, threshold, LONGEST, seed=step + 1)
         recall = audit(_with_roots(good, roots), threshold, k)
         if recall >= GOAL:
             break
@@ -320,12 +353,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
         more = all_blocks(_with_roots(good, roots), threshold)
         roots = _components(more.unionByName(roots.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))))
         recall = 1.0
-    # Equal vectors share the row of the first; its id is the smallest.
-    counts = counted(good, roots, threshold).withColumnRenamed("vec_id", "first")
-    copies = single.select("vec_id", "x").join(good.select(F.col("vec_id").alias("first"), "x"), "x").select("vec_id", "first")
-    found = copies.join(counts, "first").drop("first")
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(found, "vec_id", "left")
-    component = F.coalesce("root", "vec_id")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"),
-    ), recall
+    counts = written(counted(good, roots, threshold).join(good.select("vec_id", "low"), "vec_id"), "counts")
+    names = counts.groupBy("root").agg(F.min("low").alias("component"))
+    named = counts.join(names, "root").join(good.select("vec_id", "x"), "vec_id").select("x", "n_links", "component")
+    rows = _parsed(vectors)
+    found = rows.where("x is not null").join(named, "x").select("vec_id", "n_links", "component")
+    alone = rows.where("x is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"))
+    out = found.unionByName(alone)
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept")), recall

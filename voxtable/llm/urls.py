@@ -19,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.llm.common import first_by_hash
+
 #: (verdict, host, path)
 RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
 #: Most labelled urls of each kind that the trees learn from.
 PER_KIND = 10_000
+#: Folds of the urls; statistics of a url that is learned from come from the other folds.
+FOLDS = 4
 SLOTS = 4096
 BINS = 32
 
@@ -144,25 +148,37 @@ class Trees:
         return 1 / (1 + np.exp(-(self.base + sum(self._apply(t, rows) for t in self.trees))))
 
 
+def _share(counts: np.ndarray) -> np.ndarray:
+    """Share of blocked urls from (blocked, known) counts, drawn to one half where few are known."""
+    return (counts[..., 0] + 1) / (counts[..., 1] + 2)
+
+
 def train(described: DataFrame, per_kind: int = PER_KIND) -> tuple[Trees | float, dict]:
     """The trees (or a constant, if only one kind is labelled) and the statistics of suffixes and segments over all urls."""
-    tables = {}
+    tables, folds = {}, {}
+    described = described.withColumn("fold", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     for name in ("suffix", "segment"):
-        stats = described.groupBy(name).agg(F.count("*").alias("n"), F.count("ruling").alias("known"), F.count_if(F.col("ruling") == "block").alias("bad"))
-        values = np.full(SLOTS, 0.5, np.float32)
-        for r in stats.collect():  # SLOTS rows at most
-            values[r[name]] = (r["bad"] + 1) / (r["known"] + 2)
-        tables[name] = values
+        stats = described.groupBy(name, "fold").agg(F.count("ruling").alias("known"), F.count_if(F.col("ruling") == "block").alias("bad"))
+        counts = np.zeros((FOLDS, SLOTS, 2), np.int64)
+        for r in stats.collect():  # FOLDS * SLOTS rows at most
+            counts[r.fold, r[name]] = r["bad"], r["known"]
+        folds[name] = counts
+        tables[name] = _share(counts.sum(0)).astype(np.float32)
     order = F.xxhash64("page_id", "url")
     sample = None
     for kind in ("allow", "block"):
-        part = described.where(F.col("ruling") == kind).orderBy(order, "page_id", "url").limit(per_kind)
+        part = first_by_hash(described.where(F.col("ruling") == kind), order, ["page_id", "url"], per_kind)
         sample = part if sample is None else sample.unionByName(part)
-    rows = sample.select("url", "host", "path", "suffix", "segment", "ruling").collect()  # 2 * per_kind urls at most
+    rows = sample.select("url", "host", "path", "suffix", "segment", "ruling", "fold").collect()  # 2 * per_kind urls at most
     y = np.array([r.ruling == "block" for r in rows], float)
     if not len(y) or y.min() == y.max():
         return float(y.max()) if len(y) else 0.0, tables
-    x = features([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], np.array([r.suffix for r in rows]), np.array([r.segment for r in rows]), tables)
+    slots = {name: np.array([r[name] for r in rows]) for name in ("suffix", "segment")}
+    x = features([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], slots["suffix"], slots["segment"], tables)
+    # A url that is learned from sees the statistics of the other folds only, never its own label.
+    fold = np.array([r.fold for r in rows])
+    for column, name in ((14, "suffix"), (15, "segment")):
+        x[:, column] = _share((folds[name].sum(0) - folds[name])[fold, slots[name]])
     return Trees().fit(x, y), tables
 
 

@@ -295,3 +295,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(got) == sorted(firsts)
     final = corpus_pipeline.run(spark, SMALL).collect()
     assert {r.doc_id for r in final} <= {r[0] for r in base} and final
+
+
+def test_an_id_may_have_several_vectors(spark):
+    """Rows of one id with different content keep their links."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0]), (2, [1.0, 0.01])]
+    got = collections.Counter(tuple(r) for r in neighbours.near_duplicates(vectors(spark, rows))[0].collect())
+    assert got == collections.Counter([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (2, 1, 1, False)])
+
+
+def test_lists_grow_where_they_are_full(spark, monkeypatch):
+    """Twenty near copies have nineteen links each: lists of eight grow until they hold them."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=32)
+    rows = [(i, (base + 0.05 * rng.normal(size=32)).tolist()) for i in range(20)] + [(100 + i, rng.normal(size=32).tolist()) for i in range(60)]
+    good = neighbours.written(neighbours.usable(vectors(spark, rows)).withColumn("weight", F.lit(1)), "good")
+    graph = neighbours.written(neighbours._kept(neighbours.first_lists(good, 8), 8), "graph")
+    strong = lambda g: {(r.a, r.b) for r in g.where("cosine >= 0.9").collect()}
+    assert max(collections.Counter(a for a, _ in strong(graph)).values()) == 8
+    longer = strong(neighbours.enlarged(graph, good, 0.9, 8))
+    assert {(a, b) for a in range(20) for b in range(20) if a != b} == longer
+
+
+def test_few_rows_are_chosen_by_hash(spark):
+    from voxtable.llm.common import first_by_hash
+
+    rows = spark.range(20_000)
+    want = [r.id for r in rows.orderBy(F.xxhash64("id"), "id").limit(50).collect()]
+    assert [r.id for r in first_by_hash(rows, F.xxhash64("id"), ["id"], 50).collect()] == want
+    assert first_by_hash(rows.where("id < 7"), F.xxhash64("id"), ["id"], 50).count() == 7
+    # Rows that share one hash are more than the bound expects.
+    assert first_by_hash(rows.select(F.lit(1).alias("id")), F.xxhash64("id"), ["id"], 50).count() == 50

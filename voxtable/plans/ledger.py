@@ -14,7 +14,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEDGER = "case_id string, state string, run_id string, at timestamp, lease_until timestamp, error string"
+LEDGER = "case_id string, state string, run_id string, claim string, at timestamp, lease_until timestamp, error string"
 #: Rank of states with one time: a settled state follows its claim.
 _ORDER = {"claimed": 0, "failed": 1, "done": 2}
 
@@ -34,8 +34,8 @@ def states(spark: SparkSession, path: str) -> DataFrame:
     return entries(spark, path).groupBy("case_id").agg(newest.alias("row")).select("case_id", "row.*")
 
 
-def _append(rows: DataFrame, path: str, run_id: str, at: datetime) -> None:
-    stamped = rows.withColumns({"run_id": F.lit(run_id), "at": F.lit(at)})
+def _append(rows: DataFrame, path: str, run_id: str, at: datetime, claim: str | None = None) -> None:
+    stamped = rows.withColumns({"run_id": F.lit(run_id), "claim": F.lit(claim).cast("string"), "at": F.lit(at)})
     stamped.select(*(part.split()[0] for part in LEDGER.split(", "))).write.mode("append").parquet(path)
 
 
@@ -67,18 +67,18 @@ def run_batches(
     run_id = run_id or uuid.uuid4().hex
     done = 0
     while most is None or done < most:
-        now = clock()
+        now, mark = clock(), uuid.uuid4().hex
         # As many rows as a batch is told to have.
         batch = open_cases(cases, path, now).orderBy("case_id").limit(size).select("case_id")
         claim = batch.select(F.col("case_id").cast("string").alias("case_id")).withColumns(
             {"state": F.lit("claimed"), "lease_until": F.lit(now + lease), "error": F.lit(None).cast("string")})
-        _append(claim, path, run_id, now)
-        mine = entries(spark, path).where((F.col("run_id") == run_id) & (F.col("at") == F.lit(now)) & (F.col("state") == "claimed")).select("case_id")
+        _append(claim, path, run_id, now, mark)
+        mine = entries(spark, path).where((F.col("claim") == mark) & (F.col("state") == "claimed")).select("case_id")
         held = cases.withColumn("_name", F.col("case_id").cast("string")).join(mine.withColumnRenamed("case_id", "_name"), "_name", "left_semi").drop("_name")
         if held.isEmpty():
             break
         found = work(held).select(
             F.col("case_id").cast("string").alias("case_id"), F.when(F.col("success"), "done").otherwise("failed").alias("state"), "error")
-        _append(found.withColumn("lease_until", F.lit(None).cast("timestamp")), path, run_id, max(now, clock()))
+        _append(found.withColumn("lease_until", F.lit(None).cast("timestamp")), path, run_id, max(now, clock()), mark)
         done += 1
     return run_id

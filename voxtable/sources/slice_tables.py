@@ -30,7 +30,8 @@ def zipped(cts: DataFrame, labels: DataFrame, masks: DataFrame | None = None) ->
     """Slices of the cases whose CT and label slices have one size: case_id, z, ny, nx, hu, lesion and the mask arrays, zero where absent."""
     size = ["ny", "nx"]
     right = labels.select(*KEYS, F.col("ny").alias("ly"), F.col("nx").alias("lx"), F.col("cells").alias("lesion"))
-    both = cts.select(*KEYS, *size, F.col("cells").alias("hu")).join(right, KEYS).where("ny = ly and nx = lx").drop("ly", "lx")
+    # Not as equations, which would become keys of the join and take it away from the buckets.
+    both = cts.select(*KEYS, *size, F.col("cells").alias("hu")).join(right, KEYS).where("abs(ny - ly) + abs(nx - lx) = 0").drop("ly", "lx")
     if masks is not None:
         both = both.join(masks.select(*KEYS, *SIDES), KEYS, "left")
 

@@ -13,8 +13,9 @@ whole sequence if it has fewer words. Sets are compared as 64-bit hashes of shin
    lists it stands. Linked classes form components.
 5. Round two takes the lists whose other members still lie in different components; of lists with the same members, the first. Lists are cut
    into blocks, and each pair of blocks is a unit of work. A unit looks at a pair only if its list is that of the pair's first common shingle, so
-   every pair is looked at once in all. A first pass over the units names the members with a pair that the filters leave; a second one has
-   their sets, verifies, and sends no more links than join its members. Neither sends a row per pair.
+   every pair is verified once at most. A first pass over the units names the members with a pair that the length, positional and suffix filters
+   leave; a second one, which knows their prefixes, those with a pair that this list is the first for; a third one has their sets, verifies, and
+   sends no more links than join its members. None sends a row per pair, and rows grow heavier only as they grow few.
 
 Every pair that shares a prefix shingle is thus either in one component already, or excluded by an exact filter, or verified: components
 equal those of all links. Groups of copies cost a row per copy and list, not a row per pair.
@@ -259,7 +260,8 @@ def _near(pairs: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
 class Unit:
     """The members of one or two blocks of a posting list, and the pairs across them that are looked at here.
 
-    ``lead`` holds the shingles that come before this list's shingle in each member's prefix. A pair that has one of them in common stands in an earlier list.
+    ``lead``, where the rows have it, holds the shingles that come before this list's shingle in each member's prefix. A pair that has one of them in
+    common stands in an earlier list.
     """
 
     #: Largest count vectors that are kept folded for all members.
@@ -272,7 +274,7 @@ class Unit:
         self.ranges = np.array([len(x) for x in self.counts], np.int64)
         _, self.parent = np.unique(np.array(table["comp"].to_pylist(), object), return_inverse=True)
         self.parent = self.parent.astype(np.int64)
-        leads = [np.frombuffer(x or b"", np.uint64) for x in table["lead"].to_pylist()]
+        leads = [np.frombuffer(x or b"", np.uint64) for x in table["lead"].to_pylist()] if "lead" in table.column_names else [np.zeros(0, np.uint64)] * table.num_rows
         self.lead_start = np.cumsum([0] + [len(x) for x in leads])
         names, self.leads = np.unique(np.concatenate(leads), return_inverse=True)
         self.mark = np.zeros(len(names), bool)
@@ -395,9 +397,9 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     links = written(_verified(pairs, _fetch(texts, _ends(pairs), n, "sets"), percent), "links")
     member = written(linked_components(links), "members")
 
-    # Pairs with the first member of a list are decided. Lists whose other members lie in one component are done, and so are lists of two.
-    others = lists.where(F.col("hub.node") != F.col("node")).drop("hub")
-    placed = others.join(member, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    # Pairs with the first member of a list are decided. Lists of two are done, and so are lists whose other members lie in one component.
+    others = lists.where((F.col("hub.node") != F.col("node")) & (F.col("size") > 2)).drop("hub")
+    placed = written(others.join(member, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "placed")
     # Of lists with the same members only the first in the common order counts: every pair comes first there.
     mark = F.xxhash64("node")
     state = placed.groupBy("token").agg(
@@ -405,18 +407,19 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         F.sum(F.pmod(mark, F.lit((1 << 31) - 1))).alias("sum"), F.sum("place").alias("places"),
     ).where("low != high")
     tokens = state.groupBy("members", "mark", "sum").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token")
-    open_ = placed.join(tokens, "token")
+    # Counts are wanted for members of open lists only; both joins by class meet before the lists are dealt out.
+    open_ = placed.join(tokens, "token").join(ranges, "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = written(open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")), "open")
-    leads = _fetch(texts, open_.select("node"), n, "leads", level, percent)
-    # A row carries only the shingles before its place.
-    rows = open_.join(leads, "node").withColumn("lead", F.expr("substring(lead, 1, 8 * place)"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)))
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     unit = ["token", "low", "high"]
-    rows = rows.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "place", "comp", "value", "lead")
+    rows = open_.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "place", "comp", "value")
     near = written(rows.groupBy(*unit).applyInArrow(_involved(percent), rows.schema), "near")
-    members = _fetch(texts, near.select("node"), n, "sets").select("node", F.col("value").alias("members"))
-    more = written(near.join(members, "node").groupBy(*unit).applyInArrow(_joined(percent), "a binary, b binary"), "links")
+    leads = _fetch(texts, near.select("node"), n, "leads", level, percent).select("node", "lead")
+    # A row carries only the shingles before its place.
+    first = near.join(leads, "node").withColumn("lead", F.expr("substring(lead, 1, 8 * place)")).select(*near.columns, "lead")
+    first = written(first.groupBy(*unit).applyInArrow(_involved(percent), first.schema), "near")
+    members = _fetch(texts, first.select("node"), n, "sets").select("node", F.col("value").alias("members"))
+    more = written(first.join(members, "node").groupBy(*unit).applyInArrow(_joined(percent), "a binary, b binary"), "links")
     final = linked_components(links.unionByName(more))
 
     classes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("smallest"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from voxtable.functions.joins import shuffled
 from voxtable.functions.names import file_name
 from voxtable.sources.catalog import MASK_TYPES
 
@@ -172,7 +173,7 @@ def load_cases(cts: DataFrame, lesions: DataFrame) -> tuple[DataFrame, DataFrame
     size = ["nz", "ny", "nx"]
     good = [s.where(F.col("error").isNull()) for s in (cts, lesions)]
     pairs = good[0].join(
-        good[1].select("case_id", "z", *size, F.col("cells").alias("labels")), ["case_id", "z", *size]
+        shuffled(good[1].select("case_id", "z", *size, F.col("cells").alias("labels"))), ["case_id", "z", *size]
     )
     voxels = pairs.select("case_id", "z", "nx", F.posexplode(F.arrays_zip("cells", "labels")).alias("at", "v")).select(
         "case_id", "z", F.floor(F.col("at") / F.col("nx")).cast("int").alias("y"), F.pmod("at", "nx").alias("x"),
@@ -200,4 +201,4 @@ def with_masks(voxels: DataFrame, masks: DataFrame) -> DataFrame:
     flags = masks.groupBy(*key).agg(
         *[F.max(F.when(F.col("mask_type") == kind, 1).otherwise(0)).alias(name) for name, kind in sides.items()]
     )
-    return voxels.join(flags, key, "left").fillna(0, list(sides))
+    return voxels.join(shuffled(flags), key, "left").fillna(0, list(sides))

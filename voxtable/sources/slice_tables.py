@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtable.functions.joins import shuffled
+
 KEYS = ["case_id", "z"]
 # Mask columns of a voxel and the mask type they come from.
 SIDES = {"lung": "lung_mask", "upper": "upper_lung", "lower": "lower_lung", "lobe": "lobe_mask"}
@@ -31,9 +33,9 @@ def zipped(cts: DataFrame, labels: DataFrame, masks: DataFrame | None = None) ->
     size = ["ny", "nx"]
     right = labels.select(*KEYS, F.col("ny").alias("ly"), F.col("nx").alias("lx"), F.col("cells").alias("lesion"))
     # Not as equations, which would become keys of the join and take it away from the buckets.
-    both = cts.select(*KEYS, *size, F.col("cells").alias("hu")).join(right, KEYS).where("abs(ny - ly) + abs(nx - lx) = 0").drop("ly", "lx")
+    both = cts.select(*KEYS, *size, F.col("cells").alias("hu")).join(shuffled(right), KEYS).where("abs(ny - ly) + abs(nx - lx) = 0").drop("ly", "lx")
     if masks is not None:
-        both = both.join(masks.select(*KEYS, *SIDES), KEYS, "left")
+        both = both.join(shuffled(masks.select(*KEYS, *SIDES)), KEYS, "left")
 
     def mask(side: str) -> Column:
         zero = F.array_repeat(F.lit(0), F.size("hu"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import fnmatch
 import gzip
+import io
 import json
 import math
 import re
@@ -22,7 +23,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from voxtable.functions.joins import looked_up
 from voxtable.sources.catalog import MASK_TYPES
 from voxtable.sources.volumes import Layout, layout, whole_numbers
 
@@ -42,6 +44,8 @@ HEADER = 348
 #: Offset of the first cell in the files written.
 FIRST_CELL = 352
 CHUNK = 1 << 20
+#: Tasks that the slabs of a folder make at most, tasks that its small files are spread over, and what opening a file costs, in bytes.
+SHARES, FEW_SHARES, OPENING = 1024, 256, 1 << 16
 SLICES = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("path", "name", "case_id", "kind")]
     + [T.StructField(n, T.IntegerType()) for n in ("z", "nz", "ny", "nx")]
@@ -143,9 +147,8 @@ class VolumeReader(DataSourceReader):
     def partitions(self) -> list[Share]:
         system, place = fs.FileSystem.from_uri(self.folder)
         prefix = self.folder[: len(self.folder) - len(place)] if self.folder.endswith(place) else ""
-        out: list[Share] = []
-        bundle: list[tuple[str, int, int]] = []
-        size = 0
+        slabs: list[tuple[str, int, int]] = []
+        small: list[tuple[str, int, int, int]] = []
         for info in sorted(system.get_file_info(fs.FileSelector(place)), key=lambda i: i.path):
             case, kind = case_and_kind(info.base_name)
             if info.type != fs.FileType.File or not fnmatch.fnmatch(info.base_name, self.pattern):
@@ -154,11 +157,18 @@ class VolumeReader(DataSourceReader):
                 continue
             parts = 1 if self.headers or info.path.endswith(".gz") else max(1, math.ceil(info.size / self.slab))
             if parts > 1:
-                out += [Share([(prefix + info.path, k, parts)]) for k in range(parts)]
+                slabs += [(prefix + info.path, k, parts) for k in range(parts)]
                 continue
-            bundle.append((prefix + info.path, 0, 1))
-            size += HEADER if self.headers else info.size
-            if size >= self.bundle:
+            small.append((prefix + info.path, 0, 1, OPENING + (HEADER if self.headers else info.size)))
+        # Slabs lie by themselves as long as they are not many.
+        together = max(1, math.ceil(len(slabs) / SHARES))
+        out = [Share(slabs[k:k + together]) for k in range(0, len(slabs), together)]
+        limit = min(self.bundle, max(CHUNK, math.ceil(sum(f[3] for f in small) / FEW_SHARES)))
+        bundle, size = [], 0
+        for *file, cost in small:
+            bundle.append(tuple(file))
+            size += cost
+            if size >= limit:
                 out.append(Share(bundle))
                 bundle, size = [], 0
         return out + ([Share(bundle)] if bundle else []) or [Share([])]
@@ -179,9 +189,20 @@ class VolumeReader(DataSourceReader):
                     continue
                 low, high = max(self.low, nz * part // parts), nz * (part + 1) // parts
                 high = high if self.high is None else min(high, self.high)
-                for z, cells in source.slices(form, low, high):
-                    values = whole_numbers(cells, form.slope, form.intercept).astype(np.int32)
-                    yield pa.RecordBatch.from_pylist([row | {"z": z, "cells": values}], schema=schema)
+                rows, held, fault = [], 0, None
+                try:
+                    for z, cells in source.slices(form, low, high):
+                        rows.append(row | {"z": z, "cells": whole_numbers(cells, form.slope, form.intercept).astype(np.int32)})
+                        held += rows[-1]["cells"].nbytes
+                        if held >= CHUNK:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows, held = [], 0
+                except Exception as problem:  # slices before a fault are rows too
+                    fault = problem
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                if fault is not None:
+                    raise fault
             except Exception as problem:  # one bad file must not stop the others
                 if part == 0:
                     yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("path", "name", "case_id", "kind")} | {"error": repr(problem)}], schema=schema)
@@ -201,10 +222,20 @@ def header_bytes(shape: tuple[int, int, int], spacing: tuple[float, float, float
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Staged files (staged, name) and the outcome rows of one task."""
+    """Where a task has listed its staged files and their outcomes; the lists themselves do not pass through the driver at once."""
 
-    files: list[tuple[str, str]] = field(default_factory=list)
-    outcomes: list[dict] = field(default_factory=list)
+    listed: str
+    outcomes: str
+
+    def moves(self) -> Iterator[tuple[str, str]]:
+        """(staged, name) of the whole files."""
+        system, place = fs.FileSystem.from_uri(self.listed)
+        with system.open_input_stream(place, compression=None) as raw, io.TextIOWrapper(raw, encoding="utf-8") as lines:
+            yield from (tuple(json.loads(line)) for line in lines)
+
+    @property
+    def files(self) -> list[tuple[str, str]]:
+        return list(self.moves())
 
 
 class _File:
@@ -257,44 +288,48 @@ class VolumeWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, folder = self._place(self.staging)
         system.create_dir(folder, recursive=True)
-        out, now = Written(), None
+        attempt, now = uuid.uuid4().hex, None
+        out = Written(f"{self.staging}/{attempt}.files", f"{self.staging}/{attempt}.json")
+        files, outcomes = (system.open_output_stream(f"{folder}/{attempt}.{kind}", compression=None) for kind in ("files", "json"))
+        line = lambda to, value: to.write((json.dumps(value) + "\n").encode())
 
         def finish() -> None:
             if now is not None:
                 now.close()
                 outcome = now.outcome()
-                out.outcomes.append(outcome)
+                line(outcomes, outcome)
                 if outcome["success"]:
-                    out.files.append((now.staged, now.name))
-
-        for batch in iterator:
-            for row in batch.to_pylist():
-                if row.get("error") is not None:
-                    out.outcomes.append({"name": row["name"], "success": False, "error": row["error"]})
-                    continue
-                if now is None or now.name != row["name"]:
-                    finish()
-                    now = _File(system, folder, row["name"], row)
-                if now.error is None:
-                    try:
-                        now.add(row)
-                    except Exception as problem:  # this file fails, the others go on
-                        now.error = repr(problem)
-        finish()
+                    line(files, (now.staged, now.name))
+
+        with files, outcomes:
+            for batch in iterator:
+                for row in batch.to_pylist():
+                    if row.get("error") is not None:
+                        line(outcomes, {"name": row["name"], "success": False, "error": row["error"]})
+                        continue
+                    if now is None or now.name != row["name"]:
+                        finish()
+                        now = _File(system, folder, row["name"], row)
+                    if now.error is None:
+                        try:
+                            now.add(row)
+                        except Exception as problem:  # this file fails, the others go on
+                            now.error = repr(problem)
+            finish()
         return out
 
     def commit(self, messages: list[Written | None]) -> None:
         system, target = self._place(self.target)
         _, folder = self._place(self.staging)
+        self._clear(system, f"{target}/outcomes")
         system.create_dir(f"{target}/outcomes", recursive=True)
-        done = [m for m in messages if m is not None]
-        for message in done:
-            for staged, name in message.files:
+        for message in messages:
+            if message is None:
+                continue
+            for staged, name in message.moves():
                 system.move(staged, f"{target}/{name}")
-        with system.open_output_stream(f"{target}/outcomes/files.json", compression=None) as out:
-            for message in done:
-                for row in message.outcomes:
-                    out.write((json.dumps(row) + "\n").encode())
+            _, place = self._place(message.outcomes)
+            system.move(place, f"{target}/outcomes/{place.rsplit('/', 1)[-1]}")
         self._clear(system, folder)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -338,7 +373,7 @@ def read_volumes(spark: SparkSession, folder: str, **options: str) -> DataFrame:
 def volume_slices(voxels: DataFrame, cases: DataFrame, value: str) -> DataFrame:
     """Slices as arrays from dense voxels: case_id, z, sizes, spacing, cells."""
     cells = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).cast("int").alias("v")))), lambda s: s["v"])
-    return voxels.groupBy("case_id", "z").agg(cells.alias("cells")).join(cases.select("case_id", "nz", "ny", "nx", "sz", "sy", "sx"), "case_id")
+    return looked_up(voxels.groupBy("case_id", "z").agg(cells.alias("cells")), cases.select("case_id", "nz", "ny", "nx", "sz", "sy", "sx"), ["case_id"])
 
 
 def write_volumes(slices: DataFrame, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtable.functions.geometry import box_iou, near_crop_edge
+from voxtable.functions.joins import looked_up, shuffled
 from voxtable.operators.components import component_stats, connect, keep_components
 from voxtable.operators.suppression import suppress
 
@@ -25,7 +26,7 @@ def mask_boxes(pixels: DataFrame, masks: DataFrame, keys: Sequence[str]) -> Data
     found = pixels.groupBy(*keys).agg(
         F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")
     )
-    return masks.select(*keys).join(found, list(keys), "left").fillna(0, BOX)
+    return masks.select(*keys).join(shuffled(found), list(keys), "left").fillna(0, BOX)
 
 
 def padded_boxes(boxes: DataFrame, padding: int = 5) -> DataFrame:
@@ -49,7 +50,7 @@ def lung_boxes(voxels: DataFrame, cases: DataFrame, padding: int = 5) -> DataFra
     both = voxels.where((F.col("lung") > 0) | (F.col("lesion") > 0)).groupBy("case_id", "z").agg(
         *box(F.col("lung") > 0, ""), *box(F.col("lesion") > 0, "l_")
     )
-    padded = padded_boxes(both.where("x0 is not null").join(cases.select("case_id", "ny", "nx"), "case_id"), padding)
+    padded = padded_boxes(looked_up(both.where("x0 is not null"), cases.select("case_id", "ny", "nx"), ["case_id"]), padding)
     lesion = [F.col(f"l_{c}") for c in BOX]
     iou = F.when(F.col("l_x0").isNotNull(), box_iou([F.col(c) for c in BOX], lesion))
     return padded.select("case_id", "z", *BOX, iou.alias("lesion_box_iou"))
@@ -68,7 +69,7 @@ def run_lengths(pixels: DataFrame, masks: DataFrame, keys: Sequence[str]) -> Dat
         .withColumn("island", F.col("y") - F.row_number().over(column))
         .groupBy(*keys, "x", "island")
         .agg(F.min("y").alias("first"), F.max("y").alias("last"))
-        .join(masks.select(*keys, "h", "w"), keys)
+        .join(shuffled(masks.select(*keys, "h", "w")), keys)
         .select(*keys, "h", "w", (F.col("x") * F.col("h") + F.col("first")).alias("start"),
                 (F.col("x") * F.col("h") + F.col("last")).alias("end"))
     )
@@ -85,7 +86,7 @@ def run_lengths(pixels: DataFrame, masks: DataFrame, keys: Sequence[str]) -> Dat
         F.sort_array(F.collect_list(F.struct("start", "gap", (F.col("end") - F.col("start") + 1).alias("length")))).alias("runs"),
         F.max("end").alias("end"),
     )
-    rows = masks.select(*keys, "h", "w").join(listed, keys, "left")
+    rows = masks.select(*keys, "h", "w").join(shuffled(listed), keys, "left")
     body = F.flatten(F.transform("runs", lambda r: F.array(r["gap"], r["length"])))
     rest = F.col("h") * F.col("w") - F.coalesce(F.col("end") + 1, F.lit(0))
     tail = F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))
@@ -194,7 +195,7 @@ def mask_records(rows: DataFrame) -> DataFrame:
 def _boxed(pixels: DataFrame, masks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Frame size and box (``y0`` to ``x1``, null for an empty mask) of each mask."""
     box = pixels.groupBy(*keys).agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    return masks.select(*keys, "h", "w").join(box, list(keys), "left")
+    return masks.select(*keys, "h", "w").join(shuffled(box), list(keys), "left")
 
 
 def box_complement(pixels: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -256,7 +257,7 @@ def fill_small_holes(pixels: DataFrame, masks: DataFrame, keys: Sequence[str], m
     keys = list(keys)
     boxes = _boxed(pixels, masks, keys)
     labelled, roots = connect(box_complement(pixels, boxes, keys), keys, ["y", "x"], stacked=_numeric(pixels, keys[-1]))
-    stats = component_stats(labelled, roots, keys, ["y", "x"]).join(boxes, keys)
+    stats = component_stats(labelled, roots, keys, ["y", "x"]).join(shuffled(boxes), keys)
     small = _with_true_size(stats).where(F.col("size") < min_area)
     whole = F.array(F.struct(F.lit(0).alias("y0"), (F.col("h") - 1).cast("int").alias("y1"), F.lit(0).alias("x0"), (F.col("w") - 1).cast("int").alias("x1")))
     empty = boxes.where(F.col("y0").isNull() & (F.col("h") * F.col("w") < min_area)).select(*keys, whole.alias("beyond"))
@@ -277,7 +278,7 @@ def drop_small_islands(pixels: DataFrame, keys: Sequence[str], min_area: int) ->
     sizes = component_stats(labelled, roots, keys)
     largest = sizes.groupBy(*keys).agg(F.max_by("component", F.struct(F.col("size"), -F.col("component"))).alias("largest"),
                                        F.max("size").alias("top"))
-    kept = sizes.join(largest, keys).where(
+    kept = sizes.join(shuffled(largest), keys).where(
         (F.col("size") >= min_area) | ((F.col("top") < min_area) & (F.col("component") == F.col("largest")))
     )
     changed = sizes.where(F.col("size") < min_area).select(*keys).distinct()
@@ -298,8 +299,8 @@ def cleaned_masks(
     filled, holed = fill_small_holes(pixels, masks, keys, min_area)
     cleaned, thinned = drop_small_islands(filled, keys, min_area if min_island is None else min_island)
     changed = holed.unionByName(thinned).distinct().withColumn("changed", F.lit(True))
-    boxes = mask_boxes(cleaned, masks, keys).join(changed, keys, "left").fillna(False, ["changed"])
+    boxes = mask_boxes(cleaned, masks, keys).join(shuffled(changed), keys, "left").fillna(False, ["changed"])
     scored = boxes.withColumn("score", F.when(F.col("changed"), 0.0).otherwise(1.0))
     kept = suppress(scored, iou_threshold, group=image, box_id=mask)
     rows = kept.drop("score")
-    return cleaned.join(rows.select(*keys), keys, "left_semi"), rows
+    return cleaned.join(shuffled(rows.select(*keys)), keys, "left_semi"), rows

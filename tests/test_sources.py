@@ -98,3 +98,28 @@ def test_arrivals_are_processed_once(spark, tmp_path):
     assert run() == ["CT_1_0000.nii.gz"]
     (inbox / "CT_2_0000.nii.gz").write_bytes(b"x")
     assert run() == ["CT_1_0000.nii.gz", "CT_2_0000.nii.gz"]
+
+
+def test_writers_make_no_folder_per_case(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id as case_id", "'lung_mask' as mask_type", "cast(id % 3 as int) as z", "0 as y", "cast(id as int) as x", "1 as lesion")
+    sinks.write_masks(rows.drop("lesion"), str(tmp_path / "masks"))
+    sinks.write_slices(rows, str(tmp_path / "slices"))
+    sinks.write_case_results(rows.select("case_id", "z"), str(tmp_path / "results"))
+    target = sinks.write_relabelled(rows, str(tmp_path / "relabelled"), "2")
+    for path in (tmp_path / "masks", tmp_path / "slices", tmp_path / "results", target):
+        assert len(list(type(tmp_path)(path).rglob("*[!c]"))) < 60
+    assert spark.read.parquet(target).count() == spark.read.parquet(str(tmp_path / "slices")).count() == 500
+    assert spark.read.schema("case_id long, z int").json(str(tmp_path / "results")).where("case_id % 3 = z").count() == 500
+
+
+def test_masks_written_again_replace_one_type_of_a_case(spark, tmp_path):
+    path, schema = str(tmp_path / "masks"), "case_id long, mask_type string, z int, y int, x int"
+    write = lambda *rows: sinks.write_masks(spark.createDataFrame(list(rows), schema), path)
+    held = lambda: sorted((r.case_id, r.mask_type, r.z) for r in spark.read.parquet(path).collect())
+    write((1, "lung_mask", 0, 0, 0), (1, "upper_lung", 0, 0, 0), (2, "lung_mask", 0, 0, 0))
+    write((3, "lung_mask", 0, 0, 0))
+    write((1, "lung_mask", 5, 0, 0), (1, "lung_mask", 6, 0, 0))
+    assert held() == [(1, "lung_mask", 5), (1, "lung_mask", 6), (1, "upper_lung", 0), (2, "lung_mask", 0), (3, "lung_mask", 0)]
+    write((1, "lung_mask", 7, 0, 0), (3, "lung_mask", 9, 0, 0))
+    assert held() == [(1, "lung_mask", 7), (1, "upper_lung", 0), (2, "lung_mask", 0), (3, "lung_mask", 9)]
+    assert len([p for p in (tmp_path / "masks").iterdir() if p.name.startswith("part=")]) == 1

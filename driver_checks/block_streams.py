@@ -10,6 +10,7 @@ from driver_checks.block_spatial import CLOSING
 from driver_checks.common import fresh
 from driver_checks.registry import check
 from voxtable.functions.names import file_name
+from voxtable.session import written
 from voxtable.streaming import arrivals, live_metrics
 
 FILES = "path string, modificationTime timestamp, content binary"
@@ -50,7 +51,7 @@ def _(spark, folder):
 def _(spark, folder):
     """Years come one by one; some steps come a year late, some twice, and stray ones three years late do not count."""
     inbox, table, state = fresh(spark, "steps"), fresh(spark, "progress"), fresh(spark, "state")
-    steps = fx.run_steps(spark, folder).select("run", "epoch", "step", F.col("ts").cast("timestamp").alias("ts"), "loss", "failed", "o_orderkey")
+    steps = written(fx.run_steps(spark, folder).select("run", "epoch", "step", F.col("ts").cast("timestamp").alias("ts"), "loss", "failed", "o_orderkey"), "steps")
     year = F.year("ts")
     late = steps.withColumn("due", year + (F.col("o_orderkey") % 50 == 0).cast("int"))
     again = steps.where("o_orderkey % 70 = 0").withColumn("due", year + 1)
@@ -59,6 +60,6 @@ def _(spark, folder):
     last = steps.agg(F.max(year)).first()[0]
     for due in range(steps.agg(F.min(year)).first()[0], last + 1):
         # A delivery after the last year would have no newer step beside it.
-        fed.where(F.least("due", F.lit(last)) == due).where((F.col("step") > 0) | (F.col("due") <= last)).drop("due", "o_orderkey").coalesce(1).write.mode("append").parquet(inbox)
+        fed.where(F.least("due", F.lit(last)) == due).where((F.col("step") > 0) | (F.col("due") <= last)).drop("due", "o_orderkey").write.mode("append").parquet(inbox)
         live_metrics.live_progress(live_metrics.step_stream(spark, inbox), table, state, "400 days").awaitTermination()
     return live_metrics.latest(spark, table).drop("first_ts", "last_ts")

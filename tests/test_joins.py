@@ -81,3 +81,28 @@ def test_voxels_without_a_case_stay_out_of_windows(spark):
     rows = spark.createDataFrame([(1, 0, 0, 0, 5), (1, 0, 0, 1, 9), (None, 0, 0, 0, 7)], "case_id int, z int, y int, x int, hu int")
     for scaled in (slices.windowed(rows), slices.percentile_windowed(rows)):
         assert scaled.where("case_id is null").count() == 0 and scaled.count() == 2
+
+
+def test_small_slices_of_a_file_share_a_batch(spark, monkeypatch):
+    from driver_checks.block_sources import encoded
+    import numpy as np
+    import pyarrow as pa
+
+    cells = np.arange(5 * 2 * 3, dtype=np.int16).reshape(5, 2, 3)
+    for most, batches in ((1 << 18, [5]), (12, [2, 2, 1]), (1, [1] * 5)):
+        monkeypatch.setattr(volumes, "BATCH_CELLS", most)
+        taken = []
+        files = type("Files", (), {"select": lambda self, *c: self, "mapInArrow": lambda self, f, schema: (taken.append(f), self)[1], "withColumn": lambda self, n, c: self})()
+        monkeypatch.setattr(volumes, "file_name", lambda c: c)
+        volumes.decode_files(files)
+        out = list(taken[0](iter([pa.RecordBatch.from_pylist([{"path": "a", "content": encoded(cells, (1.0, 1.0, 1.0))}])])))
+        assert [b.num_rows for b in out] == batches and [v for b in out for r in b.to_pylist() for v in r["cells"]] == cells.ravel().tolist()
+
+
+def test_state_of_metrics_is_not_held_in_memory(spark):
+    from voxtable.streaming import live_metrics
+
+    key = live_metrics.STORE[0]
+    spark.conf.unset(key)
+    live_metrics.counted_once(spark.createDataFrame([], "run string, step long, ts timestamp"), "1 day")
+    assert spark.conf.get(key) == live_metrics.STORE[1]

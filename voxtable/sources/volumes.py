@@ -26,6 +26,9 @@ from voxtable.sources.catalog import MASK_TYPES
 # Numeric type codes of the header.
 _TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 
+#: Cells that a batch of slices holds at most, if it is more than one slice.
+BATCH_CELLS = 1 << 18
+
 _SLICES = T.StructType(
     [T.StructField("path", T.StringType())]
     + [T.StructField(name, T.IntegerType()) for name in ("z", "nz", "ny", "nx")]
@@ -107,11 +110,13 @@ def decode_files(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([{"path": path, "error": repr(problem)}], schema=schema)
                     continue
                 nz, ny, nx = cells.shape
-                for z in range(nz):
+                # Small slices travel together.
+                some = max(1, BATCH_CELLS // max(1, ny * nx))
+                for first in range(0, nz, some):
                     yield pa.RecordBatch.from_pylist([{
                         "path": path, "z": z, "nz": nz, "ny": ny, "nx": nx, "sz": sz, "sy": sy, "sx": sx,
                         "cells": cells[z].ravel().astype(np.int32), "error": None,
-                    }], schema=schema)
+                    } for z in range(first, min(first + some, nz))], schema=schema)
 
     return files.select("path", "content").mapInArrow(decode, _SLICES).withColumn("name", file_name(F.col("path")))
 

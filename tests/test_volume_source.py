@@ -122,3 +122,19 @@ def test_stored_slices_meet_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = {(c, z): (3, 3) if c < 3 and z > 2 else (0, 0) for c in range(4) for z in range(10)}
     assert {(r.case_id, r.z): (r.lung, r.upper) for r in got} == want and all((r.lobe, r.n) == (0, 6) for r in got)
+
+
+def test_many_slabs_share_tasks(folder, monkeypatch):
+    monkeypatch.setattr(volume_source, "SHARES", 2)
+    shares, rows = read(folder, [EqualTo(("kind",), "ct"), In(("case_id",), ("a", "b"))], slabbytes="250")
+    assert [len(s.files) for s in shares] == [3, 3]
+    assert sorted((r["case_id"], r["z"]) for r in rows) == [(c, z) for c in "ab" for z in range(6)]
+
+
+def test_outcome_rows_stay_in_files_of_the_tasks(tmp_path):
+    writer = volume_source.VolumeWriter({"path": str(tmp_path)})
+    columns = ("name", "z", "nz", "ny", "nx", "sz", "sy", "sx", "cells", "error")
+    sent = [writer.write(iter([pa.RecordBatch.from_pylist([dict(zip(columns, r)) for r in slices((f"CT_{n}.nii", 0, [1, 2, 3], None), (f"CT_{n}.nii", 1, [1, 2, 3], None))])])) for n in "ab"]
+    assert all(isinstance(value, str) for message in sent for value in vars(message).values())
+    writer.commit(sent)
+    assert len(os.listdir(tmp_path / "outcomes")) == 2 and {"CT_a.nii", "CT_b.nii"} < set(os.listdir(tmp_path))

@@ -67,3 +67,42 @@ def test_dust_keeps_the_threshold_size(spark):
     voxels = spark.createDataFrame(rows, "case_id bigint, z int, y int, x int, lesion int")
     kept = clean_labels(voxels, 5, 5).groupBy("y").count().collect()
     assert {r["y"]: r["count"] for r in kept} == {0: 5, 9: 5}
+
+
+def test_small_tiles_share_a_kernel_call(spark):
+    """No call per tile, and tiles of one call never touch: each has its own places of the grid."""
+    import numpy as np
+
+    from voxtable.operators import components
+
+    rng = np.random.default_rng(21)
+    masks = rng.random((6, 9, 11, 13)) < 0.3
+    rows = [(int(c), int(z), int(y), int(x)) for c, z, y, x in np.argwhere(masks)]
+    cells = spark.createDataFrame(rows, "case_id long, z int, y int, x int")
+    local = components.local_components(cells, ["case_id"], ["z", "y", "x"], 3, 4)
+    plan = local._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    got = {(r.case_id, r.z, r.y, r.x): r.component for r in components.label_components(cells, ["case_id"], ["z", "y", "x"], tile=4).collect()}
+    left, want = set(rows), {}
+    for cell in sorted(rows):
+        if cell in left:
+            name, open_cells = (cell[1] * (1 << 21) + cell[2]) * (1 << 21) + cell[3], [cell]
+            left.discard(cell)
+            while open_cells:
+                c, z, y, x = open_cells.pop()
+                want[c, z, y, x] = name
+                near = {(c, z + dz, y + dy, x + dx) for dz in (-1, 0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & left
+                left -= near
+                open_cells += near
+    assert got == want
+
+
+def test_kernel_calls_are_bounded():
+    import numpy as np
+
+    from voxtable.operators import components
+
+    ends = np.array([0, 5, 5, 900_000, 900_001, 900_400])
+    runs = components._runs_of_tiles(ends, 1000)
+    assert [a for a, _ in runs] + [5] == [0] + [b for _, b in runs] and all(ends[b] - ends[a] <= components._CELLS or b == a + 1 for a, b in runs)
+    assert components._runs_of_tiles(ends, components._GRID + 1) == [(n, n + 1) for n in range(5)]

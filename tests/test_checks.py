@@ -56,3 +56,13 @@ def test_entry_works_without_the_corpus_operators(tmp_path):
 @pytest.mark.parametrize("name", QUICK)
 def test_matches_sql(spark, duck, name):
     assert difference(queries()[name](spark, SMALL), duck, oracle_sql()[name]) is None
+
+
+def test_derived_voxels_grow_in_partitions_and_keep_their_labels(spark, tmp_path):
+    """More rows make more tasks, and a filter on a label does not move below and repeat its rule."""
+    from driver_checks import fixtures as fx
+
+    spark.range(5000).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert fx.voxels(spark, str(tmp_path)).rdd.getNumPartitions() == 20
+    plan = fx.scans(spark, str(tmp_path)).where("hu < -300").select("case_id", "z", "y", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "1500" in line]

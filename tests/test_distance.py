@@ -56,3 +56,31 @@ def test_two_dimensional_form(spark):
     got = distance_map(voxels, volume_geometry(cases), keys=["case_id", "z"], axes=["y", "x"], tile=4).collect()
     want = brute(mask[0], (2.0, 3.0))
     assert {(r.y, r.x): round(r.dist_mm, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_groups_share_a_kernel_call(spark):
+    """No call per group of lines: volumes of other sizes and steps in one batch keep apart, and cells beyond a volume still raise."""
+    import pytest
+
+    from voxtable.operators.distance import distance_map
+
+    rng = np.random.default_rng(17)
+    shapes, steps = [(5, 9, 7), (9, 5, 7), (5, 9, 7), (1, 3, 20)], [(1.0, 2.0, 0.5), (3.0, 0.5, 1.0), (0.25, 1.0, 4.0), (1.0, 1.0, 1.0)]
+    masks = [rng.random(s) < 0.85 for s in shapes] + [np.ones((2, 2, 2), bool)]
+    rows = [(i, int(z), int(y), int(x)) for i, m in enumerate(masks) for z, y, x in np.argwhere(m)]
+    cells = spark.createDataFrame(rows, "case_id long, z int, y int, x int").coalesce(1)
+    sizes = [(i, *s, *m.shape) for i, (s, m) in enumerate(zip([*steps, (1.0, 1.0, 1.0)], masks))]
+    geometry = spark.createDataFrame(sizes, "case_id long, step_z double, step_y double, step_x double, len_z int, len_y int, len_x int")
+    df = distance_map(cells, geometry, tile=4)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    got = {tuple(r)[:4]: r.dist_mm for r in df.collect()}
+    assert set(got) == set(rows) and all(got[r] is None for r in rows if r[0] == 4)
+    for i, m in enumerate(masks[:4]):
+        outside = np.argwhere(~m) * steps[i]
+        for cell in np.argwhere(m):
+            want = np.sqrt((((cell * steps[i]) - outside) ** 2).sum(axis=1).min())
+            assert abs(got[(i, *map(int, cell))] - want) < 1e-9
+    for bad in (-1, 4):
+        with pytest.raises(Exception, match="do not fit a length"):
+            distance_map(spark.createDataFrame([(4, bad, 0, 0)], cells.schema), geometry, tile=4).collect()

@@ -66,3 +66,7 @@ def test_derived_voxels_grow_in_partitions_and_keep_their_labels(spark, tmp_path
     assert fx.voxels(spark, str(tmp_path)).rdd.getNumPartitions() == 20
     plan = fx.scans(spark, str(tmp_path)).where("hu < -300").select("case_id", "z", "y", "x")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "Filter" in line and "1500" in line]
+    from driver_checks.block_labels import training_pairs
+
+    plan = training_pairs(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "1500" in line]

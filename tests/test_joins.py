@@ -10,6 +10,8 @@ from driver_checks import fixtures as fx
 from driver_checks import queries
 from voxtable.functions.joins import looked_up
 from voxtable.operators import components, lesions, slices
+from voxtable.operators.ranking import seeded_rank
+from voxtable.operators.sampling import weighted_draws
 from voxtable.sources import slice_tables, volume_source, volumes
 
 
@@ -70,6 +72,26 @@ def test_component_tables_are_merged(spark):
     assert sent(components.keep_components(labelled, roots, components.component_stats(labelled, roots, ["case_id", "z"]), ["case_id", "z"])) == []
 
 
+@pytest.mark.parametrize("name", ["g1_slice_split", "g2_case_split", "d43_split_profile", "c10_absent_labels", "g3_label_draw"])
+def test_slices_are_not_sent_whole(spark, name):
+    """Splits, strata and label sets hold a row per slice; only counts per label may travel."""
+    assert [branch for branch in sent(queries()[name](spark, SMALL)) if "case_id" in branch] == []
+
+
+def test_ranked_rows_are_not_sent_whole(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 20 = 0 as background")
+    assert sent(seeded_rank(rows, ["background"], F.col("id"))) == []
+    assert [branch for branch in sent(weighted_draws(rows, F.col("id"), spark.range(10).withColumnRenamed("id", "draw"))) if "Window" in branch] == []
+
+
+def test_a_split_profile_reads_voxels_once(spark, monkeypatch):
+    from driver_checks import block_sampling
+
+    made, whole = [], block_sampling.training_pairs
+    monkeypatch.setattr(block_sampling, "training_pairs", lambda *given: (made.append(given), whole(*given))[1])
+    assert queries()["d43_split_profile"](spark, SMALL).count() == 3 and len(made) == 1
+
+
 def test_looked_up_is_an_inner_join(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (1, "d")], "k int, v string")
     table = spark.createDataFrame([(1, 10), (3, 30), (1, 11), (None, 5)], "k int, n int")

@@ -70,3 +70,11 @@ def test_derived_voxels_grow_in_partitions_and_keep_their_labels(spark, tmp_path
 
     plan = training_pairs(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "Filter" in line and "1500" in line]
+
+
+def test_slices_of_a_small_file_are_dealt_to_all_tasks(spark, tmp_path):
+    from driver_checks import fixtures as fx
+
+    spark.range(5000).coalesce(1).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = fx.slices(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows.count() == 5000 * fx.NZ

@@ -92,6 +92,32 @@ def test_a_split_profile_reads_voxels_once(spark, monkeypatch):
     assert queries()["d43_split_profile"](spark, SMALL).count() == 3 and len(made) == 1
 
 
+def test_boxes_of_a_suppression_are_not_sent_whole(spark, monkeypatch):
+    """Neither boxes nor cells nor pairs; chains of boxes need rounds of pairs."""
+    from voxtable.operators import suppression
+
+    made, whole = [], suppression.written
+    monkeypatch.setattr(suppression, "written", lambda df, name: (made.append((name, sent(df))), whole(df, name))[1])
+    chain = spark.range(400).selectExpr("id % 2 as image_id", "id as box_id", "id * 3 as x0", "0 as y0", "id * 3 + 10 as x1", "10 as y1", "-id as score")
+    kept = suppression.suppress(chain, 0.2)
+    assert [n for n, branches in [*made, ("kept", sent(kept))] if branches] == [] and {"pairs", "fates"} <= {n for n, _ in made}
+    corners = ["image_id", "crop_x0", "crop_y0", "crop_x1", "crop_y1"]
+    cropped = chain.selectExpr("*", "0 as crop_x0", "0 as crop_y0", "if(box_id % 3 = 0, 700, 2000) as crop_x1", "20 as crop_y1")
+    between = suppression.suppress_crops(cropped, cropped.select(*corners).distinct(), 0.2, 0.2)
+    assert sent(between) == [] and all(branches == [] for _, branches in made)
+
+
+def test_boxes_of_cleaned_masks_are_computed_once(spark, monkeypatch):
+    from voxtable.operators import masks
+
+    given = []
+    monkeypatch.setattr(masks, "suppress", lambda boxes, *a, **b: (given.append(plan(boxes)), boxes)[1])
+    cells = fx.voxels(spark, SMALL).where("lesion > 0 and case_id < 5").select("case_id", "z", "y", "x")
+    frames = cells.select("case_id", "z").distinct().withColumns({"h": F.lit(fx.NY), "w": F.lit(fx.NX)})
+    masks.cleaned_masks(cells, frames, 6, 0.5, "case_id", "z", min_island=4)
+    assert "Join" not in given[0] and "FileScan" in given[0]
+
+
 def test_looked_up_is_an_inner_join(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (1, "d")], "k int, v string")
     table = spark.createDataFrame([(1, 10), (3, 30), (1, 11), (None, 5)], "k int, n int")

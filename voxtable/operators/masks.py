@@ -12,6 +12,7 @@ from voxtable.functions.geometry import box_iou, near_crop_edge
 from voxtable.functions.joins import looked_up, shuffled
 from voxtable.operators.components import component_stats, connect, keep_components
 from voxtable.operators.suppression import suppress
+from voxtable.session import written
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -255,10 +256,11 @@ def fill_small_holes(pixels: DataFrame, masks: DataFrame, keys: Sequence[str], m
     Only the box of a mask, grown by one pixel, is labelled; what lies beyond it is known by its area.
     """
     keys = list(keys)
-    boxes = _boxed(pixels, masks, keys)
+    boxes = written(_boxed(pixels, masks, keys), "boxes")
     labelled, roots = connect(box_complement(pixels, boxes, keys), keys, ["y", "x"], stacked=_numeric(pixels, keys[-1]))
     stats = component_stats(labelled, roots, keys, ["y", "x"]).join(shuffled(boxes), keys)
-    small = _with_true_size(stats).where(F.col("size") < min_area)
+    # Three readers follow.
+    small = written(_with_true_size(stats).where(F.col("size") < min_area), "small")
     whole = F.array(F.struct(F.lit(0).alias("y0"), (F.col("h") - 1).cast("int").alias("y1"), F.lit(0).alias("x0"), (F.col("w") - 1).cast("int").alias("x1")))
     empty = boxes.where(F.col("y0").isNull() & (F.col("h") * F.col("w") < min_area)).select(*keys, whole.alias("beyond"))
     # Regions that leave the box and are small all the same: their rectangles hold fewer than ``min_area`` pixels.
@@ -300,7 +302,8 @@ def cleaned_masks(
     cleaned, thinned = drop_small_islands(filled, keys, min_area if min_island is None else min_island)
     changed = holed.unionByName(thinned).distinct().withColumn("changed", F.lit(True))
     boxes = mask_boxes(cleaned, masks, keys).join(shuffled(changed), keys, "left").fillna(False, ["changed"])
-    scored = boxes.withColumn("score", F.when(F.col("changed"), 0.0).otherwise(1.0))
+    # Suppression reads the boxes several times; they take all steps before to compute.
+    scored = written(boxes.withColumn("score", F.when(F.col("changed"), 0.0).otherwise(1.0)), "boxes")
     kept = suppress(scored, iou_threshold, group=image, box_id=mask)
     rows = kept.drop("score")
     return cleaned.join(shuffled(rows.select(*keys)), keys, "left_semi"), rows

@@ -12,7 +12,7 @@ they share a cell of a size-aware grid; each box is filed in at most 16 cells.
   follows a chain of such decisions as far as it lies inside it, so a chain of n boxes takes
   about n / UNIT rounds instead of n. An image has as many units as its pairs fill.
 
-Both steps decide exactly as a sequential pass by score would.
+Both steps decide exactly as a sequential pass by score would. Boxes and their cells are merged, never sent whole.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.functions.geometry import box_iou
+from voxtable.functions.joins import shuffled
 from voxtable.session import written
 
 LOG = logging.getLogger(__name__)
@@ -82,16 +83,16 @@ def _thin(open_boxes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     filed = _filed(open_boxes, threshold)
     best = filed.groupBy(*CELL).agg(F.max("rank").alias("best"))
     kept = (
-        filed.join(best, CELL)
+        filed.join(shuffled(best), CELL)
         .groupBy("group", "id", *BOX, "rank")
         .agg(F.every(F.col("rank") == F.col("best")).alias("wins"))
         .where("wins")
         .drop("wins")
     )
     kept = written(kept, "kept")
-    near = filed.join(_prefixed(_filed(kept, threshold), "k_"), CELL)
+    near = filed.join(shuffled(_prefixed(_filed(kept, threshold), "k_")), CELL)
     gone = near.where((F.col("k_id") == F.col("id")) | _overlaps(threshold, "k_")).select("group", "id")
-    return kept, written(open_boxes.join(gone, ["group", "id"], "left_anti"), "open")
+    return kept, written(open_boxes.join(shuffled(gone), ["group", "id"], "left_anti"), "open")
 
 
 def _pairs(open_boxes: DataFrame, threshold: float) -> DataFrame:
@@ -106,7 +107,7 @@ def _pairs(open_boxes: DataFrame, threshold: float) -> DataFrame:
     side = float(edge.side or 1) or 1.0
     at = [F.floor(((F.col(low) + F.col(high)) / 2 - F.lit(float(start or 0))) / F.lit(side) * 65535).cast("long") for low, high, start in (("x0", "x1", edge.x), ("y0", "y1", edge.y))]
     return (
-        filed.join(_prefixed(filed, "k_"), CELL)
+        filed.join(shuffled(_prefixed(filed, "k_")), CELL)
         .where((F.col("k_rank") > F.col("rank")) & meet)
         .where(iou > threshold)
         .select("group", F.col("k_id").alias("better"), F.col("id").alias("worse"), F.col("k_rank").alias("better_rank"), "rank",
@@ -155,13 +156,13 @@ def _lost(pairs: DataFrame) -> DataFrame:
         number += 1
         # Betters that are nobody's worse box any more have won.
         open_ = pairs.select("group", F.col("worse").alias("better"), F.lit(False).alias("wins")).distinct()
-        marked = pairs.join(open_, ["group", "better"], "left").withColumn("wins", F.coalesce("wins", F.lit(True)))
+        marked = pairs.join(shuffled(open_), ["group", "better"], "left").withColumn("wins", F.coalesce("wins", F.lit(True)))
         units = marked.repartitionByRange(max(1, math.ceil(left / UNIT)), "group", "place", "worse").sortWithinPartitions(F.col("rank").desc(), "group", "worse")
         found = written(units.select("group", "worse", "better", "wins").mapInArrow(_decide, schema), "fates")
         gone = found.where("not kept").select("group", "id")
         lost = gone if lost is None else lost.unionByName(gone)
-        pairs = pairs.join(found.select("group", F.col("id").alias("worse")), ["group", "worse"], "left_anti")
-        pairs = written(pairs.join(gone.withColumnRenamed("id", "better"), ["group", "better"], "left_anti"), "pairs")
+        pairs = pairs.join(shuffled(found.select("group", F.col("id").alias("worse"))), ["group", "worse"], "left_anti")
+        pairs = written(pairs.join(shuffled(gone.withColumnRenamed("id", "better")), ["group", "better"], "left_anti"), "pairs")
 
 
 def _named(boxes: DataFrame, group: str, box_id: str, tie: Sequence[Column]) -> DataFrame:
@@ -193,8 +194,8 @@ def suppress(boxes: DataFrame, threshold: float, group: str = "image_id", box_id
         if 2 * left > before:
             break
     lost = _lost(written(_pairs(open_boxes, threshold), "pairs"))
-    chosen = chosen.unionByName(open_boxes.join(lost, ["group", "id"], "left_anti").select("group", "id"))
-    return boxes.join(chosen.select(F.col("group").alias(group), F.col("id").alias(box_id)), [group, box_id], "left_semi")
+    chosen = chosen.unionByName(open_boxes.join(shuffled(lost), ["group", "id"], "left_anti").select("group", "id"))
+    return boxes.join(shuffled(chosen.select(F.col("group").alias(group), F.col("id").alias(box_id))), [group, box_id], "left_semi")
 
 
 def suppress_crops(boxes: DataFrame, crops: DataFrame, within: float, between: float, image: str = "image_id", box_id: str = "box_id") -> DataFrame:
@@ -207,7 +208,7 @@ def suppress_crops(boxes: DataFrame, crops: DataFrame, within: float, between: f
     crop = F.to_json(F.struct(F.col(image).alias("image"), *corner))
     first = suppress(boxes.withColumn("_crop", crop), within, "_crop", box_id).drop("_crop")
     many = crops.select(image, *corner).distinct().groupBy(image).agg((F.count("*") > 1).alias("_many"))
-    moved = first.join(many, image, "left").withColumns({c: F.col(c) + F.col(f"crop_{c[0]}0") for c in BOX})
+    moved = first.join(shuffled(many), image, "left").withColumns({c: F.col(c) + F.col(f"crop_{c[0]}0") for c in BOX})
     moved = written(moved.withColumn("_many", F.coalesce("_many", F.lit(False))), "moved")
     area = (F.col("crop_x1") - F.col("crop_x0")) * (F.col("crop_y1") - F.col("crop_y0"))
     ranked = moved.where("_many").withColumn("_score", F.col("score")).withColumn("score", 1 / area.cast("double"))

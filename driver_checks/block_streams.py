@@ -21,11 +21,15 @@ def arrived(spark, folder, name):
     inbox, state = fresh(spark, "inbox"), fresh(spark, "state")
     tables = arrivals.ArrivalTables.under(fresh(spark, name))
     cts = volume_files(spark, folder, "hu", "/in/CT_%s_0000.nii.gz", scans=True)
-    labels = volume_files(spark, folder, "lesion", "/in/CT_%s.nii.gz").withColumn("case_id", F.regexp_extract("path", r"CT_(\d+)", 1).cast("long")).where("case_id % 3 <> 0")
-    labels = labels.withColumn("content", F.expr("if(case_id % 11 = 5, unbase64('bm8gdm9sdW1l'), content)"))
+
+    def labels(half):
+        """Only the label files of a delivery are made."""
+        files = volume_files(spark, folder, "lesion", "/in/CT_%s.nii.gz", f"case_id % 3 <> 0 and case_id % 2 = {half}")
+        return files.withColumn("content", F.expr(r"if(regexp_extract(path, 'CT_(\\d+)', 1) % 11 = 5, unbase64('bm8gdm9sdW1l'), content)"))
+
     # The last delivery only moves the clock on: files that are still missing then count as missing.
     clock = spark.createDataFrame([("/in/CT_clock_0000.nii.gz", None)], "path string, content binary")
-    for minutes, files in ((0, cts.unionByName(labels.where("case_id % 2 = 0").drop("case_id"))), (30, labels.where("case_id % 2 = 1").drop("case_id")), (300, clock)):
+    for minutes, files in ((0, cts.unionByName(labels(0))), (30, labels(1)), (300, clock)):
         at = F.timestamp_seconds(F.lit(1_600_000_000 + 60 * minutes)).alias("modificationTime")
         files.select("path", at, "content").write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(FILES).parquet(inbox).select(file_name(F.col("path")).alias("name"), "path", "modificationTime")

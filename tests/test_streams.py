@@ -3,11 +3,13 @@
 import datetime
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from conftest import SMALL
 from driver_checks import fixtures as fx
 from driver_checks.block_sources import volume_files
+from voxtable.sources import volumes
 from voxtable.streaming import arrivals, live_metrics
 
 START = datetime.datetime(2024, 5, 1, 12)
@@ -61,6 +63,52 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     assert spark.read.parquet(tables.masks).count() == voxels > 0
 
 
+def test_slices_of_a_batch_are_not_joined(spark, tmp_path, monkeypatch):
+    """Case and kind come with the file, and masks take the cells of the CT as they lie; only rows per case are joined."""
+    tables = arrivals.ArrivalTables.under(str(tmp_path))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    files = [volume_files(spark, SMALL, value, name, "case_id in (1, 2)") for value, name in (("hu", "/in/CT_%s_0000.nii.gz"), ("lesion", "/in/CT_%s.nii.gz"))]
+    odd = files[1].where("path like '%_2.nii.gz'").select("path", F.unbase64(F.lit("bm8=")).alias("content"))
+    files[0].unionByName(files[1].where("path like '%_1.nii.gz'")).unionByName(odd).write.parquet(str(tmp_path / "files"))
+    store = spark.read.parquet(str(tmp_path / "files"))
+    made, given = {}, []
+    whole, masks = arrivals.written, arrivals.generate_masks
+    monkeypatch.setattr(arrivals, "written", lambda df, name: (made.update({name: plan(df)}), whole(df, name))[1])
+    monkeypatch.setattr(arrivals, "generate_masks", lambda voxels, cases, *a, **b: (given.append((plan(voxels), cases.collect())), masks(voxels, cases, *a, **b))[1])
+    batch = spark.createDataFrame([(str(n), f"/in/CT_{n}_0000.nii.gz", f"/in/CT_{n}.nii.gz", None) for n in (1, 2)], arrivals.CASE_FILES)
+    arrivals.segment_batch(spark, batch, 0, tables, lambda paths: store.join(paths, "path", "left_semi"), closing=3)
+    assert "Join" not in made["decoded"].split("MapInArrow")[0] and "Join" in made["decoded"]
+    assert "cells" not in made["cases"]
+    (voxels, cases), = given
+    assert "Join" not in voxels and [(r.case_id, r.nz, r.ny, r.nx) for r in cases] == [("1", fx.NZ, fx.NY, fx.NX)]
+    assert {r.case_id: r.error is None for r in arrivals.outcomes(spark, tables).collect()} == {"1": True, "2": False}
+
+
+def test_voxels_of_a_file_are_packed_where_they_lie(spark):
+    files = volume_files(spark, SMALL, "hu", "/in/CT_%s_0000.nii.gz", scans=True)
+    text = files._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in text and text.count("Exchange hashpartitioning") == 1
+    back = volumes.slice_voxels(volumes.decode_files(files).withColumn("case_id", F.regexp_extract("name", r"CT_(\d+)", 1).cast("bigint")), "hu")
+    given = fx.scans(spark, SMALL).select("case_id", "z", "y", "x", "hu")
+    assert given.count() == back.count() and given.exceptAll(back).isEmpty()
+
+
+def test_a_new_case_asks_the_store_once_before_it_is_kept():
+    class Store:
+        def __init__(self):
+            self.calls, self.kept = [], None
+
+        def __getattr__(self, name):
+            return lambda *given: self.calls.append(name)
+
+    store = Store()
+    pairing = arrivals._Pairing(1000, 10000)
+    pairing.handle = pairing.files = store
+    rows = [Row(kind=kind, path=path, at=5) for kind, path in (("ct", "b"), ("ct", "a"), ("label", "l"))]
+    assert [r.asDict() for r in pairing.handleInputRows(("7",), iter(rows), None)] == [{"case_id": "7", "ct_path": "a", "label_path": "l", "error": None}]
+    assert store.calls == ["get", "update", "registerTimer"]
+
+
 def test_progress_counts_steps_once_and_late_ones_too(spark, tmp_path):
     inbox, table, state = (str(tmp_path / n) for n in ("inbox", "table", "state"))
     day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)

@@ -27,7 +27,8 @@ def generate_masks(voxels: DataFrame, cases: DataFrame, existing: DataFrame, **s
     ``existing`` lists (case_id, mask_type) already stored. Outcomes hold ``success``,
     ``skipped``, ``error`` and ``total_volume_mm3`` for every case.
     """
-    todo = unfinished_cases(cases, existing)
+    # A row per case that every step looks up.
+    todo = written(unfinished_cases(cases, existing), "todo")
     wanted = voxels.join(todo.select("case_id"), "case_id", "left_semi")
     lung = written(segment_lungs(wanted, todo, **segmentation), "lung")
     masks = region_masks(lung)

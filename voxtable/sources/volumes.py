@@ -10,6 +10,7 @@ from __future__ import annotations
 import gzip
 import struct
 import zlib
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -97,17 +98,23 @@ def _decode(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
     return whole_numbers(cells, form.slope, form.intercept).reshape(form.shape), form.spacing
 
 
-def decode_files(files: DataFrame) -> DataFrame:
-    """One row per slice of (``path``, ``content``) rows; an unreadable file gives one row with ``error``."""
-    schema = to_arrow_schema(_SLICES)
+def decode_files(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per slice of (``path``, ``content``) rows; an unreadable file gives one row with ``error``.
+
+    Columns in ``keep`` stay on every slice, so that slices need not be joined with what is known of their file.
+    """
+    keep = list(keep)
+    out = T.StructType(_SLICES.fields + [files.schema[c] for c in keep])
+    schema = to_arrow_schema(out)
 
     def decode(batches):
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            known = [dict(zip(keep, row)) for row in zip(*(batch.column(c).to_pylist() for c in keep))] if keep else [{}] * batch.num_rows
+            for path, content, more in zip(batch.column("path").to_pylist(), batch.column("content"), known):
                 try:
                     cells, (sz, sy, sx) = _decode(content.as_py())
                 except Exception as problem:  # one bad file must not stop the others
-                    yield pa.RecordBatch.from_pylist([{"path": path, "error": repr(problem)}], schema=schema)
+                    yield pa.RecordBatch.from_pylist([{"path": path, "error": repr(problem), **more}], schema=schema)
                     continue
                 nz, ny, nx = cells.shape
                 # Small slices travel together.
@@ -115,10 +122,10 @@ def decode_files(files: DataFrame) -> DataFrame:
                 for first in range(0, nz, some):
                     yield pa.RecordBatch.from_pylist([{
                         "path": path, "z": z, "nz": nz, "ny": ny, "nx": nx, "sz": sz, "sy": sy, "sx": sx,
-                        "cells": cells[z].ravel().astype(np.int32), "error": None,
+                        "cells": cells[z].ravel().astype(np.int32), "error": None, **more,
                     } for z in range(first, min(first + some, nz))], schema=schema)
 
-    return files.select("path", "content").mapInArrow(decode, _SLICES).withColumn("name", file_name(F.col("path")))
+    return files.select("path", "content", *keep).mapInArrow(decode, out).withColumn("name", file_name(F.col("path")))
 
 
 def decode_headers(files: DataFrame) -> DataFrame:
@@ -170,6 +177,16 @@ def case_table(slices: DataFrame) -> DataFrame:
     return slices.where(F.col("error").isNull()).groupBy("case_id").agg(*[F.first(c).alias(c) for c in sizes])
 
 
+def matched_cases(cts: DataFrame, lesions: DataFrame) -> DataFrame:
+    """Case table of the cases whose two volumes have the same size.
+
+    A volume that can be read gives all its slices, so the first slice of each tells, and no cells are read.
+    """
+    heads = [s.where(F.col("error").isNull() & (F.col("z") == 0)) for s in (cts, lesions)]
+    key = ["case_id", "nz", "ny", "nx"]
+    return case_table(heads[0].join(shuffled(heads[1].select(*key)), key, "left_semi"))
+
+
 def load_cases(cts: DataFrame, lesions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dense voxels (``hu``, ``lesion``) and case table of the cases whose two volumes match.
 
